@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, quality
+from . import licenses, quality, secrets
 
 _SPLIT = r"list_filter(string_split_regex({t}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -62,3 +62,29 @@ def licenses_sql() -> str:
         SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
                coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
         FROM s LEFT JOIN b USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN top USING (doc_id)"""
+
+
+def secrets_sql() -> str:
+    def spans(kind: str, pattern: str, group: int, least: int) -> str:
+        p = pattern.replace("'", "''")
+        return f"""SELECT doc_id, '{kind}' AS kind, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, m[i] AS m, v[i] AS v
+            FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v FROM d)) WHERE length(v[i]) >= {least}"""
+
+    base = " UNION ALL ".join(f"SELECT *, {rank} AS k FROM ({spans(kind, *x)})" for rank, (kind, x) in enumerate(secrets.PATTERNS.items()))
+    allowed = " OR ".join(f"regexp_matches(m, '{p}')" for p in secrets.ALLOWED)
+    limit = "CASE " + " ".join(f"WHEN regexp_matches(m, '{p}') THEN {secrets.most(bits)}" for _, p, bits in secrets.CLASSES) + " END"
+    counts = "SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.PATTERNS)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        base AS (SELECT doc_id, kind, k, s, s + length(m) AS e FROM ({base})),
+        cands AS (SELECT doc_id, m, s, s + length(m) AS e FROM ({spans(secrets.ENTROPY, secrets.CANDIDATE, 1, secrets.WINDOW)}) WHERE NOT ({allowed})),
+        windows AS (SELECT *, unnest(range(1, length(m) - {secrets.WINDOW - 2})) AS i FROM cands),
+        chars AS (SELECT doc_id, s, i, m[i + j] AS c, count(*) AS n FROM windows, range(0, {secrets.WINDOW}) r(j) GROUP BY ALL),
+        sums AS (SELECT doc_id, s, i, sum({secrets.TERMS}[n + 1]) AS total FROM chars GROUP BY ALL),
+        low AS (SELECT doc_id, s, min(total) AS total FROM sums GROUP BY ALL),
+        high AS (SELECT doc_id, '{secrets.ENTROPY}' AS kind, {len(secrets.PATTERNS)} AS k, c.s, c.e FROM cands c JOIN low USING (doc_id, s)
+                 WHERE total <= {limit} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND b.e > c.s)),
+        n AS ({counts}, doc_id, string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, k) AS said FROM base GROUP BY doc_id),
+        a AS (SELECT doc_id, string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, k) AS spans FROM (SELECT * FROM base UNION ALL BY NAME SELECT * FROM high) GROUP BY doc_id)
+        SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0)::BIGINT AS n_{k}' for k in secrets.PATTERNS)}, sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, oracle, quality
+from . import exact_dedup, licenses, mixing, oracle, quality, secrets
 from ._common import read
 
 
@@ -14,6 +14,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read(spark, sf_dir, "documents"))
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(read(spark, sf_dir, "documents"))
 
@@ -24,12 +32,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_mix_sources": op4_mix_sources,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": oracle.exact_dedup_sql(),
+    "op3_secret_scan": oracle.secrets_sql(),
     "op9_license_scan": oracle.licenses_sql(),
     "op10_quality_rules": oracle.quality_sql(),
 }
