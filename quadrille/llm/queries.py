@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, oracle, quality, secrets, toxicity
+from . import exact_dedup, licenses, mixing, oracle, packing, quality, secrets, toxicity
 from ._common import read
 
 
@@ -22,6 +22,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing(read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
+    "op5_pack_sequences": op5_pack_sequences,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
