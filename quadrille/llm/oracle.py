@@ -88,3 +88,18 @@ def secrets_sql() -> str:
         a AS (SELECT doc_id, string_agg(concat_ws(':', kind, s::BIGINT, e::BIGINT), ',' ORDER BY s, k) AS spans FROM (SELECT * FROM base UNION ALL BY NAME SELECT * FROM high) GROUP BY doc_id)
         SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0)::BIGINT AS n_{k}' for k in secrets.PATTERNS)}, sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+def near_duplicates_sql(percent: int = 80) -> str:
+    """Two-word shingles, all pairs that share one, and the closure of their links."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT.format(t=low)} AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT *, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= {percent} * (na.n + nb.n - k)),
+        sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, t.b FROM reach r JOIN sym t ON r.b = t.a),
+        c AS (SELECT a AS doc_id, least(a, min(b)) AS c FROM reach GROUP BY a)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, mixing, oracle, packing, quality, secrets, toxicity
+from . import exact_dedup, licenses, minhash, mixing, oracle, packing, quality, secrets, toxicity
 from ._common import read
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack_sequences": op5_pack_sequences,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": oracle.exact_dedup_sql(),
+    "op2_minhash_near_dedup": oracle.near_duplicates_sql(),
     "op3_secret_scan": oracle.secrets_sql(),
     "op9_license_scan": oracle.licenses_sql(),
     "op10_quality_rules": oracle.quality_sql(),
