@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, htmltree, licenses, minhash, mixing, oracle, packing, quality, secrets, toxicity
+from . import exact_dedup, htmltree, licenses, minhash, mixing, oracle, packing, quality, secrets, suffixdedup, toxicity
 from ._common import read
 
 
@@ -30,6 +30,10 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltree.extract(read(spark, sf_dir, "pages"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_pack_sequences": op5_pack_sequences,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_html_main_text": op7_html_main_text,
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
