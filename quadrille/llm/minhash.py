@@ -7,8 +7,10 @@
 3. Candidates are compared by batches of their signatures. With a uniform prior the posterior probability that the
    similarity reaches the threshold, after m of n equal, is P(Binomial(n + 1, threshold) <= m); a pair whose posterior
    falls below ``miss`` is dropped, the others are confirmed on their full sets.
-4. Buckets whose members aren't yet in one component are compared further: every member outside the bucket's largest
-   component with all members of other components. So every pair that shares a band key is compared or already linked.
+4. Buckets whose members aren't yet in one component are taken further: every member outside the bucket's largest
+   component is compared with LEADERS members of that component, which links nearly all that can be linked. What is
+   still apart is compared within clusters of overlapping buckets, block by block and in memory: every pair of different
+   components that shares a band key meets in one group, and only links leave it.
 
 A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 1.3e-7 at 0.8.
 """
@@ -29,6 +31,10 @@ from ._common import cut, text_of
 from .components import components
 
 BANDS, ROWS = 40, 5
+#: Members of a bucket's largest component that the others are compared with before all of them.
+LEADERS = 8
+#: Ids in a block of a cluster.
+BLOCK = 1024
 HASHES = BANDS * ROWS
 #: Signature bytes compared in one step; the posterior below which a pair is dropped.
 BATCH, MISS = 40, 1e-7
@@ -115,27 +121,80 @@ def _survive(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b), a written table, whose full sets are similar enough. texts: (id, t)."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+def _sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """id, s: the shingle sets (as bytes) of at least the given ids, a written table; texts: (id, t)."""
     bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     table = ids.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)  # at most FILTER_BITS / 64 rows came
     bits[table["w"].to_numpy()] = table["v"].to_numpy()
     shared = texts.sparkSession.sparkContext.broadcast(bits)
-    kind = texts.schema["id"].dataType.simpleString()
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for batch in batches:
             at = batch.column(2).to_numpy()
-            wanted = pa.array((have[at >> 6] >> (at & 63)) & 1 == 1)
-            batch = batch.filter(wanted)
+            batch = batch.filter(pa.array((have[at >> 6] >> (at & 63)) & 1 == 1))
             if batch.num_rows:
                 sets = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.binary())], ["id", "s"])
 
-    sets = texts.select("id", "t", bit.alias("bit")).mapInArrow(fetch, f"id {kind}, s binary")
+    return texts.select("id", "t", bit.alias("bit")).mapInArrow(fetch, f"id {texts.schema['id'].dataType.simpleString()}, s binary")
+
+
+def _within_clusters(open_: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among the rows (key, id, c), a written table: of all pairs of different components c that share a band key.
+
+    Ids that are connected over keys form a cluster; a cluster is dealt into blocks of about BLOCK ids, and each pair of
+    blocks is one group, in which pairs are compared in memory: only links come out, and a group holds two blocks at most.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    first = open_.groupBy("key").agg(F.min("id").alias("a"))
+    clusters = components(open_.join(first, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()).withColumnRenamed("component", "cluster")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = clusters.join(cut(blocks), "cluster").join(open_.select("id", "c").distinct(), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    ids = cut(placed)
+    whole = ids.join(reps, "id").join(_sets(ids.select("id"), texts, width), "id")
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "c", "n", "bands", "sig", "s")
+    limits = least_equal(percent / 100)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        m = table.num_rows
+        own, n, ids = (table[k].to_numpy() for k in ("own", "n", "id"))
+        bands = table["bands"].chunk(0).flatten().to_numpy().reshape(m, BANDS) if m else np.zeros((0, BANDS))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint8).reshape(m, HASHES)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["s"].to_pylist()]
+        _, part = np.unique(table["c"].to_numpy(), return_inverse=True)
+        same_block = table["x"][0].as_py() == table["y"][0].as_py() if m else True
+        a, b = [], []
+        for i in range(m):
+            near = (part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            near[: i + 1] = False
+            if not same_block:  # pairs within a block are met where it is paired with itself
+                near &= own != own[i]
+            at = np.flatnonzero(near)
+            at = at[(bands[at] == bands[i]).any(axis=1)]
+            equal, done = np.zeros(len(at), dtype=np.int32), 0
+            for count, least in limits:
+                equal = equal + (sig[at, done:count] == sig[i, done:count]).sum(axis=1)
+                at, equal, done = at[equal >= least], equal[equal >= least], count
+            for j in at[np.argsort(-equal, kind="stable")].tolist():  # the likeliest first: what becomes connected needs no more
+                if part[j] == part[i]:
+                    continue
+                x, y = sets[i], sets[j]
+                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * same >= percent * (len(x) + len(y) - same):
+                    a.append(ids[i]), b.append(ids[j])
+                    part[part == part[j]] = part[i]
+        return pa.table([pa.array(a, table.schema.field("id").type), pa.array(b, table.schema.field("id").type)], ["a", "b"])
+
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, whose full sets are similar enough. texts: (id, t)."""
+    kind = texts.schema["id"].dataType.simpleString()
+    sets = _sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), texts, width)
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +210,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
+def _apart(placed: DataFrame) -> DataFrame:
+    """The rows (key, id, c), a written table, whose key has several components, with ``most``, the one with most rows; a written table."""
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    return cut(placed.join(cut(keys), "key"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable over links), kept.
 
@@ -192,19 +258,23 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     links = cut(_confirmed(cut(_survive(stars, reps, percent)), texts, width, percent))
     found = components(links)
 
-    # buckets that are not yet one component: members outside the largest one meet all of the others
-    placed = cut(members.where("size > 2").join(found, "id", "left").select("key", "id", "first", F.coalesce("component", "id").alias("c")))
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    apart = cut(sizes.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("most"), F.count("*").alias("parts")).where("parts > 1"))
-    if not apart.isEmpty():
-        open_ = cut(placed.join(apart, "key"))
-        minor = open_.where("c <> most").select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "first")
-        every = open_.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), "most")
-        more = minor.join(every, "key").where("ca <> cb and (cb = most or a < b) and a <> first and b <> first")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        second = cut(_confirmed(cut(_survive(more, reps, percent)), texts, width, percent))
-        if not second.isEmpty():
-            found = components(links.unionByName(second))
+    # buckets that are not yet one component: members outside the largest one meet some of its members; those still apart
+    # are compared within clusters
+    buckets = members.where("size > 2").select("key", "id")
+    for leaders in (LEADERS, 0):
+        open_ = _apart(cut(buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))))
+        if open_.isEmpty():
+            break
+        if leaders:
+            minor = open_.where("c <> most").select("key", F.col("id").alias("a"))
+            some = open_.where("c = most").groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(leaders)))).alias("b"))
+            more = minor.join(some.select("key", F.explode("b").alias("b")), "key").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            new = cut(_confirmed(cut(_survive(more, reps, percent)), texts, width, percent))
+        else:
+            new = cut(_within_clusters(open_, reps, texts, width, percent))
+        if not new.isEmpty():
+            links = cut(links.unionByName(new))
+            found = components(links)
 
     out = sketches.select("id", "n", "cls").join(classes, "cls", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
