@@ -1,0 +1 @@
+"""SPARQL queries and updates over RDF graphs as DataFrame plans."""

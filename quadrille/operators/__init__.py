@@ -1,0 +1 @@
+"""Operators on solution mappings and quads."""
