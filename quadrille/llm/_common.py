@@ -45,6 +45,12 @@ def cut(df: DataFrame, *, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch, rows: int = 500):
+    """An Arrow batch in parts of so many rows, so that only a part's texts are Python objects at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def text_of(docs: DataFrame, col: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(docs[col].cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, text_of
+from ._common import cut, slices, text_of
 
 GAMMA, LEAST = 0.9, 0.2
 #: Nodes enter a host's tree if they stand on so many of its pages and on so large a share.
@@ -259,7 +259,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("host"), text_of(pages, html_col).alias("html")).join(low, "host", "left").select("id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts = [main_text(t, frozenset(low or ())) for t, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._common import cut, text_of
+from ._common import cut, slices, text_of
 from .components import components
 
 BANDS, ROWS = 40, 5
@@ -131,7 +131,7 @@ def _sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2000)):
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((have[at >> 6] >> (at & 63)) & 1 == 1))
             if batch.num_rows:
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _seeds()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2000)):
             n, cls, keys, sigs = [], [], [], []
             known: dict[bytes, tuple] = {}
             for s in shingle_sets(batch.column(1), width):

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import slices, text_of
 
 SIZE, END = 2048, 1
 SENTENCE, ELSEWHERE, ONE = 2, 24, 16
 #: Tokens between cuts elsewhere; tokens in a block.
-STEP, BLOCK = 64, 1 << 21
+STEP, BLOCK = 64, 1 << 19
 
 # Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -44,13 +44,12 @@ class Encoder:
 
     def __init__(self, file: str | None):
         import tiktoken
-        from tokenizers import Tokenizer
 
         if file is None:
             import public_tokenizers
 
             file = public_tokenizers.path("byte_bpe_50k.json")
-        self.slow = Tokenizer.from_file(file)
+        self.file, self.slow = file, None  # loaded when first needed
         with open(file, encoding="utf-8") as f:
             whole = json.load(f)
         special = {t["content"] for t in whole.get("added_tokens", [])}
@@ -70,6 +69,10 @@ class Encoder:
                 return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
             except Exception:  # a piece too long for its regular expressions
                 pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.file)
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -175,7 +178,7 @@ def packing(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc
                 columns = list(zip(*pieces, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=id_type), *(pa.array(c, type=pa.int64()) for c in columns[1:])], names)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             id_type = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = encoder.ids(text)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_of
+from ._common import slices, text_of
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
 #: The models are fitted on at most so many labelled rows of each class, those with the smallest hashes of their ids.
@@ -79,9 +79,8 @@ class Ratios:
             key[: m - 1] = 0
             ok = ok.copy()
             ok[: m - 1] = False
-            if m > 2:  # the character that came in last round must not be an end: an end stands first or last only
-                ok[m - 2 :] &= ~ends[1 : n - m + 3]
-                ok[: m - 1] = False
+            if m > 2:  # what was first last round lies within now: an end stands first or last only
+                ok[m - 1 :] &= ~ends[1 : n - m + 2]
             fits[m] = ok
             if m >= SHARED:
                 at = np.flatnonzero(ok)
@@ -174,17 +173,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Scorer:
     """A text's measures; words that were scored before are remembered, up to a bound."""
 
-    def __init__(self, ratios: Ratios, most: int = 300_000):
+    def __init__(self, ratios: Ratios, most: int = 60_000):
         self.ratios, self.known, self.most = ratios, {}, most
 
     def measures(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), len(WINDOWS) + 2))
-        split = [_WORD.findall((t or "").lower()) for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        for i in range(0, len(texts), 500):  # so many new words at a time
-            part = split[i : i + 500]
-            new = list(set().union(*part).difference(self.known)) if part else []
+        for i in range(0, len(texts), 100):  # so few texts are held as words at a time
+            part = [_WORD.findall((t or "").lower()) for t in texts[i : i + 100]]
+            if len(self.known) > self.most:
+                self.known = {}
+            new = list(set().union(*part).difference(self.known))
             if new:
                 self.known.update(zip(new, self.ratios.words(new).tolist(), strict=True))
             for j, words in enumerate(part, i):
@@ -248,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Ratios(*shared.value))
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             x = scorer.measures(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, i]) for i in range(len(names)))], ["y", *names])
 
@@ -259,42 +257,46 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return ratios, logistic(np.column_stack([seen[n].to_numpy() for n in names]), y)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """One row per document: id, held_out, score, predicted (and the columns to ``carry``).
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """id, x0, x1, ... (the columns to carry) and score."""
+    spark = docs.sparkSession
+    ratios, found = fit(docs, labels, id_col=id_col, text_col=text_col)
+    kept = ["id", *(f"x{i}" for i in range(len(carry)))]
+    said = f"x{carry.index(text_col)}" if text_col in carry else "t"  # a text that is carried travels once
+    rows = docs.select(docs[id_col].alias("id"), *(docs[c].alias(f"x{i}") for i, c in enumerate(carry)), *([docs[text_col].alias("t")] if said == "t" else []))
+    if ratios is None:
+        return rows.select(*kept, F.lit(float(found)).alias("score"))
+    shared = spark.sparkContext.broadcast((ratios.arrays, found))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, (b, mean, scale) = shared.value
+        scorer = Scorer(Ratios(*r))
+        for batch in (part for whole in batches for part in slices(whole)):
+            x = scorer.measures(batch.column(said).to_pylist())
+            s = 1 / (1 + np.exp(-np.clip(b[0] + (x - mean) / scale @ b[1:], -30, 30)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s)], [*kept, "score"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", score double"
+    return rows.mapInArrow(score, schema)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, held_out, score, predicted.
 
     A null text counts as empty and scores as one without evidence. Null ids and ids without labels are scored like any
     other; null labels teach nothing. Without labels of both classes every score is the share of toxic ones. Repeated
     rows score alike. Only the text enters the score.
     """
-    spark = docs.sparkSession
-    ratios, found = fit(docs, labels, id_col=id_col, text_col=text_col)
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("t"), *(docs[c].alias(f"x{i}") for i, c in enumerate(carry or [])))
-    if ratios is None:
-        scored = rows.withColumn("score", F.lit(float(found)))
-    else:
-        shared = spark.sparkContext.broadcast((ratios.arrays, found))
-        kept = [c for c in rows.columns if carry or c != "t"]
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r, (b, mean, scale) = shared.value
-            scorer = Scorer(Ratios(*r))
-            for batch in batches:
-                x = scorer.measures(batch.column("t").to_pylist())
-                s = 1 / (1 + np.exp(-np.clip(b[0] + (x - mean) / scale @ b[1:], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s)], [*kept, "score"])
-
-        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + ", score double"
-        scored = rows.mapInArrow(score, schema)
-    return scored.select(
+    return _scored(docs, labels, id_col, text_col, []).select(
         F.col("id").alias(id_col),
         (F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
-        *(F.col(f"x{i}").alias(c) for i, c in enumerate(carry or [])),
     )
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't predicted to be toxic, with all their columns."""
     carry = [c for c in docs.columns if c != id_col]
-    return toxicity(docs, labels, id_col=id_col, text_col=text_col, carry=carry).where("predicted = 0").select(docs.columns)
+    names = {id_col: "id"} | {c: f"x{i}" for i, c in enumerate(carry)}
+    return _scored(docs, labels, id_col, text_col, carry).where(F.col("score") < THRESHOLD).select(*(F.col(names[c]).alias(c) for c in docs.columns))
