@@ -167,7 +167,7 @@ def kneser_ney(counts: dict[str, tuple[int, int]]) -> Ratios:
     return Ratios(np.array([gram_hash(g) for g in grams], dtype=np.uint64), value, back)
 
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\b[^\W\d_]+\b")  # no letters out of numbers and names with digits
 
 
 class Scorer:
@@ -223,7 +223,7 @@ def training_sample(labels: DataFrame, *, id_col: str = "doc_id", label_col: str
 
 def gram_counts(texts: DataFrame, *, least: int = 2) -> DataFrame:
     """gram, toxic, ordinary for (t, y): n-grams of order 1 to 5 of the lower-cased words with a line feed at both ends. Those of order 4 and 5 seen fewer than ``least`` times don't count."""
-    words = texts.select(F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w"), "y").where("w <> ''")
+    words = texts.select(F.explode(F.split(F.lower("t"), r"[^\p{L}\p{N}_]+")).alias("w"), "y").where(F.col("w").rlike(r"^\p{L}+$"))
     words = words.groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("ordinary"))
     ends = words.select(F.concat(F.lit("\n"), "w", F.lit("\n")).alias("w"), "toxic", "ordinary")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1))), lambda i: F.substring(F.col("w"), i, n))))
