@@ -6,7 +6,7 @@ its source's mean size by token. Safeguarded Newton steps solve all sources at o
 sufficient statistic. Rates are then rounded to copies so that each source's total stays by its target:
 
 * large documents (over EPS / 2 of their source, so at most 2 / EPS of them) in order of size, each absorbing the error
-  so far;
+  so far as far as 0 to 2 copies go;
 * the rest by one threshold on hash(id) - fraction, chosen from a histogram so that the source's total meets what the
   large ones left; only within the threshold's own bin documents are ordered.
 """
@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 def multipliers(hist: DataFrame, goals: DataFrame, *, steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
     """r, src, S, T, m, lam: the dual's solution. hist has (r, size, n). lam is null where every rate is MOST (or nothing is asked)."""
-    scale = hist.groupBy("r").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("m"))
+    scale = hist.groupBy("r").agg(F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size")), F.sum(F.col("n") * F.col("size"))).cast("double").alias("m"))
     state = goals.join(scale, "r").select("r", "src", "S", "T", "m", F.lit(0.0).alias("lam"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), (~((F.col("S") > 0) & (F.col("T") < F.col("S") * MOST * (1 - 1e-12)))).alias("done"))
     state = cut(state.withColumn("lam", F.when(~F.col("done"), F.col("lam"))), files=1)
     mass = F.col("n") * F.col("size")
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     hist = by_size.alias("h").join(goals.alias("g"), F.col("h.src").eqNullSafe(F.col("g.src"))).select("r", "size", "n")
     state = multipliers(hist, goals)
     e = F.exp(F.col("lam") * F.col("size") / F.col("m"))
-    rated = rows.alias("d").join(state.alias("s"), F.col("d.src").eqNullSafe(F.col("s.src"))).select("id", "d.src", "size", "u", *more, "r", "S", "T", F.round(F.when(F.col("T") <= 0, 0.0).when(F.col("lam").isNull(), float(MOST)).otherwise(F.least(e, F.lit(float(MOST)))), 8).alias("rate"))
+    rated = rows.alias("d").join(state.alias("s"), F.col("d.src").eqNullSafe(F.col("s.src"))).select("id", "d.src", "size", "u", *more, "r", "S", "T", F.round(F.when(F.col("size") == 0, 1.0).when(F.col("lam").isNull(), float(MOST)).otherwise(F.least(e, F.lit(float(MOST)))), 8).alias("rate"))
     large = (F.col("size") * 2.0 > F.col("S") * EPS) & (F.col("size") > 0)
 
     # large documents: at most 2 / EPS in a source
@@ -94,7 +94,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     def place(s: Column, d: Column) -> Column:
         size = -d["o"]
         want = s["err"] + d["rate"] * size
-        copies = F.greatest(F.floor(d["rate"]), F.least(F.ceil(d["rate"]), F.round(want / size).cast("long")))
+        copies = F.greatest(F.lit(0), F.least(F.lit(MOST), F.round(want / size))).cast("long")
         placed = F.struct(d["id"].alias("id"), size.alias("size"), d["rate"].alias("rate"), copies.alias("copies"), *(d[k].alias(k) for k in more))
         return F.struct((want - copies * size).alias("err"), F.concat(s["out"], F.array(placed)).cast(kinds).alias("out"))
 
