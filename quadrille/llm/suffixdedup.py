@@ -19,22 +19,27 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes
-from ._common import cut, text_of
+from ._common import cut, slices, text_of
 
 LENGTH, GRAM = 50, 16
 SIDE = LENGTH - GRAM
 #: Bytes sorted as symbols of eight before tries take over (the first eight name the anchor).
 SHALLOW = 24
 #: Bytes of text for each partition of anchors and of documents.
-ANCHOR_BYTES, TEXT_BYTES = 1 << 26, 1 << 23
+ANCHOR_BYTES, TEXT_BYTES = 1 << 24, 1 << 22
+#: Rows whose anchors are combined before they are sent.
+ROWS = 2500
 LAST = np.iinfo(np.int64).max
 WHOLE = np.uint32(0xFFFFFFFF)
 
@@ -227,8 +232,20 @@ def _whole(low: bytes, high: bytes) -> np.ndarray:
 
 
 def bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
-    """Partition of a document by its id."""
-    return (_bytes.mix(doc.view(np.uint64) + np.uint64(99)) % np.uint64(n)).astype(np.int32)
+    """Partition of a document by its id: what ``pmod(xxhash64(id), n)`` gives in SQL."""
+    # The primes of XXH64, and SQL's seed.
+    p1, p2, p3, p4, p5, seed = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 42))
+
+    def turn(x: np.ndarray, r: int) -> np.ndarray:
+        return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+    h = np.full(len(doc), np.uint64((int(seed) + int(p5) + 8) & ((1 << 64) - 1)), dtype=np.uint64)
+    h ^= turn(doc.view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    h ^= h >> np.uint64(32)
+    return (h.view(np.int64) % n).astype(np.int32)
 
 
 def _split(by: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -263,7 +280,7 @@ def _places(q: int, doc: np.ndarray, th: np.ndarray, pos: np.ndarray) -> Iterato
 
 def _anchor_rows(p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, ROWS)):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             hs, docs, ths, poss, copies = [], [], [], [], []
             first: dict[bytes, int] = {}  # copies of a text within the batch: only the smallest id's anchors go on
@@ -307,11 +324,17 @@ def _anchor_rows(p: int, q: int):
     return run
 
 
+def _parted(table: pa.Table, kind: int) -> tuple[pa.Table, list[dict]]:
+    """(rows that were settled within a task and only pass, rows of the kind)."""
+    ours = pa.compute.equal(table["kind"], kind)
+    return table.filter(pa.compute.invert(ours)), table.filter(ours).to_pylist()
+
+
 def _shared_places(p: int, q: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        done, rows = _parted(table, HASHES)
         if not rows:
-            return pa.Table.from_batches([_batch([])])
+            return done
         parts = [(*_unrun(r["keys"], r["counts"]), _whole(r["low"], r["high"]), np.frombuffer(r["a"], dtype="<u4").astype(np.uint64) | (np.frombuffer(r["b"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))) for r in rows]
         doc, th, pos, tag = (np.concatenate(x) for x in zip(*parts, strict=True))
         o = np.argsort(tag, kind="stable")
@@ -319,37 +342,48 @@ def _shared_places(p: int, q: int):
         new = np.append(True, tag[1:] != tag[:-1])
         other = np.append(False, ~new[1:] & ((doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
         shared = (np.bincount(np.cumsum(new) - 1, weights=other) > 0)[np.cumsum(new) - 1]
-        return pa.Table.from_batches([_batch(list(_places(q, doc[shared], th[shared], pos[shared])))])
+        return pa.concat_tables([done, pa.Table.from_batches([_batch(list(_places(q, doc[shared], th[shared], pos[shared])))])])
 
     return run
 
 
-def _by_document(table: pa.Table, kinds: tuple[int, ...]) -> dict[tuple[int, int], list[np.ndarray]]:
-    """(id, text hash) -> arrays of places (and windows) in the rows of a documents' partition."""
-    out: dict[tuple[int, int], list] = {}
-    for r in table.to_pylist():
-        if r["kind"] not in kinds:
-            continue
-        keys, counts = np.frombuffer(r["keys"], dtype=_KEY), np.frombuffer(r["counts"], dtype="<u4")
-        pos, ends = _whole(r["low"], r["high"]), np.cumsum(counts)
-        mask = np.frombuffer(r["a"], dtype="<u8") if r["kind"] == WINDOWS else None
-        for k, a, b in zip(keys.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-            out.setdefault(k, []).append(pos[a:b] if mask is None else (pos[a:b], mask[a:b]))
-    return out
+class _Places:
+    """Places (and windows) in the rows of a documents' partition, by document."""
+
+    def __init__(self, table: pa.Table, kinds: tuple[int, ...]):
+        doc, th, pos, mask = [], [], [], []
+        for r in table.to_pylist():
+            if r["kind"] in kinds:
+                d, t = _unrun(r["keys"], r["counts"])
+                doc.append(d), th.append(t), pos.append(_whole(r["low"], r["high"]))
+                mask.append(np.frombuffer(r["a"], dtype="<u8") if r["kind"] == WINDOWS else np.zeros(len(d), dtype=np.uint64))
+        if not doc:
+            self.at, self.pos, self.mask = {}, np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.uint64)
+            return
+        doc, th, pos, mask = (np.concatenate(x) for x in (doc, th, pos, mask))
+        o = np.lexsort((pos, th, doc))
+        doc, th, self.pos, self.mask = doc[o], th[o], pos[o], mask[o]
+        starts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+        ends = np.append(starts[1:], len(doc))
+        self.at = {(d, t): (a, b) for d, t, a, b in zip(doc[starts].tolist(), th[starts].tolist(), starts.tolist(), ends.tolist(), strict=True)}
+
+    def get(self, key: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        a, b = self.at.get(key, (0, 0))
+        return self.pos[a:b], self.mask[a:b]
 
 
 def _context_rows(p: int, q: int):
     def run(texts: pa.Table, places: pa.Table) -> pa.Table:
-        wanted = _by_document(places, (PLACES,))
+        wanted = _Places(places, (PLACES,))
         known: set[tuple[int, int]] = set()
         bufs, parts, at = [], [], 0
         for doc, text in zip(texts["id"].to_pylist(), texts["t"].to_pylist(), strict=True):
             t = text.encode("utf-8", "surrogatepass")
             key = (doc, _hash32(t))
-            if key not in wanted or key in known:
+            if key not in wanted.at or key in known:
                 continue
             known.add(key)
-            pos = np.unique(np.concatenate(wanted[key]))
+            pos = np.unique(wanted.get(key)[0])
             pos = pos[pos != WHOLE].astype(np.int64)
             if len(pos):
                 bufs.append(b"\0" * SIDE + t + b"\0" * SIDE)
@@ -375,7 +409,7 @@ def _context_rows(p: int, q: int):
         go = np.sort(o[doc[head] == doc[o]])
         for v, rows in _split(route[go], p):
             r = go[rows]
-            out.append((v, CONTEXTS, *_runs(doc[r], th[r]), *_halves(pos[r].astype(np.uint32)), np.ascontiguousarray(ctx[r]).tobytes(), np.stack([before[r], after[r]], axis=1).astype(np.uint8).tobytes()))
+            out.append((v, CONTEXTS, *_runs(doc[r], th[r]), *_halves(pos[r].astype(np.uint32)), zstandard.compress(np.ascontiguousarray(ctx[r]).tobytes(), 3), np.stack([before[r], after[r]], axis=1).astype(np.uint8).tobytes()))
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -396,13 +430,13 @@ def _windows(q: int, doc: np.ndarray, th: np.ndarray, pos: np.ndarray, mask: np.
 
 def _found_windows(p: int, q: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        done, rows = _parted(table, CONTEXTS)
         if not rows:
-            return pa.Table.from_batches([_batch([])])
-        parts = [(*_unrun(r["keys"], r["counts"]), _whole(r["low"], r["high"]), np.frombuffer(r["a"], dtype=np.uint8).reshape(-1, GRAM + 2 * SIDE), np.frombuffer(r["b"], dtype=np.uint8).reshape(-1, 2)) for r in rows]
+            return done
+        parts = [(*_unrun(r["keys"], r["counts"]), _whole(r["low"], r["high"]), np.frombuffer(zstandard.decompress(r["a"]), dtype=np.uint8).reshape(-1, GRAM + 2 * SIDE), np.frombuffer(r["b"], dtype=np.uint8).reshape(-1, 2)) for r in rows]
         doc, th, pos, ctx, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         mask = earlier(ctx[:, SIDE : SIDE + GRAM], ctx[:, SIDE - 1 :: -1] if SIDE else ctx[:, :0], ctx[:, SIDE + GRAM :], sizes[:, 0].astype(int), sizes[:, 1].astype(int), doc)
-        return pa.Table.from_batches([_batch(list(_windows(q, doc, th, pos, mask)))])
+        return pa.concat_tables([done, pa.Table.from_batches([_batch(list(_windows(q, doc, th, pos, mask)))])])
 
     return run
 
@@ -416,16 +450,18 @@ def removed_runs(starts: np.ndarray) -> np.ndarray:
 
 
 def _cut_texts(texts: pa.Table, found: pa.Table) -> pa.Table:
-    by = _by_document(found, (PLACES, WINDOWS))
+    by = _Places(found, (PLACES, WINDOWS))
+    bits = np.arange(SIDE + 1, dtype=np.uint64)
     ids, size, gone, spans, shas, kept_texts = [], [], [], [], [], []
     for doc, text in zip(texts["id"].to_pylist(), texts["t"].to_pylist(), strict=True):
         t = text.encode("utf-8", "surrogatepass")
-        parts = by.get((doc, _hash32(t)), [])
-        if any(not isinstance(x, tuple) and (x == WHOLE).any() for x in parts):
+        pos, mask = by.get((doc, _hash32(t)))
+        if len(pos) and pos[-1] == WHOLE:  # places rise
             runs = np.array([[0, len(t)]])
         else:
-            starts = [np.concatenate([pos[(mask >> np.uint64(b)) & np.uint64(1) == 1].astype(np.int64) - b for b in range(SIDE + 1)]) for pos, mask in (x for x in parts if isinstance(x, tuple))]
-            runs = removed_runs(np.unique(np.concatenate(starts)) if starts else np.zeros(0, dtype=np.int64))
+            pos, mask = pos[mask > 0], mask[mask > 0]
+            row, back = np.nonzero((mask[:, None] >> bits) & np.uint64(1))
+            runs = removed_runs(np.unique(pos[row].astype(np.int64) - back))
         keep, at = [], 0
         for a, b in runs.tolist():
             keep.append(t[at:a])
@@ -436,12 +472,14 @@ def _cut_texts(texts: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
-def _released(df: DataFrame) -> DataFrame:
-    """``df`` written, and the shuffle files behind it let go once nothing refers to them."""
-    out = cut(df)
-    del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+def _released(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` plans, written; then nothing refers to its exchanges, and a collection lets Spark remove their files."""
+    out = cut(make())
+    for _ in range(2):  # Python lets go of the plan, the JVM finds it free, and Spark's cleaner takes the files
+        gc.collect()
+        time.sleep(0.5)
+        out.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
     return out
 
 
@@ -458,29 +496,19 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     p, q = 1 + total // ANCHOR_BYTES, 1 + total // TEXT_BYTES
 
     def places() -> DataFrame:
-        sent = rows.mapInArrow(_anchor_rows(p, q), _BLOB)
-        done = cut(sent)
-        compared = done.where(f"kind = {HASHES}").groupBy("route").applyInArrow(_shared_places(p, q), _BLOB)
-        return done.where(f"kind = {PLACES}").unionByName(compared)
+        return rows.mapInArrow(_anchor_rows(p, q), _BLOB).groupBy("route").applyInArrow(_shared_places(p, q), _BLOB)
 
-    shared = _released(places())
+    shared = _released(places)
 
     def keyed() -> DataFrame:
-        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                route = bucket_of(np.ascontiguousarray(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)), q)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(route)], ["id", "t", "route"])
-
-        return rows.mapInArrow(name, "id long, t string, route int")
+        return rows.withColumn("route", F.pmod(F.xxhash64("id"), F.lit(q)).cast("int")).groupBy("route")
 
     def windows() -> DataFrame:
-        sent = keyed().groupBy("route").cogroup(shared.groupBy("route")).applyInArrow(_context_rows(p, q), _BLOB)
-        done = cut(sent)
-        compared = done.where(f"kind = {CONTEXTS}").groupBy("route").applyInArrow(_found_windows(p, q), _BLOB)
-        return done.where(f"kind = {WINDOWS}").unionByName(compared)
+        sent = keyed().cogroup(shared.groupBy("route")).applyInArrow(_context_rows(p, q), _BLOB)
+        return sent.groupBy("route").applyInArrow(_found_windows(p, q), _BLOB)
 
-    found = _released(windows())
+    found = _released(windows)
     whole = shared.unionByName(found)
-    out = keyed().groupBy("route").cogroup(whole.groupBy("route")).applyInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    out = keyed().cogroup(whole.groupBy("route")).applyInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     named = F.when(F.col("id") != int(LAST), F.col("id")).alias(id_col)
     return out.select(named, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_bytes"] if carry_bytes else []))
