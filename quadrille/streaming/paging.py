@@ -44,7 +44,7 @@ def encode(token: dict) -> str:
 def decode(text: str) -> dict:
     try:
         token = json.loads(base64.urlsafe_b64decode(text.encode()))
-        return token if {"query", "graph", "versions", "served"} <= set(token) else _bad()
+        return token if {"query", "graph", "versions", "served", "vars"} <= set(token) else _bad()
     except (ValueError, TypeError) as e:
         raise BadToken(str(e)) from e
 
@@ -79,6 +79,7 @@ class ResultCache:
     def __init__(self, spark, root: str, most: int = 64):
         self.spark, self.root, self.most, self.files = spark, root.rstrip("/"), most, Files(spark)
         self.used: dict[str, float] = {}
+        self.frames: dict[str, DataFrame] = {}
         self.jobs: dict[str, threading.Thread] = {}
         self.failed: dict[str, BaseException] = {}
         self.lock = threading.Lock()
@@ -117,7 +118,9 @@ class ResultCache:
             for old in sorted(self.used, key=self.used.get)[: max(0, len(self.used) - self.most)]:
                 self.files.delete(self.path(old))
                 del self.used[old]
+                self.frames.pop(old, None)
             self.failed.pop(key, None)
+            self.frames.pop(key, None)
 
             def work() -> None:
                 try:
@@ -138,8 +141,11 @@ class ResultCache:
     def cancel(self, key: str) -> None:
         self.spark.sparkContext.cancelJobGroup(key)
 
-    def read(self, key: str, schema, start: int, count: int) -> list[dict]:
-        df = self.spark.read.parquet(self.path(key)).where((F.col("n") >= start) & (F.col("n") < start + count))  # the range reaches the reader
+    def read(self, key: str, start: int, count: int) -> list[dict]:
+        self.used[key] = time.time()
+        if key not in self.frames:
+            self.frames[key] = self.spark.read.parquet(self.path(key))
+        df = self.frames[key].where((F.col("n") >= start) & (F.col("n") < start + count))  # the range reaches the reader
         return [r.asDict() for r in df.orderBy("n").drop("n").collect()]
 
 
@@ -149,25 +155,31 @@ class Pager:
     def __init__(self, cache: ResultCache, run, stateless: bool = True, tokens: TokenStore | None = None):
         self.cache, self.run, self.stateless, self.tokens = cache, run, stateless, tokens or TokenStore()
 
+    @staticmethod
+    def _key(token: dict) -> str:
+        return hashlib.sha256(json.dumps([token["query"], token["graph"], token["versions"]], sort_keys=True).encode()).hexdigest()
+
     def page(self, query: str, graph: str, next_token: str | None = None, quantum: float | None = None, max_results: int | None = None) -> Page:
         """The next page: at most ``max_results`` rows; with a quantum (milliseconds), maybe none yet."""
         began = time.time()
         if next_token is None:
-            token = {"query": query, "graph": graph, "versions": None, "served": 0}
+            token = {"query": query, "graph": graph, "versions": None, "served": 0, "vars": None}
         else:
             token = decode(next_token if self.stateless else self.tokens.get(next_token))
             if (query and query != token["query"]) or (graph and graph != token["graph"]):
                 raise BadToken("the token belongs to another query")
-        df, versions, stats = self.run(token["query"], token["graph"], token["versions"])
-        token["versions"] = versions
-        stats = {**stats, "import": (time.time() - began) * 1000}
-        key = hashlib.sha256(json.dumps([token["query"], token["graph"], versions], sort_keys=True).encode()).hexdigest()
-        self.cache.start(key, lambda: df)
+        key = self._key(token) if token["versions"] is not None else None
+        stats: dict = {}
+        if key is None or not self.cache.ready(key):  # a result that is written needs no plan
+            df, token["versions"], stats = self.run(token["query"], token["graph"], token["versions"])
+            token["vars"], key = list(df.columns), self._key(token)
+            self.cache.start(key, lambda: df)
+        stats["import"] = (time.time() - began) * 1000
         bindings: list[dict[str, str]] = []
         more = True
         if self.cache.wait(key, None if quantum is None else max(0.0, quantum / 1000 - (time.time() - began))):
             count = (1 << 62) - token["served"] if max_results is None else max_results
-            rows = self.cache.read(key, df.schema, token["served"], count + 1 if max_results is not None else count)
+            rows = self.cache.read(key, token["served"], count + 1 if max_results is not None else count)
             more = max_results is not None and len(rows) > max_results  # one row beyond the page tells
             bindings = [{f"?{k}": v for k, v in r.items() if v is not None} for r in rows[:max_results]]
             token["served"] += len(bindings)
@@ -180,4 +192,4 @@ class Pager:
         if next_token is not None and not self.stateless:
             self.tokens.delete(next_token)
         stats["export"] = (time.time() - exported) * 1000
-        return Page(bindings, text, list(df.columns), stats)
+        return Page(bindings, text, token["vars"], stats)
