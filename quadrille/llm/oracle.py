@@ -103,3 +103,19 @@ def near_duplicates_sql(percent: int = 80) -> str:
         reach(a, b) AS (SELECT a, b FROM sym UNION SELECT r.a, t.b FROM reach r JOIN sym t ON r.b = t.a),
         c AS (SELECT a AS doc_id, least(a, min(b)) AS c FROM reach GROUP BY a)
         SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def repeated_passages_sql(length: int = 50) -> str:
+    """All windows of ``length`` bytes, as hexadecimal digits, with the smallest document of each."""
+    return f"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substring(h, 2 * i + 1, {2 * length}) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {length - 1})) AS i FROM d)),
+        f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g),
+        c AS (SELECT doc_id, i FROM w JOIN f USING (g) WHERE first < doc_id),
+        marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM c),
+        numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM marked),
+        runs AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM numbered GROUP BY doc_id, r),
+        before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM runs),
+        cut AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substring(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS kept FROM before JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""

@@ -67,6 +67,7 @@ SQL: dict[str, str] = {
     "op1_exact_dedup": oracle.exact_dedup_sql(),
     "op2_minhash_near_dedup": oracle.near_duplicates_sql(),
     "op3_secret_scan": oracle.secrets_sql(),
+    "op6_suffix_array_dedup": oracle.repeated_passages_sql(),
     "op9_license_scan": oracle.licenses_sql(),
     "op10_quality_rules": oracle.quality_sql(),
 }
