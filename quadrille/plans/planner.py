@@ -97,13 +97,39 @@ class Planner:
         df = left.df.join(r, on).select(*(F.coalesce(c, f"{c}?").alias(c) if c in shared else F.col(c) for c in left.df.columns), *(c for c in right.df.columns if c not in shared))
         return Rows(df, left.always | right.always)
 
-    def order(self, patterns: list[tuple[str | None, Pattern]]) -> list[tuple[str | None, Pattern]]:
-        """Fewest triples first, then always the smallest pattern that shares a variable with those before."""
+    def stars(self, patterns: list[tuple[str | None, Pattern]]) -> list[tuple[str | None, tuple[Pattern, ...]]]:
+        """Patterns in groups that one scan answers: those with one subject whose predicates a source keeps in one row."""
+        groups: dict[object, list[Pattern]] = {}
+        for i, (g, p) in enumerate(patterns):
+            key: object = i
+            uris = self.default if g is None else () if g.startswith("?") or g not in self.graph_names() else (g,)
+            sources = [x for x in (self.catalog.source(u) for u in uris) if x is not None]
+            if len(sources) == 1 and hasattr(sources[0], "row_of") and not p.p.startswith("?") and not self.compat:
+                row = sources[0].row_of(p.p)
+                key = i if row is None else (g, p.s, row)
+            groups.setdefault((g, key), []).append(p)
+        return [(g, tuple(ps)) for (g, _), ps in groups.items()]
+
+    def star(self, graph: str | None, patterns: tuple[Pattern, ...]) -> Rows:
+        source = self.catalog.source(self.default[0] if graph is None else graph)
+        s = patterns[0].s
+        df = source.star(None if s.startswith("?") else s, [(p.p, None if p.o.startswith("?") else p.o) for p in patterns])
+        where: dict[str, str] = {}
+        for column, x in (("s", s), *((f"o{i}", p.o) for i, p in enumerate(patterns))):
+            if x.startswith("?"):
+                if x[1:] in where:
+                    df = df.where(F.col(column) == F.col(where[x[1:]]))
+                where.setdefault(x[1:], column)
+        out = df.select(*(F.col(c).alias(v) for v, c in where.items())) if where else df.select(F.lit(1).alias("?")).drop("?")
+        return Rows(out, frozenset(where))
+
+    def order(self, patterns: list[tuple[str | None, Pattern]]) -> list[tuple[str | None, tuple[Pattern, ...]]]:
+        """Fewest triples first, then always the smallest group that shares a variable with those before."""
         sized = []
-        for g, p in patterns:
-            n = self.estimate(g, p)
-            sized.append((n, len(sized), g, p))
-            self.cardinalities.append({"pattern": {"subject": p.s, "predicate": p.p, "object": p.o, "graph": g}, "cardinality": n})
+        for g, ps in self.stars(patterns):
+            numbers = [self.estimate(g, p) for p in ps]
+            sized.append((min(numbers), len(sized), g, ps))
+            self.cardinalities += [{"pattern": {"subject": p.s, "predicate": p.p, "object": p.o, "graph": g}, "cardinality": n} for p, n in zip(ps, numbers, strict=True)]
         rest, out, seen = sorted(sized, key=lambda x: x[:2]), [], set()
         while rest:
             pick = next((x for x in rest if not out or seen & self._names(x[2], x[3])), rest[0])
@@ -113,13 +139,13 @@ class Planner:
         return out
 
     @staticmethod
-    def _names(graph: str | None, p: Pattern) -> set[str]:
-        return set(p.variables) | ({graph[1:]} if graph and graph.startswith("?") else set())
+    def _names(graph: str | None, ps: tuple[Pattern, ...]) -> set[str]:
+        return {v for p in ps for v in p.variables} | ({graph[1:]} if graph and graph.startswith("?") else set())
 
     def bgp(self, patterns: list[tuple[str | None, Pattern]]) -> Rows:
         rows = None
-        for g, p in self.order(patterns):
-            scanned = self.scan(g, p)
+        for g, ps in self.order(patterns):
+            scanned = self.scan(g, ps[0]) if len(ps) == 1 else self.star(g, ps)
             rows = scanned if rows is None else self.join(rows, scanned)
         return rows or self.unit()
 

@@ -42,7 +42,7 @@ def lifted(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(TABL
         df = spark.read.parquet(f"{sf_dir}/{n}.parquet")
         if n == "lineitem":  # its rows may repeat, a graph's triples may not
             df = df.select(*dict.fromkeys([*keys, *columns, *links])).distinct()
-        maps.append(TableMap(n, df, keys, [*columns, *links], links, rows))
+        maps.append(TableMap(n, df, keys, [*columns, *links], links, rows, unique=n != "lineitem"))
     return RelationalSource(BASE, maps)
 
 

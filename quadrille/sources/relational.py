@@ -26,6 +26,7 @@ class TableMap:
     columns: list[str]
     links: dict[str, str] = field(default_factory=dict)
     rows: float = 1e6
+    unique: bool = False  # whether the keys name one row
 
 
 class RelationalSource:
@@ -83,6 +84,22 @@ class RelationalSource:
             return next(iter(self.tables.values())).df.sparkSession.createDataFrame([], "s string, p string, o string")
         return functools.reduce(DataFrame.unionByName, parts)
 
+    def row_of(self, p: str) -> str | None:
+        """What has at most one value of ``p`` and of all other predicates with the same answer for each subject: the table, if its keys are unique."""
+        t = self.of[p][0] if p in self.of else None
+        return t.name if t is not None and t.unique else None
+
+    def star(self, s: str | None, pairs: list[tuple[str, str | None]]) -> DataFrame:
+        """s, o0, o1, ...: all subjects with all the predicates (and objects, where given), by one scan of their table and without a join."""
+        t = self.of[pairs[0][0]][0]
+        rows = self._rows(t, s)
+        if rows is None:
+            rows = t.df.limit(0)
+        for p, o in pairs:
+            c = self.of[p][1]
+            rows = rows.where(F.col(c).isNotNull() if o is None else self._is_object(t, c, o))
+        return rows.select(self.subject(t).alias("s"), *(self.object(t, self.of[p][1]).alias(f"o{i}") for i, (p, _) in enumerate(pairs)))
+
     def estimate(self, s: str | None = None, p: str | None = None, o: str | None = None) -> float:
         size = self.of[p][0].rows if p in self.of else 0.0 if p is not None else sum(t.rows * len(t.columns) for t in self.tables.values())
         return size / (1 if s is None else max(size, 1)) / (1 if o is None else 50) if p is not None else size / 10 ** (8 - shape_rank(s, p, o))

@@ -23,3 +23,11 @@ def test_constants_reach_the_reader(spark, small):
     plan = queries.sparql("SELECT ?c WHERE { ?o v:o_orderstatus 'F' . ?o v:o_custkey ?c }")(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan and "o_orderpriority" not in plan
     assert "EqualTo(c_custkey,7)" in queries.sparql("SELECT ?o WHERE { b:customer\\/7 v:c_name ?o }")(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stars_need_no_join(spark, small):
+    for text in (queries.SELECTS["bgp_star"][0], "SELECT * WHERE { ?s v:o_orderstatus 'F' . ?s v:o_custkey b:customer\\/7 . ?s v:o_orderpriority ?p . ?s v:o_orderpriority ?q }"):
+        df = queries.sparql(text)(spark, small)
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    both = queries.sparql("SELECT * WHERE { ?s v:n_regionkey ?r . ?s v:n_name ?r }")(spark, small)  # a variable twice in a star
+    assert both.count() == 0
