@@ -43,7 +43,7 @@ ROLES = re.compile(
     re.I,
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(RAW[:-2]) + r"|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(RAW[:-2]) + r"|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)  # the second form of tags: quotes that don't close
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -99,16 +99,17 @@ def walk(text: str) -> Iterator[tuple[str, Page, str]]:
         if m.start() > at and not skip:
             yield "text", page, text[at : m.start()]
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
+        closing = bool(m[2] or m[5])
         if tag == "head":
-            skip = not m[2]
+            skip = not closing
             continue
         if skip and tag != "body":
             continue
         skip = False
-        if m[2]:
+        if closing:
             if tag in BLOCKS:
                 yield "break", page, tag
             page.close(tag)
@@ -122,7 +123,7 @@ def walk(text: str) -> Iterator[tuple[str, Page, str]]:
             continue
         if tag in ("html", "body") and tag in page.names:
             continue
-        page.push(tag, m[4])
+        page.push(tag, m[4] or m[7] or "")
         yield "open", page, tag
     if at < len(text) and not skip:
         yield "text", page, text[at:]

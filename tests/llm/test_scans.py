@@ -115,6 +115,7 @@ def test_main_text():
     assert htmltree.main_text(PAGE) == "The & title\nFirst bold line x.\nSecond <p> © 2020\none\ntwo"
     assert htmltree.main_text("") == "" and htmltree.main_text("just text") == "just text" and htmltree.main_text("<p>a<p>b") == "a\nb"
     assert htmltree.main_text("<article><p>unclosed &am <b>x") == "unclosed &am x" and htmltree.main_text("<div><p>a</div></div>c<script>x") == "a\nc"
+    assert htmltree.main_text('<p class="x>one</p><p title=it\'s>two</p>') == "one\ntwo" and htmltree.main_text('a < b <p>c > d') == "a < b\nc > d"
 
 
 def test_site_tree_removes_what_a_host_repeats(spark):
