@@ -2,9 +2,10 @@
 
 A graph is a folder. ``commits/N.json`` names version N: its time and the folder of its triples, either a whole base or
 a delta of (s, p, o, op). A version exists once its commit file does, and creating that file fails if another writer has
-made the same version, so commits are atomic and the second of two writers gets a conflict. Reading version N takes the
-last base up to N and, by key, the last operation of the deltas since. Bases are sorted by predicate, subject and object,
-so that scans with constants skip row groups.
+made the same version, so commits are atomic and the second of two writers gets a conflict (on file systems whose create
+without overwriting is atomic, such as HDFS and local disks). Reading version N takes the last base up to N and, by key,
+the last operation of the deltas since. Bases are sorted by predicate, subject and object, so that scans with constants
+skip row groups.
 """
 
 from __future__ import annotations
@@ -139,10 +140,16 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         self.attached: dict[str, object] = {}
+        self._texts: dict[str, str] = {}  # commits and names never change once written
+
+    def _text(self, path: str) -> str:
+        if path not in self._texts:
+            self._texts[path] = self.files.read(path)
+        return self._texts[path]
 
     def commits(self, path: str) -> list[dict]:
         names = sorted(x for x in self.files.listing(f"{path}/commits") if x.endswith(".json"))
-        return [json.loads(self.files.read(f"{path}/commits/{x}")) for x in names]
+        return [json.loads(self._text(f"{path}/commits/{x}")) for x in names]
 
     def create(self, uri: str) -> StoredGraph:
         g = StoredGraph(self, uri)
@@ -154,7 +161,7 @@ class Store:
         self.attached[uri] = source
 
     def stored(self) -> list[str]:
-        return [self.files.read(f"{self.root}/{x}/uri") for x in sorted(self.files.listing(self.root)) if self.files.exists(f"{self.root}/{x}/uri")]
+        return [self._text(f"{self.root}/{x}/uri") for x in sorted(self.files.listing(self.root)) if self.files.exists(f"{self.root}/{x}/uri")]
 
     def names(self) -> list[str]:
         return [*self.attached, *self.stored()]
