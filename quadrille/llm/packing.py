@@ -14,6 +14,7 @@ windows of a block are solved again with the next, so memory is bounded by BLOCK
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,11 +36,15 @@ STEP, BLOCK = 64, 1 << 19
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Runs of white space on which tiktoken's matching by backtracking may exhaust its stack.
+_LONG_SPACE = re.compile(r"\s{1000}")
+
+
 class Encoder:
     """The ids that ``tokenizers`` gives for a byte-level BPE file, without added special tokens.
 
     The same vocabulary and merges run in tiktoken, which is some four times as fast; a text that holds a special
-    token's string, or that tiktoken refuses, goes to ``tokenizers`` itself.
+    token's string or a long run of white space goes to ``tokenizers`` itself.
     """
 
     def __init__(self, file: str | None):
@@ -64,11 +69,8 @@ class Encoder:
         self.stops[list(stops)] = True
 
     def ids(self, text: str) -> np.ndarray:
-        if not any(s in text for s in self.special):
-            try:
-                return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
-            except Exception:  # a piece too long for its regular expressions
-                pass
+        if not any(s in text for s in self.special) and not _LONG_SPACE.search(text):
+            return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
         if self.slow is None:
             from tokenizers import Tokenizer
 
