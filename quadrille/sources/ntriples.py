@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from .base import FrameSource, register
 
-_LINE = r'^\s*(?:<([^<>"{}|^`\\\s]*)>|(_:\S+))\s+<([^<>"{}|^`\\\s]*)>\s+(?:<([^<>"{}|^`\\\s]*)>|(_:[^\s.]+(?:\.[^\s.]+)*)|("(?:[^"\\]|\\.)*"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>"\s]*>)?))\s*\.\s*(?:#.*)?$'
+_LINE = r'^\s*(?:<([^<>"{}|^`\\\s]*)>|(_:\S+))\s+<([^<>"{}|^`\\\s]*)>\s+(?:<([^<>"{}|^`\\\s]*)>|(_:[^\s.]+(?:\.[^\s.]+)*)|("[^"\\]*+(?:\\.[^"\\]*+)*+"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^<>"\s]*>)?))\s*\.\s*(?:#.*)?$'
 
 
 def parse(lines: DataFrame) -> DataFrame:

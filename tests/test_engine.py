@@ -289,6 +289,12 @@ def test_ntriples(spark, tmp_path):
     assert rows(again) == rows(triples) and none.first()[0] == 0
 
 
+def test_long_literals(spark):
+    for text in ("x" * 300_000, '\\"a' * 100_000, "\\n" * 100_000):
+        row = ntriples.parse(spark.createDataFrame([(f'<http://a> <http://p> "{text}"@en . # c "q"',)], "value string")).first()
+        assert row["valid"] and row["o"] == f'"{text}"@en'
+
+
 def test_config(spark, tmp_path):
     (tmp_path / "in.nt").write_text("<http://a> <http://p> <http://b> .\n")
     config = tmp_path / "c.yaml"
