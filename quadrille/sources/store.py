@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import DeleteInsertConflict
+from ..errors import BadToken, DeleteInsertConflict
 from .base import SCHEMA, matching
 from .files import Files
 
@@ -140,6 +140,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         self.attached: dict[str, object] = {}
+        self.attached_versions: dict[str, str] = {}
         self._texts: dict[str, str] = {}  # commits and names never change once written
 
     def _text(self, path: str) -> str:
@@ -157,8 +158,10 @@ class Store:
             self.files.create(f"{g.path}/uri", uri)
         return g
 
-    def attach(self, uri: str, source: object) -> None:
+    def attach(self, uri: str, source: object, version: str | None = None) -> None:
+        """Serve another source's triples as a graph. Its content counts as unchanged as long as ``version`` is the same; without one, until it is attached anew."""
         self.attached[uri] = source
+        self.attached_versions[uri] = version or uuid.uuid4().hex
 
     def stored(self) -> list[str]:
         return [self._text(f"{self.root}/{x}/uri") for x in sorted(self.files.listing(self.root)) if self.files.exists(f"{self.root}/{x}/uri")]
@@ -176,7 +179,7 @@ class Store:
 class Snapshot:
     """A store with every graph pinned to the version it has now (or at a time): all scans of a request see the same triples."""
 
-    def __init__(self, store, as_of: dt.datetime | float | None = None, versions: dict[str, int] | None = None):
+    def __init__(self, store, as_of: dt.datetime | float | None = None, versions: dict[str, int | str] | None = None):
         self.store, self.spark, self.as_of = store, store.spark, as_of
         self.versions = dict(versions or {})
         self._open: dict[str, object] = {}
@@ -190,5 +193,9 @@ class Snapshot:
             if isinstance(g, StoredGraph):
                 g = StoredGraph(g.store, uri, self.versions[uri]) if uri in self.versions else g.as_of(self.as_of) if self.as_of is not None else g
                 self.versions[uri] = g.version
+            elif uri in self.store.attached:
+                now = self.store.attached_versions[uri]
+                if self.versions.setdefault(uri, now) != now:
+                    raise BadToken(f"{uri} was attached anew since the first page")
             self._open[uri] = g
         return self._open[uri]

@@ -254,6 +254,20 @@ def test_tokens_and_quantum(fresh):
     assert fresh.page("INSERT DATA { <http://z> <http://z> <http://z> }", G).next is None and len(graph(fresh)) == 4
 
 
+def test_attached_sources_have_versions(fresh):
+    """A result over another source is used again only as long as that source is the same."""
+    query = "SELECT * { ?s ?p ?o }"
+    for n, version in ((1, None), (2, None), (2, "v"), (2, "v")):
+        fresh.store.attach("http://other", FrameSource(fresh.spark.createDataFrame(TRIPLES[:n], SCHEMA)), version)
+        assert len(fresh.page(query, "http://other").bindings) == n
+    token = fresh.page(query, "http://other", max_results=1).next
+    assert len(Engine(fresh.spark, fresh.store, cache=fresh.pager.cache.root).page(query, "http://other", token).bindings) == 1
+    fresh.pager.cache.files.delete(fresh.pager.cache.root)
+    fresh.store.attach("http://other", FrameSource(fresh.spark.createDataFrame(TRIPLES[:3], SCHEMA)))
+    with pytest.raises(BadToken):
+        fresh.page(query, "http://other", token)
+
+
 # ---- results, descriptions, loading
 
 
