@@ -328,7 +328,7 @@ def _zone(a: Value) -> Column:
 
 
 #: Uses of variables from which on their terms are taken apart once, before the condition, and not at each use.
-MANY_USES = 4
+MANY_USES = 2
 
 
 def uses(e: object) -> list[str]:
@@ -345,7 +345,7 @@ def condition(e: object, variables: dict[str, Column], exists: Callable[[object]
     into a struct first, and the condition is a function of that struct: its size stays in proportion to the text's.
     """
     names = [n for n in dict.fromkeys(uses(e)) if n in variables]
-    if len(uses(e)) <= MANY_USES or not names:
+    if len(uses(e)) < MANY_USES or not names:
         return compile_expression(e, variables, exists).effective()
     parts = F.struct(*(Decoded.struct(variables[n]).alias(f"v{i}") for i, n in enumerate(names)))
 

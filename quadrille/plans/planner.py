@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnsupportedSPARQL
-from ..functions.expressions import condition
-from .algebra import BGP, Filter, Graph, Join, Pattern, Query, Union, variables_of, visible
+from ..functions.expressions import condition, uses
+from .algebra import BGP, Call, Filter, Graph, Join, Pattern, Query, Union, variables_of, visible
 
 #: A union is distributed over a join up to so many branches.
 MOST_BRANCHES = 16
+#: A conjunction with so many uses of variables is split into filters.
+MOST_SPLIT = 6
 
 
 @dataclass
@@ -215,8 +217,18 @@ class Planner:
                 raise UnsupportedSPARQL("EXISTS over variables that may be unbound")
             return F.coalesce(F.col(flag), F.lit(False))
 
-        kept = condition(test, {c: F.col(c) for c in columns}, exists)
-        return Rows(state["df"].where(kept).select(columns), rows.always)
+        parts, tests = [test], []
+        small = len(uses(test)) <= MOST_SPLIT
+        while parts:  # the parts of a conjunction are filters of their own, unless they would take the same terms apart often
+            x = parts.pop()
+            if small and isinstance(x, Call) and x.name == "&&":
+                parts += reversed(x.args)
+            else:
+                tests.append(condition(x, {c: F.col(c) for c in columns}, exists))
+        df = state["df"]
+        for kept in tests:
+            df = df.where(kept)
+        return Rows(df.select(columns), rows.always)
 
     def query(self, q: Query) -> DataFrame:
         rows = self.plan(q.where)
