@@ -4,11 +4,11 @@ The DOMs of a host's pages are merged: a node is the path of tags and classes fr
 importance is the entropy of its children's styles over the host's m pages, to the base m; its content importance is 1 -
 the mean entropy of its texts, where a text that n pages carry has entropy log_m n. The composite importance of a node
 blends its own with that of its children (by their share of the pages), GAMMA^l weighing the l child styles. Branches
-below LEAST are noise for that host.
+below LEAST with nothing important in them are noise for that host.
 
 On many sites menus, adverts and footers carry other words on each page, so that content alone makes them important.
-Elements whose tag, class or role names such a part (ROLES) therefore have importance 0, and paragraphs and headings of
-an article element, which entropy would drop where a host holds copies of one text, keep at least LEAST.
+Elements whose tag, class or role names such a part (ROLES) are therefore left out, of the tree too, and what lies in an
+article element, which entropy would drop where a host holds copies of one text, stays, and so do its ancestors.
 """
 
 from __future__ import annotations
@@ -166,17 +166,20 @@ def main_text(text: str, low: frozenset[str] = frozenset()) -> str:
     return "\n".join(kinds[True] if has_main else kinds[False])
 
 
-def page_nodes(text: str) -> tuple[Counter, set[tuple[str, int]]]:
-    """(path, hash of the children's styles) of the page's nodes with children, and (path, hash of a text) of those with texts of their own."""
+def page_nodes(text: str) -> tuple[Counter, set[tuple[str, int]], set[str]]:
+    """(path, hash of the children's styles) of the page's nodes with children, (path, hash of a text) of those with texts of their own, and the paths of articles' ancestors. Parts that are noise by name are no nodes."""
     children: dict[str, list[str]] = defaultdict(list)
     texts: set[tuple[str, int]] = set()
+    spine: set[str] = set()
     for kind, page, what in walk(text):
         if kind == "open":
-            if len(page.paths) > 1:
+            if len(page.paths) > 1 and not page.noise[-2]:
                 children[page.paths[-2]].append(page.paths[-1].rpartition(">")[2])
-        elif kind == "text" and page.paths and not what.isspace():
+            if page.main[-1] and page.names[-1] in MAIN:
+                spine.update(page.paths[:-1])
+        elif kind == "text" and page.paths and not page.noise[-1] and not what.isspace():
             texts.add((page.paths[-1], _hash(" ".join(what.split()))))
-    return Counter({(p, _hash(">".join(c))): 1 for p, c in children.items()}), texts
+    return Counter({(p, _hash(">".join(c))): 1 for p, c in children.items()}), texts, spine
 
 
 def _hash(s: str) -> int:
@@ -186,7 +189,7 @@ def _hash(s: str) -> int:
 
 
 def protected(path: str) -> bool:
-    """Whether entropy alone must not remove the branch: articles, their ancestors' spine, and paragraphs and headings in them."""
+    """Whether entropy alone must not remove the branch: articles and what lies in them. Their ancestors are marked by ``page_nodes``."""
     names = [x.split(".")[0] for x in path.split(">")]
     return names[-1] in ("html", "body", *MAIN) or any(n in MAIN for n in names)
 
@@ -209,6 +212,17 @@ def importances(nodes: list[tuple[str, int, float, float, int]]) -> dict[str, fl
     return out
 
 
+def unimportant_paths(found: dict[str, float], spine: set[str]) -> list[str]:
+    """The paths below LEAST; a path with a protected or important one below it, or an article on any page, isn't among them."""
+    kept = set(spine)
+    for p, v in found.items():
+        if v >= LEAST or protected(p):
+            while p and p not in kept:
+                kept.add(p)
+                p = p.rpartition(">")[0]
+    return sorted(p for p in found if p not in kept)
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -220,31 +234,33 @@ def unimportant(pages: DataFrame, *, url_col: str = "url", html_col: str = "html
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
+            spines: set[tuple[str, str]] = set()
             for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                styles, texts = page_nodes(text)
+                styles, texts, spine = page_nodes(text)
+                spines.update((host, p) for p in spine)
                 for p, h in styles:
                     counts[host, p, h, True] += 1
                 for p, h in texts:
                     counts[host, p, h, False] += 1
                 counts[host, "", 0, True] += 1
             host, path, value, styled = zip(*counts, strict=True) if counts else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(value, pa.int64()), pa.array(styled, pa.bool_()), pa.array(counts.values(), pa.int64())], ["host", "path", "v", "styled", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(value, pa.int64()), pa.array(styled, pa.bool_()), pa.array(counts.values(), pa.int64()), pa.array([k in spines for k in zip(host, path, strict=True)], pa.bool_())], ["host", "path", "v", "styled", "n", "spine"])
 
-    counts = rows.mapInArrow(nodes, "host string, path string, v long, styled boolean, n long").groupBy("host", "path", "styled", "v").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(nodes, "host string, path string, v long, styled boolean, n long, spine boolean").groupBy("host", "path", "styled", "v").agg(F.sum("n").alias("n"), F.bool_or("spine").alias("spine"))
     # for each node: pages, sum of n log n, number of values
-    facts = cut(counts.groupBy("host", "path", "styled").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"), F.sum(F.log(F.col("n").cast("double"))).alias("logn"), F.count("*").alias("kinds")))
+    facts = cut(counts.groupBy("host", "path", "styled").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"), F.sum(F.log(F.col("n").cast("double"))).alias("logn"), F.count("*").alias("kinds"), F.bool_or("spine").alias("spine")))
     pages_of = facts.where("path = ''").select("host", F.col("m").alias("pages"))
     facts = facts.where("path <> ''").join(pages_of, "host").where(f"m >= {PAGES} and m >= {SHARE} * pages")
     # styles: entropy to the base m; texts: 1 - mean of log_m n over the texts
     facts = facts.withColumn("imp", F.expr("if(styled, (ln(m) - nlogn / m) / ln(m), 1 - logn / kinds / ln(greatest(pages, 2)))"))
     per_path = facts.groupBy("host", "path").agg(
-        F.max("m").alias("m"), F.max(F.when(F.col("styled"), F.col("imp"))).alias("own"), F.max(F.when(~F.col("styled"), F.col("imp"))).alias("content"), F.coalesce(F.max(F.when(F.col("styled"), F.col("kinds"))), F.lit(1)).alias("kinds")
+        F.max("m").alias("m"), F.max(F.when(F.col("styled"), F.col("imp"))).alias("own"), F.max(F.when(~F.col("styled"), F.col("imp"))).alias("content"), F.coalesce(F.max(F.when(F.col("styled"), F.col("kinds"))), F.lit(1)).alias("kinds"), F.bool_or("spine").alias("spine")
     )
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
         """A host's tree: at most 1 / SHARE times the nodes of a page."""
         found = importances([(p, int(m), float(o), float(c), int(k)) for p, m, o, c, k in zip(group["path"], group["m"], group["own"].astype(float), group["content"].astype(float), group["kinds"], strict=True)])
-        low = sorted(p for p, v in found.items() if v < LEAST and not protected(p))
+        low = unimportant_paths(found, set(group["path"][group["spine"]]))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "low": [low]})
 
     return cut(per_path.groupBy("host").applyInPandas(tree, "host string, low array<string>"))

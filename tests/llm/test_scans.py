@@ -133,6 +133,15 @@ def test_copies_of_a_page_keep_their_article(spark):
     assert {r["text"] for r in htmltree.extract(df).collect()} == {"Same\nSame text on all"}
 
 
+def test_wrappers_keep_their_article(spark):
+    """Constant wrappers of articles, unique or copied, under classes that differ from page to page; and a deep one without an article."""
+    page = '<body><div class="page"><nav><a>Home</a></nav><div class="container"><aside><p>About us</p></aside><div class="content">{}</div></div><footer><p>Imprint</p></footer></div></body>'
+    bodies = {"unique": "<article><p>text {0}</p></article>", "copy": "<article><p>the same</p></article>", "classes": '<article class="post-{0}"><p>the same</p></article>', "none": "<div><p>text {0}</p></div>", "deep": "<div>" * 30 + "<p>text {0}</p>" + "</div>" * 30}
+    rows = [(1000 * k + i, f"https://{name}/{i}", page.format(body.format(i))) for k, (name, body) in enumerate(bodies.items()) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in htmltree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1000 * k + i: "the same" if name in ("copy", "classes") else f"text {i}" for k, name in enumerate(bodies) for i in range(100)}
+
+
 # ---- toxicity
 
 
