@@ -4,7 +4,8 @@ The index holds, for each word of the licence templates, the templates and place
 rarest licence words (by document frequency over the whole corpus); each hit votes for (template, shift between the
 place in the file and in the template). Words of one template that keep their relative places share a shift. A
 template whose best shift has enough of the looked-up words is then verified: its mandatory phrase must stand in the
-file. Base labels (phrases that stand in the file word by word) are exact and always stay.
+file. A file with a mandatory phrase looks up all its licence words too, so that a template is found whatever else
+stands in the file. Base labels (phrases that stand in the file word by word) are exact and always stay.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ TEMPLATES = [
 ]
 #: Words that never are looked up.
 COMMON = "the of a an to in is it and or for by with any this that you may not be are as at 0 2 3 4 v".split()
-#: Rare words that a file looks up; the share of a template's looked-up words that must agree on one shift.
+#: Rare words that a file looks up first; the share of a template's looked-up words that must agree on one shift.
 RARE, AGREE = 12, 0.75
 
 
@@ -86,21 +87,28 @@ def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         lasts.append(F.col("n_words") - F.element_at(f"g{i}", -1) - len(p.split()))
     found = F.array_compact(F.array(*(F.when(F.col(f"g{i}").isNotNull(), F.lit(label)) for i, label in enumerate(PHRASES.values()))))
 
-    # the file's rarest index words, rarest first; their places vote for (template, shift)
-    rows = rows.withColumn("rare", F.slice(F.array_intersect(_array(order), F.coalesce("w", F.array().cast("array<string>"))), 1, RARE))
+    # the index words of files with a mandatory phrase, rarest first; without one no template can be verified
+    stands = F.coalesce(F.greatest(*(_stands("norm", must) for must in sorted({must for _, must, _ in TEMPLATES}))), F.lit(False))
+    rows = rows.withColumn("every", F.when(stands, F.array_intersect(_array(order), F.col("w"))))
+    rows = rows.withColumn("rare", F.slice("every", 1, RARE))
+    rows = rows.withColumn("places", F.when(F.col("every").isNotNull(), F.expr("filter(transform(w, (x, j) -> struct(x as x, j as j)), y -> array_contains(every, y.x))")))
     places: dict[str, list[str]] = {}
     for w, t, i in postings():
         places.setdefault(w, []).append(f"named_struct('t', {t}, 'i', {i})")
     index = "map(" + ", ".join(f"'{w}', array({', '.join(p)})" for w, p in places.items()) + ")"
-    rows = rows.withColumn("hits", F.expr("filter(transform(w, (x, j) -> struct(x as x, j as j)), y -> array_contains(rare, y.x))"))
-    rows = rows.withColumn("votes", F.expr(f"flatten(transform(hits, y -> transform({index}[y.x], z -> struct(z.t as t, y.j - z.i as shift))))"))
-    # looked-up places of each template: what a full agreement would give
-    full = "array(" + ", ".join(f"aggregate(array({', '.join(repr(w) for w, u, _ in postings() if u == t)}), 0, (s, x) -> s + if(array_contains(rare, x), 1, 0))" for t in range(len(TEMPLATES))) + ")"
-    rows = rows.withColumns({"sorted": F.expr("array_sort(votes)"), "full": F.expr(full)})
     # longest run of equal votes for each template, over the sorted votes
     best = "aggregate(sorted, named_struct('t', -1, 'shift', 0, 'n', 0, 'best', array_repeat(0, {n})), (s, v) -> named_struct('t', v.t, 'shift', v.shift, 'n', if(v.t = s.t and v.shift = s.shift, s.n + 1, 1), 'best', transform(s.best, (b, k) -> if(k = v.t, greatest(b, if(v.t = s.t and v.shift = s.shift, s.n + 1, 1)), b))), s -> s.best)".format(n=len(TEMPLATES))
-    rows = rows.withColumn("best", F.when(F.size("sorted") > 0, F.expr(best)))
-    share = [F.coalesce(F.when((F.element_at("full", t + 1) >= 2) & _stands("norm", must), F.least(F.lit(1.0), F.element_at("best", t + 1) / F.element_at("full", t + 1).cast("double"))), F.lit(0.0)) for t, (_, must, _) in enumerate(TEMPLATES)]
+    shares = []
+    for looked in ("rare", "every"):
+        # the places of the words looked up vote for (template, shift)
+        rows = rows.withColumn("hits", F.expr(f"filter(places, y -> array_contains({looked}, y.x))"))
+        rows = rows.withColumn("votes", F.expr(f"flatten(transform(hits, y -> transform({index}[y.x], z -> struct(z.t as t, y.j - z.i as shift))))"))
+        # looked-up places of each template: what a full agreement would give
+        full = "array(" + ", ".join(f"aggregate(array({', '.join(repr(w) for w, u, _ in postings() if u == t)}), 0, (s, x) -> s + if(array_contains({looked}, x), 1, 0))" for t in range(len(TEMPLATES))) + ")"
+        rows = rows.withColumns({"sorted": F.expr("array_sort(votes)"), f"full_{looked}": F.when(F.col(looked).isNotNull(), F.expr(full))})
+        rows = rows.withColumn(f"best_{looked}", F.when(F.size("sorted") > 0, F.expr(best)))
+        shares.append([F.coalesce(F.when((F.element_at(f"full_{looked}", t + 1) >= 2) & _stands("norm", must), F.least(F.lit(1.0), F.element_at(f"best_{looked}", t + 1) / F.element_at(f"full_{looked}", t + 1).cast("double"))), F.lit(0.0)) for t, (_, must, _) in enumerate(TEMPLATES)])
+    share = [F.greatest(*x) for x in zip(*shares, strict=True)]
     rows = rows.withColumn("shares", F.array(*share))
     verified = F.array_compact(F.array(*(F.when(F.element_at("shares", t + 1) >= AGREE, F.lit(label)) for t, (label, _, _) in enumerate(TEMPLATES))))
     rows = rows.withColumns({"base": F.array_sort(F.array_distinct(found)), "more": verified})

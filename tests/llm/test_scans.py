@@ -74,6 +74,20 @@ def test_license_templates(spark):
     assert rows[len(licenses.TEMPLATES)] == ([""], 0.0) and rows[len(licenses.TEMPLATES) + 1] == ([""], 0.0)
 
 
+def test_many_licenses_and_long_prose(spark):
+    gpl = "licensed under the gnu general public license version 3"
+    by_label = {}
+    for label, _, words in licenses.TEMPLATES:
+        by_label.setdefault(label, words)
+    prose = "A person may copy a form of the program, keep files and source for any purpose; conditions of use, distribute, modify, binary forms, work, fee, charge, sell, deal, notice. " * 5
+    everything = "\n\n".join(words for _, _, words in licenses.TEMPLATES)
+    mit, bsd = (next(words for label, must, words in licenses.TEMPLATES if label == x and len(words) > 60) for x in ("mit", "bsd"))
+    texts = [everything, f"{mit}. {bsd}. {gpl}", prose + gpl, prose] + [prose + words for _, _, words in licenses.TEMPLATES] + [gpl] * 30  # the last make its words common
+    rows = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.licenses(frame(spark, texts)).collect()}
+    assert rows[0] == set(by_label) and rows[1] == {"mit", "bsd", "gpl-3"} and rows[2] == {"gpl-3"} and rows[3] == {""}
+    assert all(label in rows[4 + i] for i, (label, _, _) in enumerate(licenses.TEMPLATES))
+
+
 # ---- quality
 
 
