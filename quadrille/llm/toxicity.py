@@ -5,25 +5,26 @@ the highest by continuation counts); both back off to shared counts of order 1 a
 between the classes only as far as its own longer n-grams were seen. A word's evidence is the difference of its log
 likelihoods; a document's measures are that difference divided by the length, over the whole text and over its worst
 windows of one and of eight words. A logistic fit on labelled documents that the models have not seen turns them into a
-score.
+score. The counts are those of all labelled documents outside the held-out third and the fit's sample, the shared ones of
+all documents; the sample's rows are weighted to the classes' true shares.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, text_of
+from ._common import cut, slices, text_of
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.75
-#: The models are fitted on at most so many labelled rows of each class, those with the smallest hashes of their ids.
+#: The logistic fit is on at most so many labelled rows of each class, those with the smallest hashes of their ids.
 MOST_TOXIC, MOST_ORDINARY = 8000, 16000
 THRESHOLD = 0.7
 WINDOWS = (1, 8)
@@ -110,61 +111,73 @@ def gram_hash(gram: str) -> int:
     return key
 
 
-def kneser_ney(counts: dict[str, tuple[int, int]]) -> Ratios:
-    """Ratios from the counts (toxic, ordinary) of n-grams; an end is a line feed."""
-    seen = [{g: c[k] for g, c in counts.items() if c[k] > 0} for k in (0, 1)]
-    pooled = {g: sum(c) for g, c in counts.items()}
-
-    def continued(raw: dict[str, int]) -> dict[str, float]:
-        left: dict[str, float] = defaultdict(float)
-        for g in raw:
-            if len(g) > 1:
-                left[g[1:]] += 1
-        return {g: float(n) if len(g) == ORDER or g[0] == "\n" else left.get(g, 1.0) for g, n in raw.items()}
-
-    used, shared = [continued(s) for s in seen], continued(pooled)
-
-    def contexts(table: dict[str, float]) -> dict[str, tuple[float, int]]:
-        out: dict[str, list[float]] = defaultdict(lambda: [0.0, 0])
-        for g, n in table.items():
-            c = out[g[:-1]]
-            c[0] += n
-            c[1] += 1
-        return {g: (n, int(t)) for g, (n, t) in out.items()}
-
-    of_class, of_shared = [contexts(u) for u in used], contexts(shared)
-    letters = len({g for g in pooled if len(g) == 1}) + 1
-    low: dict[str, float] = {}
-
-    def base(g: str) -> float:
-        """The shared model, for orders 1 and 2."""
-        if g in low:
-            return low[g]
-        under = base(g[1:]) if len(g) > 1 else 1.0 / letters
-        total, kinds = of_shared.get(g[:-1], (0.0, 0))
-        low[g] = out = (max(shared.get(g, 0.0) - DISCOUNT, 0.0) + DISCOUNT * kinds * under) / total if total else under
-        return out
-
-    done: list[dict[str, float]] = [{}, {}]
-
-    def prob(k: int, g: str) -> float:
-        if len(g) <= SHARED:
-            return base(g)
-        if g in done[k]:
-            return done[k][g]
-        total, kinds = of_class[k].get(g[:-1], (0.0, 0))
-        under = prob(k, g[1:])
-        done[k][g] = out = (max(used[k].get(g, 0.0) - DISCOUNT, 0.0) + DISCOUNT * kinds * under) / total if total else under
-        return out
+def _keys(codes: np.ndarray) -> np.ndarray:
+    """gram_hash of each row of characters."""
+    key = np.zeros(len(codes), dtype=np.uint64)
+    for j in reversed(range(codes.shape[1])):
+        mixed = (codes[:, j].astype(np.uint64) + np.uint64(1)) * _P
+        key = key * _P + (mixed ^ mixed >> np.uint64(29))
+    return key
 
-    def weight(k: int, g: str) -> float:
-        total, kinds = of_class[k].get(g, (0.0, 0))
-        return DISCOUNT * kinds / total if total else 1.0
 
-    grams = [g for g in pooled if len(g) >= SHARED]
-    value = np.array([math.log(prob(0, g)) - math.log(prob(1, g)) if len(g) > SHARED else 0.0 for g in grams])
-    back = np.array([math.log(weight(0, g)) - math.log(weight(1, g)) if len(g) < ORDER else 0.0 for g in grams])
-    return Ratios(np.array([gram_hash(g) for g in grams], dtype=np.uint64), value, back)
+def kneser_ney(counts: dict[str, tuple[int, ...]]) -> Ratios:
+    """Ratios from the counts (toxic, ordinary; over all documents, if not their sum) of n-grams; an end is a line feed."""
+    rows = [(g, *c[:2], c[2] if len(c) > 2 else sum(c)) for g, c in counts.items()]
+    return _ratios(pa.table(dict(zip(("gram", "toxic", "ordinary", "total"), zip(*rows, strict=True), strict=True))))
+
+
+def _ratios(table: pa.Table) -> Ratios:
+    """The same from a table with each n-gram's prefix and suffix, a length at a time. Orders above SHARED + 1 need only be there if a class has them."""
+    codes, counts, keys, rank, pre, suf = {}, {}, {}, {}, {}, {}
+    length = pc.utf8_length(table["gram"])
+    for m in range(1, ORDER + 1):
+        part = table.filter(pc.equal(length, m))
+        joined = "".join(part["gram"].to_pylist())
+        codes[m] = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, m)
+        counts[m] = np.column_stack([part[c].to_numpy().astype(float) for c in ("toxic", "ordinary", "total")])
+        keys[m] = _keys(codes[m])
+        rank[m] = np.argsort(keys[m])
+        if m > 1:  # rows of the prefix and of the suffix
+            pre[m], suf[m] = (rank[m - 1][np.searchsorted(keys[m - 1], _keys(c), sorter=rank[m - 1])] for c in (codes[m][:, :-1], codes[m][:, 1:]))
+
+    def used(k: int, m: int) -> np.ndarray:
+        """Counts of the highest order and at a word's start, else numbers of characters before."""
+        raw = counts[m][:, k]
+        if m == ORDER:
+            return raw
+        left = np.bincount(suf[m + 1][counts[m + 1][:, k] > 0], minlength=len(raw))
+        return np.where((codes[m][:, 0] == 10) | (raw == 0), raw, np.maximum(left, 1.0))
+
+    def contexts(k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sum and number of what follows each n-gram of order m."""
+        n, size = used(k, m + 1), len(keys[m])
+        return np.bincount(pre[m + 1], n, size), np.bincount(pre[m + 1], n > 0, size)
+
+    def discounted(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, under: np.ndarray) -> np.ndarray:
+        return np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * under) / np.where(total > 0, total, 1), under)
+
+    # the shared model, for orders 1 and 2
+    first = used(2, 1)
+    low = discounted(first, first.sum(), np.count_nonzero(first), 1.0 / (len(first) + 1))
+    total, kinds = contexts(2, 1)
+    low = discounted(used(2, 2), total[pre[2]], kinds[pre[2]], low[suf[2]])
+
+    probs, backs = [], []
+    for k in (0, 1):
+        prob, back = {SHARED: low}, {}
+        for m in range(SHARED, ORDER):
+            total, kinds = contexts(k, m)
+            prob[m + 1] = discounted(used(k, m + 1), total[pre[m + 1]], kinds[pre[m + 1]], prob[m][suf[m + 1]])
+            back[m] = np.where(total > 0, DISCOUNT * kinds / np.where(total > 0, total, 1), 1.0)
+        probs.append(prob)
+        backs.append(back)
+    found = []
+    for m in range(SHARED, ORDER + 1):  # what no class has backs off to the same
+        has = counts[m][:, 0] + counts[m][:, 1] > 0
+        value = np.log(probs[0][m]) - np.log(probs[1][m]) if m > SHARED else np.zeros(len(has))
+        back = np.log(backs[0][m]) - np.log(backs[1][m]) if m < ORDER else np.zeros(len(has))
+        found.append((keys[m][has], value[has], back[has]))
+    return Ratios(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 _WORD = re.compile(r"\b[^\W\d_]+\b")  # no letters out of numbers and names with digits
@@ -199,48 +212,60 @@ class Scorer:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(coefficients with the constant first, means, scales) by Newton's method."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, ridge: float = 0.05, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients with the constant first, means, scales) by Newton's method; a row counts as much as its weight."""
+    w = np.ones(len(x)) if weights is None else weights * (len(x) / weights.sum())
+    mean = np.average(x, axis=0, weights=w)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=w)) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     b, r = np.zeros(z.shape[1]), np.diag([1e-6] + [ridge] * x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + r, z.T @ (y - p) - r @ b)
+        step = np.linalg.solve(z.T @ (z * (w * (p * (1 - p) + 1e-9))[:, None]) + r, z.T @ (w * (y - p)) - r @ b)
         b = b + step
         if np.abs(step).max() < 1e-8:
             break
     return b, mean, scale
 
 
-def training_sample(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """id, y, part: at most MOST_TOXIC + MOST_ORDINARY labelled ids outside the held-out third; part 0 is for the logistic fit. Ids with contradicting labels are toxic."""
+def known_labels(labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """id, y, part: the labelled ids outside the held-out third; part 0 is for the logistic fit. Ids with contradicting labels are toxic."""
     known = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(labels[id_col].alias("id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     known = known.where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
-    parts = [known.where(f"y = {y}").orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
-    return parts[0].unionByName(parts[1]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5)).cast("int"))
+    return known.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5)).cast("int"))
+
+
+def fitting_sample(known: DataFrame) -> DataFrame:
+    """id, y: at most MOST_TOXIC + MOST_ORDINARY ids of part 0."""
+    parts = [known.where(f"part = 0 and y = {y}").select("id", "y").orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
+    return parts[0].unionByName(parts[1])
 
 
-def gram_counts(texts: DataFrame, *, least: int = 2) -> DataFrame:
-    """gram, toxic, ordinary for (t, y): n-grams of order 1 to 5 of the lower-cased words with a line feed at both ends. Those of order 4 and 5 seen fewer than ``least`` times don't count."""
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """gram, toxic, ordinary, total for (t, y): n-grams of order 1 to 5 of the lower-cased words with a line feed at both ends. y is null outside both classes; of words of such texts only, orders above SHARED + 1 are left out, as nothing reads them."""
     words = texts.select(F.explode(F.split(F.lower("t"), r"[^\p{L}\p{N}_]+")).alias("w"), "y").where(F.col("w").rlike(r"^\p{L}+$"))
-    words = words.groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("ordinary"))
-    ends = words.select(F.concat(F.lit("\n"), "w", F.lit("\n")).alias("w"), "toxic", "ordinary")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(ORDER)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1))), lambda i: F.substring(F.col("w"), i, n))))
-    counts = ends.select(F.explode(F.array_distinct(grams)).alias("gram"), "toxic", "ordinary")
-    return counts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).where(f"length(gram) < {ORDER - 1} or toxic + ordinary >= {least}")
+    words = words.groupBy("w").agg(F.count(F.when(F.col("y") == 1, 1)).alias("toxic"), F.count(F.when(F.col("y") == 0, 1)).alias("ordinary"), F.count("*").alias("total"))
+    ends = words.select(F.concat(F.lit("\n"), "w", F.lit("\n")).alias("w"), "toxic", "ordinary", "total")
+    most = F.when(F.col("toxic") + F.col("ordinary") > 0, ORDER).otherwise(SHARED + 1)
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), most), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - n + 1, F.lit(1))), lambda i: F.substring(F.col("w"), i, n))))
+    counts = ends.select(F.explode(F.array_distinct(grams)).alias("gram"), "toxic", "ordinary", "total")
+    return counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "total")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[Ratios | None, tuple | float]:
     """The models and the logistic fit; (None, share of toxic labels) if a class has no rows to learn from."""
     spark = docs.sparkSession
-    sample = F.broadcast(training_sample(labels, id_col=id_col))  # bounded by MOST_TOXIC + MOST_ORDINARY rows
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("t")).join(sample, "id")
-    table = gram_counts(rows.where("part > 0").select("t", "y")).toArrow()
-    counts = {g: (a, b) for g, a, b in zip(*(table[c].to_pylist() for c in ("gram", "toxic", "ordinary")), strict=True)}
-    if not any(a for a, _ in counts.values()) or not any(b for _, b in counts.values()):
-        return None, 1.0 if any(a for a, _ in counts.values()) else 0.0
-    ratios = kneser_ney(counts)
+    known = cut(known_labels(labels, id_col=id_col))
+    sample = cut(fitting_sample(known), files=1)  # bounded by MOST_TOXIC + MOST_ORDINARY rows
+    sizes = {name: {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()} for name, rows in (("all", known.where("part = 0")), ("sample", sample))}
+    texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("t"))
+    taught = known.join(F.broadcast(sample.select("id")), "id", "left_anti").select("id", "y")
+    rows = texts.where("id is not null").join(taught, "id", "left").select("t", "y").unionByName(texts.where("id is null").select("t", F.lit(None).cast("int").alias("y")))
+    table = gram_counts(rows).toArrow()
+    toxic, ordinary = (pc.sum(table[c]).as_py() or 0 for c in ("toxic", "ordinary"))
+    if not toxic or not ordinary:
+        return None, 1.0 if toxic else 0.0
+    ratios = _ratios(table)
     shared = spark.sparkContext.broadcast(ratios.arrays)
     names = [f"m{i}" for i in range(len(WINDOWS) + 2)]
 
@@ -250,11 +275,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             x = scorer.measures(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(x[:, i]) for i in range(len(names)))], ["y", *names])
 
-    seen = rows.where("part = 0").select("t", F.col("y").cast("long").alias("y")).mapInArrow(measure, "y long, " + ", ".join(f"{n} double" for n in names)).toArrow()
+    seen = texts.join(F.broadcast(sample), "id").select("t", F.col("y").cast("long").alias("y")).mapInArrow(measure, "y long, " + ", ".join(f"{n} double" for n in names)).toArrow()
     y = seen["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
         return None, float(y.mean()) if len(y) else 0.0
-    return ratios, logistic(np.column_stack([seen[n].to_numpy() for n in names]), y)
+    weights = np.array([sizes["all"][k] / sizes["sample"][k] for k in (0, 1)])[y.astype(int)]
+    return ratios, logistic(np.column_stack([seen[n].to_numpy() for n in names]), y, weights)
 
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:

@@ -193,6 +193,30 @@ def test_toxicity_held_out(spark):
     assert sum(truth[i] for i in kept) <= 5 and len(kept) >= 0.97 * 1200
 
 
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """With bounds far below the labels: n-grams seen once count wherever they are, and the sample's odds are corrected."""
+    rows = toxic_texts(1500)
+    train = [i for i, _, _ in rows if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
+    rare = {i: "q" + "".join(chr(97 + int(d)) for d in f"{i:04d}") for i in train}  # a word of its own for each row
+    docs = spark.createDataFrame([(i, f"{t} {rare.get(i, '')}") for i, t, _ in rows] + [(None, "xyzzy")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    full = toxicity.fit(docs, labels)[1]
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 20)
+    ratios, found = toxicity.fit(docs, labels)
+    known = ratios.find(toxicity.np.array([toxicity.gram_hash(rare[i]) for i in train], dtype="uint64")) >= 0
+    assert known.sum() == len(train) - 40
+    truth = {i: y for i, _, y in rows}
+    got = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"]]
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
+    # on what tells nothing, a fit to one class in two with the weights of one in ten says one in ten
+    np = toxicity.np
+    x, y = np.tile(np.arange(10.0), 20)[:, None], np.repeat([0.0, 1.0], 100)
+    b, mean, scale = toxicity.logistic(x, y, np.where(y == 1, 1.0, 9.0))
+    assert (1 / (1 + np.exp(-(b[0] + (x - mean) / scale @ b[1:])))).mean() == pytest.approx(0.1, abs=1e-3)
+    assert len(full[0]) == len(found[0])
+
+
 def test_kneser_ney_sums_to_one():
     counts = {}
     for w, c in (("ab", (5, 1)), ("abc", (1, 7)), ("ba", (2, 2))):
