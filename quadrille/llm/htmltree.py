@@ -37,41 +37,48 @@ BLOCKS = set("address article aside blockquote body center dd details dialog div
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "summary"}
 NOISE_TAGS = set("nav aside footer form button dialog menu search input label fieldset".split())
 MAIN = {"article", "main"}
-ROLES = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|side|aside|banner|cookies?|consent|gdpr|notices?|alert|ad|ads|advert|adverts|advertisement|adsense|promo|promoted|sponsor|sponsored|"
-    r"comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|breadcrumbs?|pagination|pager|popup|modal|toolbar|widget|contentinfo|complementary)(?:$|[-_\s\d])",
-    re.I,
-)
+_BEFORE = r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile|cookies?)[-_]+)*"
+_AFTER = r"\d*(?:[-_]+(?:\d+(?:x\d+)?|area|bar|box|block|bottom|button|buttons|container|form|icons|inner|item|items|left|links?|list|main|panel|primary|right|secondary|section|slot|top|unit|wrap|wrapper|nav|menu|posts|articles|policy))*"
+_PART = r"(?:nav|navbar|navigation|menu|footer|sidebar|side|aside|banner|cookies?|consent|gdpr|notices?|alert|ad|ads|advert|adverts|advertisement|adsense|promo|promoted|sponsor|sponsored|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|breadcrumbs?|pagination|pager|popup|modal|toolbar|widget|contentinfo|complementary)"
+#: Whole names in class, id and role: words for parts, with narrow forms around them. A name of another thing (has-sidebar, entry-header) is none.
+ROLES = re.compile(rf"(?:^|(?<=\s)){_BEFORE}(?:(?:post|entry|article)[-_]+)?{_PART}(?:[-_]+{_PART})*{_AFTER}(?=$|\s)", re.I)
+#: Names of a page's head; in an article they are its own head, as the bare element is.
+HEADS = re.compile(rf"(?:^|(?<=\s)){_BEFORE}(?:header|masthead){_AFTER}(?=$|\s)", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(RAW[:-2]) + r"|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)  # the second form of tags: quotes that don't close
+_MAIN_TAG = re.compile(r"<(?:article|main)\b", re.I)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Page:
     """A page's open elements, walked once; ``text`` is called with the open elements and their text, ``opened`` with each new path."""
 
-    def __init__(self) -> None:
+    def __init__(self, spare: frozenset[int] = frozenset()) -> None:
+        self.spare, self.count = spare, 0
+        self.roles: list[int] = []
         self.names: list[str] = []
         self.paths: list[str] = []
         self.noise: list[bool] = []
         self.main: list[bool] = []
 
     def push(self, tag: str, attrs: str) -> None:
-        style, hidden = tag, False
+        style, hidden, role = tag, False, False
+        inside = bool(self.main) and self.main[-1]
+        self.count += 1
         if attrs and not attrs.isspace():
             a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
             named = " ".join(filter(None, (a.get("class"), a.get("id"), a.get("role"))))
             style = f"{tag}.{'.'.join(sorted(a.get('class', '').split()))}" if a.get("class") else tag
             hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-            hidden = hidden or bool(named and tag not in ("html", "body") and ROLES.search(named))
-        inside = bool(self.main) and self.main[-1]
+            role = bool(named and tag not in ("html", "body", *MAIN) and self.count not in self.spare and (ROLES.search(named) or not inside and HEADS.search(named)))
         self.names.append(tag)
         self.paths.append(f"{self.paths[-1]}>{style}" if self.paths else style)
-        self.noise.append((bool(self.noise) and self.noise[-1]) or hidden or tag in NOISE_TAGS or (tag == "header" and not inside))
+        self.noise.append((bool(self.noise) and self.noise[-1]) or hidden or role or tag in NOISE_TAGS or (tag == "header" and not inside))
         self.main.append(inside or (tag in MAIN and not self.noise[-1]))
+        self.roles.append(self.count if role else 0)
 
     def pop_to(self, at: int) -> None:
-        for x in (self.names, self.paths, self.noise, self.main):
+        for x in (self.names, self.paths, self.noise, self.main, self.roles):
             del x[at:]
 
     def close(self, tag: str) -> None:
@@ -92,9 +99,23 @@ class Page:
                 return
 
 
-def walk(text: str) -> Iterator[tuple[str, Page, str]]:
+def spared(text: str) -> frozenset[int]:
+    """Elements, by their numbers in the page, that are noise by name but hold a main element, or all of the page's articles."""
+    if not _MAIN_TAG.search(text):
+        return frozenset()
+    found: dict[str, set[int]] = {tag: set() for tag in MAIN}
+    free = False
+    for kind, page, tag in walk(text, frozenset()):
+        if kind == "open" and tag in MAIN:
+            held = set(filter(None, page.roles))
+            found[tag] |= held
+            free = free or (tag == "article" and not page.noise[-1])
+    return frozenset(found["main"] | (set() if free else found["article"]))
+
+
+def walk(text: str, spare: frozenset[int] | None = None) -> Iterator[tuple[str, Page, str]]:
     """("open", page, tag), ("text", page, raw text) and ("break", page, tag) in the page's order; heads, scripts, styles and comments are skipped."""
-    page, at, skip = Page(), 0, False
+    page, at, skip = Page(spared(text) if spare is None else spare), 0, False
     for m in _TOKEN.finditer(text):
         if m.start() > at and not skip:
             yield "text", page, text[at : m.start()]

@@ -147,6 +147,19 @@ def test_copies_of_a_page_keep_their_article(spark):
     assert {r["text"] for r in htmltree.extract(df).collect()} == {"Same\nSame text on all"}
 
 
+def test_names_of_parts_are_whole():
+    for name in ("content has-sidebar", "site-main with-sidebar", "post no-comments", "elementor-widget elementor-widget-text"):
+        assert htmltree.main_text(f'<body><div class="{name}"><p>x</p></div></body>') == "x"
+        assert htmltree.main_text(f'<body><main class="{name}"><article class="{name}"><p>x</p></article></main></body>') == "x"
+    for name in ("entry-header", "article-header", "header", "page-header"):
+        assert htmltree.main_text(f'<article><header class="{name}"><h1>T</h1></header><p>x</p></article>') == "T\nx" == htmltree.main_text(f'<article><div class="{name}"><h1>T</h1></div><p>x</p></article>')
+    for name in ("sidebar", "widget", "related", "main-nav"):  # articles and their holders stay, cards beside an article go
+        assert htmltree.main_text(f'<div class="{name}"><article class="{name}"><p>x</p></article></div>') == "x" == htmltree.main_text(f'<div class="{name}"><main><p>x</p></main></div>')
+        assert htmltree.main_text(f'<main><article><p>x</p></article><section class="{name}"><article><p>card</p></article></section></main>') == "x"
+    for name in ("sidebar", "col-3 sidebar-left", "site-header", "main-nav", "ad", "ad-300x250", "ads1", "cookie-notice", "comments-area", "related-posts", "post-comments", "social-share", "widget_search"):
+        assert htmltree.main_text(f'<body><div class="{name}"><p>n</p></div><p>x</p></body>') == "x", name
+
+
 def test_wrappers_keep_their_article(spark):
     """Constant wrappers of articles, unique or copied, under classes that differ from page to page; and a deep one without an article."""
     page = '<body><div class="page"><nav><a>Home</a></nav><div class="container"><aside><p>About us</p></aside><div class="content">{}</div></div><footer><p>Imprint</p></footer></div></body>'
