@@ -1,14 +1,21 @@
 """Main text of web pages by site style trees.
 
-The DOMs of a host's pages are merged: a node is the path of tags and classes from the body. A node's presentation
-importance is the entropy of its children's styles over the host's m pages, to the base m; its content importance is 1 -
-the mean entropy of its texts, where a text that n pages carry has entropy log_m n. The composite importance of a node
-blends its own with that of its children (by their share of the pages), GAMMA^l weighing the l child styles. Branches
-below LEAST with nothing important in them are noise for that host.
-
-On many sites menus, adverts and footers carry other words on each page, so that content alone makes them important.
-Elements whose tag, class or role names such a part (ROLES) are therefore left out, of the tree too, and what lies in an
-article element, which entropy would drop where a host holds copies of one text, stays, and so do its ancestors.
+The DOMs of a host's pages are merged into one tree: a node is the chain of tags and classes from the root. Entropies over
+the host's m pages say how important a node is:
+
+* presentation: the entropy of the node's styles (the sequence of its children on a page). A node with few styles is a
+  template, whose branches are parts of a page; one with many is content that differs from page to page.
+* content: 1 - the mean of log_m n over the texts in the node's branch, weighted by their words, where n pages carry the
+  text. Texts of one page only count 1, a text of all pages counts 0.
+* share: the branch's words times its content importance, on the pages that have it, as part of a whole page's.
+
+A branch is dropped if it holds less than SHARE of a page's information and its content importance is below REPEATED
+(under a template) or CONSTANT (elsewhere, for elements that hold more than one paragraph or heading). What stands on one
+page only can't repeat, so a node on one page is never dropped by itself; all its words count in its ancestors.
+
+Entropies know nothing about a host of one page, and menus, forms and comments that differ on every page carry
+information. So parts whose tag, class or role names what has to go (ROLES) are dropped too, and article and main elements
+are kept. ``names=False`` leaves this out: then entropies alone decide.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ import html
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -26,279 +33,385 @@ from pyspark.sql import functions as F
 
 from ._common import cut, slices, text_of
 
-GAMMA, LEAST = 0.9, 0.2
-#: Nodes enter a host's tree if they stand on so many of its pages and on so large a share.
-PAGES, SHARE = 4, 0.01
+SHARE, REPEATED, CONSTANT = 0.1, 0.95, 0.1
+#: A node is a template if the entropy of its styles, in nats, is at most that of so many equally frequent styles.
+STYLES = 4
+#: Counts that are held before a task sends them on.
+HELD = 100_000
 
 # Elements by kind.
-RAW = "script style noscript template textarea select svg iframe object canvas math head title".split()
+RAW = "script style textarea iframe title".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+IN_HEAD = set("base link meta noscript script style template title".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "summary"}
-NOISE_TAGS = set("nav aside footer form button dialog menu search input label fieldset".split())
+#: Open element that a new one closes, if it is the innermost block.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements that aren't shown as text, and elements that name parts which have to go.
+UNSEEN = set("annotation annotation-xml datalist noscript template".split())
+NOISE_TAGS = set("nav aside footer form button dialog menu search input label fieldset select".split())
 MAIN = {"article", "main"}
+TEXTUAL = set("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th figcaption a b i em strong span code q sub sup small mark u s".split())
 _BEFORE = r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile|cookies?)[-_]+)*"
 _AFTER = r"\d*(?:[-_]+(?:\d+(?:x\d+)?|area|bar|box|block|bottom|button|buttons|container|form|icons|inner|item|items|left|links?|list|main|panel|primary|right|secondary|section|slot|top|unit|wrap|wrapper|nav|menu|posts|articles|policy))*"
 _PART = r"(?:nav|navbar|navigation|menu|footer|sidebar|side|aside|banner|cookies?|consent|gdpr|notices?|alert|ad|ads|advert|adverts|advertisement|adsense|promo|promoted|sponsor|sponsored|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|search|breadcrumbs?|pagination|pager|popup|modal|toolbar|widget|contentinfo|complementary)"
 #: Whole names in class, id and role: words for parts, with narrow forms around them. A name of another thing (has-sidebar, entry-header) is none.
-ROLES = re.compile(rf"(?:^|(?<=\s)){_BEFORE}(?:(?:post|entry|article)[-_]+)?{_PART}(?:[-_]+{_PART})*{_AFTER}(?=$|\s)", re.I)
+ROLES = re.compile(rf"{_BEFORE}(?:(?:post|entry|article)[-_]+)?{_PART}(?:[-_]+{_PART})*{_AFTER}", re.I)
 #: Names of a page's head; in an article they are its own head, as the bare element is.
-HEADS = re.compile(rf"(?:^|(?<=\s)){_BEFORE}(?:header|masthead){_AFTER}(?=$|\s)", re.I)
+HEADS = re.compile(rf"{_BEFORE}(?:header|masthead){_AFTER}", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(" + "|".join(RAW[:-2]) + r"|title)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)  # the second form of tags: quotes that don't close
-_MAIN_TAG = re.compile(r"<(?:article|main)\b", re.I)
-_ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r""">|=\s*+["']""")
+_ATTR = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
+_DIGITS = re.compile(r"\d{3,}")
+_END_OF = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
-class Page:
-    """A page's open elements, walked once; ``text`` is called with the open elements and their text, ``opened`` with each new path."""
+def tokens(text: str) -> Iterator[tuple[str, str, str]]:
+    """("text", raw, ""), ("open", tag, attributes) and ("close", tag, "") in order.
 
-    def __init__(self, spare: frozenset[int] = frozenset()) -> None:
-        self.spare, self.count = spare, 0
-        self.roles: list[int] = []
-        self.names: list[str] = []
-        self.paths: list[str] = []
-        self.noise: list[bool] = []
-        self.main: list[bool] = []
-
-    def push(self, tag: str, attrs: str) -> None:
-        style, hidden, role = tag, False, False
-        inside = bool(self.main) and self.main[-1]
-        self.count += 1
-        if attrs and not attrs.isspace():
-            a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-            named = " ".join(filter(None, (a.get("class"), a.get("id"), a.get("role"))))
-            style = f"{tag}.{'.'.join(sorted(a.get('class', '').split()))}" if a.get("class") else tag
-            hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-            role = bool(named and tag not in ("html", "body", *MAIN) and self.count not in self.spare and (ROLES.search(named) or not inside and HEADS.search(named)))
-        self.names.append(tag)
-        self.paths.append(f"{self.paths[-1]}>{style}" if self.paths else style)
-        self.noise.append((bool(self.noise) and self.noise[-1]) or hidden or role or tag in NOISE_TAGS or (tag == "header" and not inside))
-        self.main.append(inside or (tag in MAIN and not self.noise[-1]))
-        self.roles.append(self.count if role else 0)
-
-    def pop_to(self, at: int) -> None:
-        for x in (self.names, self.paths, self.noise, self.main, self.roles):
-            del x[at:]
-
-    def close(self, tag: str) -> None:
-        for i in range(len(self.names) - 1, -1, -1):
-            if self.names[i] == tag:
-                self.pop_to(i)
-                return
-
-    def implied(self, tag: str) -> None:
-        """What a new element closes without an end tag."""
-        ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-        for i in range(len(self.names) - 1, -1, -1):
-            name = self.names[i]
-            if name == "p" and tag in CLOSES_P or name in ends:
-                self.pop_to(i)
-                return
-            if name in BLOCKS and name != "p" and name not in ends:
-                return
-
-
-def spared(text: str) -> frozenset[int]:
-    """Elements, by their numbers in the page, that are noise by name but hold a main element, or all of the page's articles."""
-    if not _MAIN_TAG.search(text):
-        return frozenset()
-    found: dict[str, set[int]] = {tag: set() for tag in MAIN}
-    free = False
-    for kind, page, tag in walk(text, frozenset()):
-        if kind == "open" and tag in MAIN:
-            held = set(filter(None, page.roles))
-            found[tag] |= held
-            free = free or (tag == "article" and not page.noise[-1])
-    return frozenset(found["main"] | (set() if free else found["article"]))
-
-
-def walk(text: str, spare: frozenset[int] | None = None) -> Iterator[tuple[str, Page, str]]:
-    """("open", page, tag), ("text", page, raw text) and ("break", page, tag) in the page's order; heads, scripts, styles and comments are skipped."""
-    page, at, skip = Page(spared(text) if spare is None else spare), 0, False
-    for m in _TOKEN.finditer(text):
-        if m.start() > at and not skip:
-            yield "text", page, text[at : m.start()]
-        at = m.end()
-        tag = (m[3] or m[6] or "").lower()
-        if not tag:
-            continue
-        closing = bool(m[2] or m[5])
-        if tag == "head":
-            skip = not closing
-            continue
-        if skip and tag != "body":
-            continue
-        skip = False
-        if closing:
-            if tag in BLOCKS:
-                yield "break", page, tag
-            page.close(tag)
-            continue
-        if tag in BLOCKS:
-            yield "break", page, tag
-        page.implied(tag)
-        if tag in VOID:
-            if tag == "br":
-                yield "text", page, " "
-            continue
-        if tag in ("html", "body") and tag in page.names:
+    Every character is read a bounded number of times, whatever is broken: a quote that never closes ends the search for
+    quotes in this page, and from there on a tag ends at its first ``>``.
+    """
+    at, end, last, quotes = 0, len(text), text.rfind(">"), True
+    start = 0  # of the text not yet given
+    while True:
+        i = text.find("<", at)
+        if i < 0 or i > last:  # no tag can close any more, and a comment takes the rest
+            i = text.find("<!--", i) if i >= 0 else end
+            end = i if i >= 0 else end
+            break
+        m = _NAME.match(text, i)
+        if m is None:
+            if not text.startswith(("<!", "<?", "</"), i):
+                at = i + 1
+                continue
+            if i > start:
+                yield "text", text[start:i], ""
+            if text.startswith("<!--", i):
+                if text.startswith((">", "->"), i + 4):
+                    at = text.find(">", i) + 1
+                else:
+                    j = text.find("-->", i + 4)
+                    at = end if j < 0 else j + 3
+            else:
+                at = text.find(">", i) + 1
+            start = at
             continue
-        page.push(tag, m[4] or m[7] or "")
-        yield "open", page, tag
-    if at < len(text) and not skip:
-        yield "text", page, text[at:]
+        stop, p = -1, m.end()
+        while quotes:
+            s = _STOP.search(text, p)
+            if s is None:
+                quotes = False
+            elif s[0] == ">":
+                stop = s.start()
+                break
+            else:
+                p = text.find(s[0][-1], s.end()) + 1
+                quotes = p > 0
+        if stop < 0:
+            stop = text.find(">", m.end())
+        if i > start:
+            yield "text", text[start:i], ""
+        tag = m[2].lower()
+        at = start = stop + 1
+        if m[1]:
+            yield "close", tag, ""
+        elif tag in _END_OF:
+            e = _END_OF[tag].search(text, at)
+            at = start = text.find(">", e.end()) + 1 or end if e else end
+            if tag == "textarea":  # part of a form
+                yield "open", "hr", ""
+        else:
+            yield "open", tag, text[m.end() : stop]
+    if start < end:
+        yield "text", text[start:], ""
+
 
+def _hash(s: str) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+class Dom:
+    """A page: its elements in order (0 is the root) and, in ``events``, (element, text) or (element, None) where a block begins or ends.
 
-def main_text(text: str, low: frozenset[str] = frozenset()) -> str:
-    """The blocks of a page's main text, one in a line; ``low``: paths of its host's unimportant branches."""
+    An element's ``node`` is the hash of its chain of styles, so that deep pages take no more room than flat ones.
+    """
+
+    def __init__(self, text: str, names: bool = True):
+        self.tag, self.parent, self.style, self.node = [""], [-1], [""], [0]
+        self.role, self.head, self.unseen = [False], [False], [False]
+        self.events: list[tuple[int, str | None]] = []
+        self._read(text, names)
+        self._mark(names)
+
+    def _read(self, text: str, names: bool) -> None:
+        # open elements: number; place in the stack of the innermost block but p, and of the innermost p in it (or -1)
+        stack, block, para = [0], [0], [-1]
+        places: dict[str, list[int]] = defaultdict(list)
+        in_head = False
+
+        def pop_to(at: int) -> None:
+            while len(stack) > at:
+                places[self.tag[stack.pop()]].pop()
+                block.pop(), para.pop()
+
+        for kind, what, attrs in tokens(text):
+            if in_head:  # ends where something of a body begins
+                if kind == "close":
+                    in_head = what != "head"
+                    continue
+                if kind == "text" and what.isspace() or kind == "open" and what in IN_HEAD or what == "head":
+                    continue
+                in_head = False
+            if kind == "text":
+                self.events.append((stack[-1], what))
+                continue
+            if kind == "close":
+                if what in BLOCKS:
+                    self.events.append((stack[-1], None))
+                elif what == "br":
+                    self.events.append((stack[-1], " "))
+                if what in ("html", "body") or not places[what]:
+                    continue
+                at = places[what][-1]
+                if what in BLOCKS and what != "p" or block[-1] <= at:  # inline elements and paragraphs don't close blocks
+                    pop_to(at)
+                continue
+            if what == "head":
+                in_head = True
+                continue
+            if what in BLOCKS:
+                self.events.append((stack[-1], None))
+            if what in CLOSES_P and para[-1] >= 0:
+                pop_to(para[-1])
+            while self.tag[stack[block[-1]]] in ENDS.get(what, ()):
+                pop_to(block[-1])
+            if what == "option" and places["option"] and block[-1] < places["option"][-1]:
+                pop_to(places["option"][-1])
+            if what in VOID:
+                if what == "br":
+                    self.events.append((stack[-1], " "))
+                continue
+            if what in ("html", "body") and places[what]:
+                continue
+            self._add(stack[-1], what, attrs, names)
+            if not (attrs.endswith("/") and (places["svg"] or places["math"])):  # there elements may close themselves
+                places[what].append(len(stack))
+                stack.append(len(self.tag) - 1)
+                block.append(len(stack) - 1 if what in BLOCKS and what != "p" else block[-1])
+                para.append(len(stack) - 1 if what == "p" else -1 if what in BLOCKS else para[-1])
+
+    def _add(self, parent: int, tag: str, attrs: str, names: bool) -> None:
+        style, unseen, role, head = tag, tag in UNSEEN, names and tag in NOISE_TAGS, names and tag == "header"
+        if attrs and not attrs.isspace():
+            a = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
+            if a.get("class"):  # long numbers in names (post-1234) tell pages apart, short ones (col-3) styles
+                style = f"{tag}.{'.'.join(sorted(_DIGITS.sub('#', a['class']).split()))}"
+            unseen = unseen or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+            if names and tag not in ("html", "body", *MAIN):
+                called = [x for k in ("class", "id", "role") for x in a.get(k, "").split() if len(x) < 100]
+                role = role or any(ROLES.fullmatch(x) for x in called)
+                head = head or any(HEADS.fullmatch(x) for x in called)
+        self.tag.append(tag), self.parent.append(parent), self.style.append(style), self.role.append(role), self.head.append(head), self.unseen.append(unseen)
+        self.node.append(_hash(f"{self.node[parent]} {style}"))
+
+    def _mark(self, names: bool) -> None:
+        """``noise`` by name (or unseen), ``inside`` a main element, ``holds`` one."""
+        n = len(self.tag)
+        tags = MAIN if names else ()
+        held: dict[str, set[int]] = {t: set() for t in MAIN}
+        for i in range(n):
+            if self.tag[i] in tags:
+                seen, j = held[self.tag[i]], self.parent[i]
+                while j > 0 and j not in seen:
+                    seen.add(j)
+                    j = self.parent[j]
+        self.holds = held["main"] | held["article"]
+        spare: set[int] = held["main"]
+        for _ in range(2):  # a name doesn't hide what holds a main element, or all of a page's articles
+            self.noise, self.inside = [False] * n, [False] * n
+            free = False
+            for i in range(1, n):
+                p = self.parent[i]
+                inside = self.inside[p]
+                named = self.role[i] or self.head[i] and not inside
+                self.noise[i] = self.noise[p] or self.unseen[i] or (named and i not in spare)
+                self.inside[i] = inside or (self.tag[i] in tags and not self.noise[i])
+                free = free or (self.tag[i] == "article" and not self.noise[i])
+            if free or not held["article"]:
+                break
+            spare = self.holds
+        self.has_main = any(self.inside)
+
+
+def main_text(text: str, low: Iterable[int] = (), names: bool = True) -> str:
+    """The blocks of a page's main text, one in a line; ``low``: nodes of its host's unimportant branches."""
+    dom = Dom(text, names)
+    gone, low = list(dom.noise), frozenset(low)
+    if low:
+        for i in range(1, len(gone)):
+            kept = i in dom.holds or (dom.inside[i] and dom.tag[i] in TEXTUAL | MAIN)
+            gone[i] = gone[i] or gone[dom.parent[i]] or (dom.node[i] in low and not kept)
     kinds: dict[bool, list[str]] = {False: [], True: []}
     parts: list[str] = []
-    inside, has_main = False, False
-
-    def end() -> None:
-        if parts:
-            block = " ".join(html.unescape("".join(parts)).split())
+    inside = False
+    for e, raw in [*dom.events, (0, None)]:
+        if raw is not None and gone[e]:
+            continue
+        if raw is None or dom.inside[e] != inside:
+            block = " ".join("".join(parts).split())
             if block:
                 kinds[inside].append(block)
             parts.clear()
+        if raw is not None:
+            inside = dom.inside[e]
+            parts.append(html.unescape(raw))
+    return "\n".join(kinds[dom.has_main])
+
+
+def page_nodes(text: str) -> tuple[dict[int, tuple[int, int, int, bool]], dict[tuple[int, int], int]]:
+    """(node -> (parent, hash of its children's styles, words in its branch, textual), (node, hash of a text) -> words); the root is node 0. Unseen elements aren't there."""
+    dom = Dom(text, names=False)
+    n = len(dom.tag)
+    words, children = [0] * n, defaultdict(list)
+    texts: dict[tuple[int, int], int] = {}
+    for e, raw in dom.events:
+        if raw is not None and not dom.noise[e]:
+            said = html.unescape(raw).split()
+            if said:
+                words[e] += len(said)
+                texts[dom.node[e], _hash(" ".join(said))] = len(said)
+    for i in range(n - 1, 0, -1):
+        words[dom.parent[i]] += words[i]
+    out: dict[int, list] = {}
+    for i in range(n):
+        if i and not dom.noise[i]:
+            children[dom.node[dom.parent[i]]].append(dom.style[i])
+        if not dom.noise[i]:
+            out.setdefault(dom.node[i], [dom.node[dom.parent[i]] if i else 0, 0, dom.tag[i] in TEXTUAL])[1] += words[i]
+    return {k: (p, _hash(">".join(children[k])), w, t) for k, (p, w, t) in out.items()}, texts
+
+
+def unimportant_nodes(table: dict[int, tuple[int, float, float, float, float, bool]], pages: int, words: float) -> list[int]:
+    """The topmost unimportant nodes of a host with so many pages and words. table: node -> (parent, pages, entropy of styles in nats, words in the branch, sum of words n ln n over its own texts, textual).
+
+    Nodes of one page and texts of one page may be left out: they repeat nothing.
+    """
+    if pages < 2:
+        return []
+    repeated = {k: v[4] for k, v in table.items()}
+    children = defaultdict(list)
+    for k, v in table.items():
+        if k:
+            children[v[0]].append(k)
+    order, stack = [], [0]
+    while stack:
+        k = stack.pop()
+        order.append(k)
+        stack.extend(children[k])
+    for k in reversed(order[1:]):
+        repeated[table[k][0]] += repeated[k]
+    log = math.log(pages)
+    whole = (words - repeated[0] / log) / pages  # a page's information
+    if whole <= 1e-9 * words / pages:
+        return []
+    low, stack = [], [0]
+    while stack:
+        k = stack.pop()
+        template = table[k][2] <= math.log(STYLES)
+        for c in children[k]:
+            _, n, _, w, _, textual = table[c]
+            content = 1 - repeated[c] / log / w if w else 1.0
+            limit = REPEATED if template else CONSTANT if not textual else 0.0
+            if w and content < limit and content * w / n < SHARE * whole:
+                low.append(c)
+            else:
+                stack.append(c)
+    return sorted(low)
 
-    dropped: dict[str, bool] = {}
-    for kind, page, what in walk(text):
-        if kind == "break":
-            end()
-        elif kind == "text":
-            here = page.paths[-1] if page.paths else ""
-            now = bool(page.main) and page.main[-1]
-            if page.noise and page.noise[-1]:
-                continue
-            if low:
-                if here not in dropped:
-                    dropped[here] = any(p in low for p in page.paths)
-                if dropped[here]:
-                    continue
-            if now != inside:
-                end()
-                inside = now
-            parts.append(what)
-        elif page.main[-1]:
-            has_main = True
-    end()
-    return "\n".join(kinds[True] if has_main else kinds[False])
-
-
-def page_nodes(text: str) -> tuple[Counter, set[tuple[str, int]], set[str]]:
-    """(path, hash of the children's styles) of the page's nodes with children, (path, hash of a text) of those with texts of their own, and the paths of articles' ancestors. Parts that are noise by name are no nodes."""
-    children: dict[str, list[str]] = defaultdict(list)
-    texts: set[tuple[str, int]] = set()
-    spine: set[str] = set()
-    for kind, page, what in walk(text):
-        if kind == "open":
-            if len(page.paths) > 1 and not page.noise[-2]:
-                children[page.paths[-2]].append(page.paths[-1].rpartition(">")[2])
-            if page.main[-1] and page.names[-1] in MAIN:
-                spine.update(page.paths[:-1])
-        elif kind == "text" and page.paths and not page.noise[-1] and not what.isspace():
-            texts.add((page.paths[-1], _hash(" ".join(what.split()))))
-    return Counter({(p, _hash(">".join(c))): 1 for p, c in children.items()}), texts, spine
 
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
-def _hash(s: str) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
+_FACTS = "host string, node long, parent long, style long, textual boolean, text long, n long, words long"
 
 
-def protected(path: str) -> bool:
-    """Whether entropy alone must not remove the branch: articles and what lies in them. Their ancestors are marked by ``page_nodes``."""
-    names = [x.split(".")[0] for x in path.split(">")]
-    return names[-1] in ("html", "body", *MAIN) or any(n in MAIN for n in names)
-
-
-def importances(nodes: list[tuple[str, int, float, float, int]]) -> dict[str, float]:
-    """Composite importance of each path. nodes: path, pages, presentation and content importance (nan: none), number of child styles."""
-    table = {p: (m, own, content, styles) for p, m, own, content, styles in nodes}
-    below: dict[str, list[str]] = defaultdict(list)
-    for p in table:
-        below[p.rpartition(">")[0]].append(p)
-    out: dict[str, float] = {}
-    for p in sorted(table, key=lambda x: -x.count(">")):
-        m, own, content, styles = table[p]
-        parts = [(table[c][0] / m, out[c]) for c in below[p]]
-        weight = sum(w for w, _ in parts)
-        under = sum(w * v for w, v in parts) / weight if weight else math.nan
-        leaves = [v for v in (content, under) if not math.isnan(v)]
-        inner = sum(leaves) / len(leaves) if leaves else 1.0
-        out[p] = inner if math.isnan(own) else (1 - GAMMA**styles) * own + GAMMA**styles * inner
-    return out
-
-
-def unimportant_paths(found: dict[str, float], spine: set[str]) -> list[str]:
-    """The paths below LEAST; a path with a protected or important one below it, or an article on any page, isn't among them."""
-    kept = set(spine)
-    for p, v in found.items():
-        if v >= LEAST or protected(p):
-            while p and p not in kept:
-                kept.add(p)
-                p = p.rpartition(">")[0]
-    return sorted(p for p in found if p not in kept)
+def _node_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts for (host, node, style) and (host, node, text), added up within a batch; a text has no style."""
+    for batch in batches:
+        counts: Counter = Counter()
+        sums: Counter = Counter()
 
+        def made() -> pa.RecordBatch:
+            columns = [*zip(*counts, strict=True), list(counts.values()), [sums[k] for k in counts]]
+            counts.clear(), sums.clear()
+            kinds = {"host": pa.string(), "node": pa.int64(), "parent": pa.int64(), "style": pa.int64(), "textual": pa.bool_(), "text": pa.int64(), "n": pa.int64(), "words": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+        for host, text in zip(batch.column(0), batch.column(1), strict=True):  # one page's text at a time is a Python object
+            host = host.as_py()
+            nodes, texts = page_nodes(text.as_py())
+            for node, (parent, style, words, textual) in nodes.items():
+                key = (host, node, parent, style, textual, None)
+                counts[key] += 1
+                sums[key] += words
+            for (node, said), words in texts.items():
+                key = (host, node, None, None, None, said)
+                counts[key] += 1
+                sums[key] = words
+            if len(counts) > HELD:
+                yield made()
+        if counts:
+            yield made()
 
 
 def unimportant(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, low: the paths of each host's unimportant branches."""
-    rows = pages.select(host_of(pages[url_col]).alias("host"), text_of(pages, html_col).alias("html")).where("html <> ''")
+    """host, low: the nodes of each host's unimportant branches.
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            spines: set[tuple[str, str]] = set()
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                styles, texts, spine = page_nodes(text)
-                spines.update((host, p) for p in spine)
-                for p, h in styles:
-                    counts[host, p, h, True] += 1
-                for p, h in texts:
-                    counts[host, p, h, False] += 1
-                counts[host, "", 0, True] += 1
-            host, path, value, styled = zip(*counts, strict=True) if counts else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(value, pa.int64()), pa.array(styled, pa.bool_()), pa.array(counts.values(), pa.int64()), pa.array([k in spines for k in zip(host, path, strict=True)], pa.bool_())], ["host", "path", "v", "styled", "n", "spine"])
-
-    counts = rows.mapInArrow(nodes, "host string, path string, v long, styled boolean, n long, spine boolean").groupBy("host", "path", "styled", "v").agg(F.sum("n").alias("n"), F.bool_or("spine").alias("spine"))
-    # for each node: pages, sum of n log n, number of values
-    facts = cut(counts.groupBy("host", "path", "styled").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("nlogn"), F.sum(F.log(F.col("n").cast("double"))).alias("logn"), F.count("*").alias("kinds"), F.bool_or("spine").alias("spine")))
-    pages_of = facts.where("path = ''").select("host", F.col("m").alias("pages"))
-    facts = facts.where("path <> ''").join(pages_of, "host").where(f"m >= {PAGES} and m >= {SHARE} * pages")
-    # styles: entropy to the base m; texts: 1 - mean of log_m n over the texts
-    facts = facts.withColumn("imp", F.expr("if(styled, (ln(m) - nlogn / m) / ln(m), 1 - logn / kinds / ln(greatest(pages, 2)))"))
-    per_path = facts.groupBy("host", "path").agg(
-        F.max("m").alias("m"), F.max(F.when(F.col("styled"), F.col("imp"))).alias("own"), F.max(F.when(~F.col("styled"), F.col("imp"))).alias("content"), F.coalesce(F.max(F.when(F.col("styled"), F.col("kinds"))), F.lit(1)).alias("kinds"), F.bool_or("spine").alias("spine")
+    Counts are added up by (host, node, style or text), so a hot host is spread over all tasks. A host's tree, in one
+    task, has only nodes of two pages or more, with five numbers each.
+    """
+    rows = pages.select(host_of(pages[url_col]).alias("host"), text_of(pages, html_col).alias("html")).where("html <> ''")
+    counts = rows.mapInArrow(_node_rows, _FACTS).groupBy("host", "node", "style", "text").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("words").alias("most"), F.max("parent").alias("parent"), F.bool_or("textual").alias("textual"))
+    n = F.col("n").cast("double")
+    styled = F.col("style").isNotNull()
+    facts = counts.where(styled | (n > 1)).groupBy("host", "node").agg(
+        F.max("parent").alias("parent"),
+        F.bool_or("textual").alias("textual"),
+        F.coalesce(F.sum(F.when(styled, n)), F.lit(0.0)).alias("pages"),
+        F.sum(F.when(styled, n * F.log(n))).alias("nlogn"),
+        F.sum(F.when(styled, F.col("words"))).cast("double").alias("words"),
+        F.coalesce(F.sum(F.when(~styled, F.col("most") * n * F.log(n))), F.lit(0.0)).alias("repeated"),
     )
+    facts = facts.where("pages > 1").select("host", "node", "parent", "textual", "pages", F.expr("ln(pages) - nlogn / pages").alias("entropy"), "words", "repeated")
 
     def tree(group: pd.DataFrame) -> pd.DataFrame:
-        """A host's tree: at most 1 / SHARE times the nodes of a page."""
-        found = importances([(p, int(m), float(o), float(c), int(k)) for p, m, o, c, k in zip(group["path"], group["m"], group["own"].astype(float), group["content"].astype(float), group["kinds"], strict=True)])
-        low = unimportant_paths(found, set(group["path"][group["spine"]]))
+        table = {k: (p, n, h, w, r, t) for k, p, n, h, w, r, t in zip(*(group[c].tolist() for c in ("node", "parent", "pages", "entropy", "words", "repeated", "textual")), strict=True)}
+        root = table.get(0)
+        low = unimportant_nodes(table, int(root[1]), root[3]) if root else []
         return pd.DataFrame({"host": [group["host"].iloc[0]], "low": [low]})
 
-    return cut(per_path.groupBy("host").applyInPandas(tree, "host string, low array<string>"))
+    return cut(facts.groupBy("host").applyInPandas(tree, "host string, low array<long>").where(F.size("low") > 0))
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
     """One row per page: id, url, text, n_chars. A null or empty page has an empty text; a null url is a host of its own.
 
-    The table of hosts is joined to the pages by Spark's own choice: sent to all tasks only if it is small. Repeated rows
-    give equal texts; extra columns are ignored; an empty table gives no rows.
+    The table of hosts is joined to the pages by Spark's own choice: sent to all tasks only if it is small. Broken and
+    deep pages take time and room in proportion to their length. Null ids stay; repeated rows give equal texts and count
+    as pages of their own; extra columns are ignored; an empty table gives no rows. Nodes and texts are told apart by
+    64-bit hashes; a collision, at a chance of k^2 / 2^65 for k nodes of a host, could only merge two nodes' counts.
     """
     low = unimportant(pages, url_col=url_col, html_col=html_col)
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), host_of(pages[url_col]).alias("host"), text_of(pages, html_col).alias("html")).join(low, "host", "left").select("id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
-            texts = [main_text(t, frozenset(low or ())) for t, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(t.as_py(), low.as_py() or (), names) for t, low in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     kind = {c: rows.schema[c].dataType.simpleString() for c in ("id", "url")}

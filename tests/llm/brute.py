@@ -84,3 +84,60 @@ def license_base(text):
         p = phrase.split()
         found += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
     return len(w), sorted(found)
+
+
+def brute_site_texts(pages, fixed):
+    """Texts of a host's pages, trees of (style, children or text), without its unimportant branches. ``fixed``: the module with the thresholds."""
+    from math import log
+
+    def branches(tree, chain=()):
+        chain = (*chain, tree[0])
+        yield chain, tree
+        for child in tree[1] if isinstance(tree[1], list) else ():
+            yield from branches(child, chain)
+
+    def texts(tree, chain=()):
+        return [(c, " ".join(t[1].split())) for c, t in branches(tree, chain) if isinstance(t[1], str)]
+
+    m = len(pages)
+    wrapped = [("", [p]) for p in pages]
+    chains = {c for p in wrapped for c, _ in branches(p)}
+    on = {c: [p for p in wrapped if any(x == c for x, _ in branches(p))] for c in chains}
+
+    def carrying(chain, text):
+        return sum((chain, text) in texts(p) for p in wrapped)
+
+    seen = {key: carrying(*key) for key in {x for p in wrapped for x in texts(p)}}
+
+    def facts(chain):
+        """Entropy of styles, mean importance of the branch's words, and the branch's information on a page."""
+        styles, words, lost = {}, 0, 0.0
+        for p in on[chain]:
+            here = [t for c, t in branches(p) if c == chain]
+            style = tuple(x[0] for t in here if isinstance(t[1], list) for x in t[1])
+            styles[style] = styles.get(style, 0) + 1
+            said = [(c, t) for c, t in texts(p) if c[: len(chain)] == chain]
+            words += sum(len(t.split()) for _, t in said)
+            lost += sum(len(t.split()) * log(seen[c, t]) for c, t in set(said))
+        n = len(on[chain])
+        content = 1 - lost / log(m) / words if words else 1.0
+        return -sum(k / n * log(k / n) for k in styles.values()), content, content * words / n, words
+
+    def kept(tree, chain, parent):
+        chain = (*chain, tree[0])
+        if parent is not None and m > 1 and whole > 1e-9 * total / m:
+            entropy, content, info, words = facts(chain)
+            template = facts(parent)[0] <= log(fixed.STYLES)
+            textual = tree[0].split(".")[0] in fixed.TEXTUAL
+            limit = fixed.REPEATED if template else 0.0 if textual else fixed.CONSTANT
+            if words and content < limit and info < fixed.SHARE * whole:
+                return []
+        if isinstance(tree[1], str):
+            return [" ".join(tree[1].split())]
+        inner = [line for child in tree[1] for line in kept(child, chain, chain)]
+        if tree[0].split(".")[0] != "span" and inner and all(x[0].split(".")[0] == "span" for x in tree[1]):
+            return ["".join(inner)]  # inline children are one block
+        return inner
+
+    _, _, whole, total = facts(("",)) if m > 1 else (0.0, 1.0, 0.0, 0)
+    return ["\n".join(x for x in kept(p, (), None) if x) for p in wrapped]

@@ -2,7 +2,7 @@ import hashlib
 import math
 
 import pytest
-from brute import base_secrets, license_base, quality
+from brute import base_secrets, brute_site_texts, license_base, quality
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -132,6 +132,92 @@ def test_main_text():
     assert htmltree.main_text('<p class="x>one</p><p title=it\'s>two</p>') == "one\ntwo" and htmltree.main_text('a < b <p>c > d') == "a < b\nc > d"
 
 
+def test_text_is_whole():
+    """Formulas, figures' words and fallbacks stay; references are decoded in their own piece of text; inline ends close no block."""
+    assert htmltree.main_text("<p>where <math><mi>x</mi></math> holds <svg><text>axis</text></svg> <object>plain</object></p>") == "where x holds axis plain"
+    assert htmltree.main_text("x &<b>lt;</b> y") == "x &lt; y" and htmltree.main_text("a&<!-- -->amp;b &#x41;&eacute;&nbsp;c") == "a&amp;b Aé c"
+    assert htmltree.main_text("<b><article><p>x</b>y</p></article>") == "xy" and htmltree.main_text("<head><title>t</title><p>body begins") == "body begins"
+    assert htmltree.main_text("<p>a</p><!-- <p>b") == "a" and htmltree.main_text("<!--><p>a") == "a" and htmltree.main_text("<SCRIPT>x</Script ><P>a") == "a"
+    assert htmltree.main_text("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e</dl>") == "a\nb\nc\nd\ne"
+    assert htmltree.main_text("<form><main><p>a<input></main></form><form>b</form>") == "a"  # a name hides no main element
+    assert htmltree.main_text("<p hidden>a</p><p aria-hidden=true>b</p><p style='display: none'>c</p><template>d</template>e") == "e"
+
+
+@pytest.mark.parametrize("bad", ['<a "', '<a ="', "<div>", "<b>", "</x>", "<script>", "<style></style ", "<!--", "<!-- -->", "<td><b>", "&", "<", "<p class=a ", "<li><b>", "<p><table>"])
+def test_broken_pages_take_linear_time(bad):
+    """Some 200 KB of each, also before paragraphs and end tags: quadratic reading would take minutes."""
+    import time
+
+    began = time.time()
+    n = 200_000 // len(bad)
+    for page in (bad * n, bad * n + ">" + "<p></p>" * 2000 + "</x>" * 2000, "<p>x" + bad * n + "'>"):
+        assert isinstance(htmltree.main_text(page), str) and htmltree.page_nodes(page)
+    assert time.time() - began < 30
+
+
+def test_deep_pages_keep_little():
+    nodes, _ = htmltree.page_nodes("<div>" * 50_000 + "x")
+    assert len(nodes) == 50_001 and htmltree.main_text("<div>" * 50_000 + "x") == "x"
+
+
+def site(r, m):
+    """A host's pages under names that mean nothing, as trees of (style, children or text)."""
+    menus, ends = ([" ".join(r.choice("uvwxyz") * r.randrange(1, 3) for _ in range(6)) for _ in range(k)] for k in (4, 3))
+    pages = []
+    for i in range(m):
+        text = lambda k, i=i: " ".join(f"t{i}w{r.randrange(1000)}" for _ in range(k))
+        paragraphs = [("p", text(r.randrange(5, 40))) for _ in range(r.randrange(1, 9))]
+        box = ("div.c9", [("span", "the same words")])
+        pages.append(("div.c0", [("div.c1", [("span", w) for w in r.choice(menus).split()]), ("div.c2", [("div.c3", text(5) if r.random() < 0.9 else "as often"), *paragraphs, *([box] if r.random() < 0.9 else [])]), ("div.c4", r.choice(ends))]))
+    return pages
+
+
+def written(tree):
+    style, inner = tree
+    tag, _, cls = style.partition(".")
+    return f"<{tag}{f' class={cls}' if cls else ''}>{inner if isinstance(inner, str) else ''.join(map(written, inner))}</{tag}>"
+
+
+def test_style_tree_by_definition(spark):
+    """Entropies alone against a brute-force style tree: chains of styles as tuples, texts as strings, every branch counted anew."""
+    import random
+
+    r = random.Random(8)
+    sites = {f"h{m}": site(r, m) for m in (1, 2, 3, 8, 25, 60)}
+    rows = [(1000 * k + i, f"https://{h}/{i}", written(p)) for k, (h, ps) in enumerate(sites.items()) for i, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {x["page_id"]: x["text"] for x in htmltree.extract(df, names=False).collect()}
+    expected = {1000 * k + i: text for k, ps in enumerate(sites.values()) for i, text in enumerate(brute_site_texts(ps, htmltree))}
+    assert got == expected
+    # the entropies decide: menus and ends of large hosts are gone, boxes of a constant text too, and nothing else
+    large = sites["h60"]
+    assert [got[5000 + i] for i in range(60)] == ["\n".join(t for s, t in p[1][1][1] if s != "div.c9") for p in large]
+    assert got[0].count("\n") > 1 and "the same words" in got[0] or len(sites["h1"][0][1][1][1]) < 3
+
+
+def test_entropies_decide_without_names(spark, small):
+    """On the given pages of hosts with 40 pages or more, entropies alone give what they give together with names."""
+    pages = spark.read.parquet(f"{small.replace('0.001', '0.1')}/pages.parquet")
+    hosts = pages.groupBy(htmltree.host_of(pages["url"]).alias("h")).count().where("count >= 40").select("h")
+    some = pages.withColumn("h", htmltree.host_of(pages["url"])).join(hosts, "h", "left_semi")
+    alone = {x["page_id"]: x["text"] for x in htmltree.extract(some, names=False).collect()}
+    both = {x["page_id"]: x["text"] for x in htmltree.extract(some).collect()}
+    none = {x["page_id"]: htmltree.main_text(x["html"], names=False) for x in some.select("page_id", "html").collect()}
+    same = sum(alone[k] == v for k, v in both.items())
+    assert same >= 0.95 * len(both) and not any(none[k] == v for k, v in both.items())
+
+
+def test_pages_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    long = "<body><nav>" + "<a>x</a>" * 20000 + "</nav><p>" + "word " * 100_000 + "</body>"
+    rows = [(None, None, None), (1, None, ""), (2, "https://h/1", None), (3, "not a url", "<p>a"), (3, "not a url", "<p>a"), (None, "https://h/2", "<p>b"), (4, "https://h/3", long), (5, "https://h/4", "<div>" * 20_000 + "c"), (6, "https://h/5", "<p>\ud7ff\U0010ffff")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("id", "host", "low", "text", "n_chars", "node", "n", "words")})
+    got = sorted(((r["page_id"] or 0, r["url"] or "", r["n_chars"], r["text"][:5]) for r in htmltree.extract(df).collect()))
+    assert got == [(0, "", 0, ""), (0, "https://h/2", 1, "b"), (1, "", 0, ""), (2, "https://h/1", 0, ""), (3, "not a url", 1, "a"), (3, "not a url", 1, "a"), (4, "https://h/3", 499_999, "word "), (5, "https://h/4", 1, "c"), (6, "https://h/5", 2, "\ud7ff\U0010ffff")]
+    assert htmltree.extract(df.where("false")).count() == 0 and htmltree.extract(df).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_site_tree_removes_what_a_host_repeats(spark):
     page = "<html><body><div class=top><p>Welcome to the site, dear reader</p></div><div class=body><p>{}</p><p>{}</p></div><div class=end><p>Imprint</p></div></body></html>"
     rows = [(i, f"https://h.example/{i}", page.format(f"text {i}", f"more {i * 7}")) for i in range(12)] + [(100, "https://other/1", page.format("a", "b")), (101, None, None), (102, "nonsense", "")]
