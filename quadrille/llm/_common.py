@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 #: Java pattern of the ASCII white space that separates words.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``, or one of our own only if that is unset."""
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``, or, in local mode only, one of our own if that is unset."""
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -40,7 +43,12 @@ def cut(df: DataFrame, *, files: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quadrille-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the written table replaces the exchanges: Spark removes their files when it is done
+    try:
+        (df.coalesce(files) if files else df).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

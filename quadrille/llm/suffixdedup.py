@@ -11,16 +11,16 @@ anchors at equal places, and every pair of equal windows meets at an anchor.
 3. In each partition the contexts are suffix-sorted to both sides by deep-shallow sorting: multikey sorting, eight bytes a
    symbol, to a shallow depth; what still ties there, long common prefixes, is ordered by blind tries. With the common
    prefixes of neighbours, every window gets the class of equal ones, compared byte by byte, and so the smallest id that
-   has it.
+   has it. A hot anchor, one that many batches of documents have, would bring all its contexts to one partition; its
+   windows travel apart instead, each to the partition that its own LENGTH bytes name.
 4. The windows found are joined to the texts, and their bytes are cut out.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,11 @@ SIDE = LENGTH - GRAM
 SHALLOW = 24
 #: Bytes of text for each partition of anchors and of documents.
 ANCHOR_BYTES, TEXT_BYTES = 1 << 24, 1 << 22
-#: Rows whose anchors are combined before they are sent.
-ROWS = 2500
+#: Anchors and texts that are combined before they are sent.
+HELD, ROWS = 1_000_000, 10_000
+#: An anchor is hot if so many batches sent it. The bits of hot anchors, of fixed size whatever their number, go to all
+#: tasks; an anchor that shares a hot one's bit is treated as hot too, which changes the way only.
+HOT, HOT_BITS = 24, 1 << 24
 LAST = np.iinfo(np.int64).max
 WHOLE = np.uint32(0xFFFFFFFF)
 
@@ -182,7 +185,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_bytes._VALUE[data] * _bytes.UP.upto(n), out=sums[1:])
-    h = _bytes.mix((sums[GRAM:] - sums[:-GRAM]) * _bytes.DOWN.upto(n - GRAM + 1))
+    h = _bytes.mix((sums[GRAM:] - sums[:-GRAM]) * _bytes.DOWN.upto(n - GRAM + 1))  # each place's gram_hash
     low = np.uint64((1 << max(20, n.bit_length())) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     reach = 1
@@ -203,6 +206,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[places], places
 
 
+def gram_hash(grams: np.ndarray) -> np.ndarray:
+    """The hash that ``anchors`` gives, of each row of GRAM bytes."""
+    return _bytes.mix((_bytes._VALUE[grams] * _bytes.UP.upto(GRAM)).sum(axis=1, dtype=np.uint64))
+
+
 _KEY = np.dtype([("doc", "<i8"), ("th", "<u4")])
 
 
@@ -231,8 +239,8 @@ def _whole(low: bytes, high: bytes) -> np.ndarray:
     return np.frombuffer(low, dtype="<u2").astype(np.uint32) | (np.frombuffer(high, dtype="<u2").astype(np.uint32) << np.uint32(16))
 
 
-def bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
-    """Partition of a document by its id: what ``pmod(xxhash64(id), n)`` gives in SQL."""
+def bucket_of(doc: np.ndarray, th: np.ndarray, n: int) -> np.ndarray:
+    """Partition of a text by its id and checksum, so that rows with one id (or none) are spread: what ``pmod(xxhash64(id) ^ crc32(text), n)`` gives in SQL."""
     # The primes of XXH64, and SQL's seed.
     p1, p2, p3, p4, p5, seed = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 42))
 
@@ -245,16 +253,15 @@ def bucket_of(doc: np.ndarray, n: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * p2
     h = (h ^ (h >> np.uint64(29))) * p3
     h ^= h >> np.uint64(32)
-    return (h.view(np.int64) % n).astype(np.int32)
+    return ((h.view(np.int64) ^ th.astype(np.int64)) % n).astype(np.int32)
 
 
-def _split(by: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def _split(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(value, rows in order) of each value of ``by``."""
     order = np.argsort(by, kind="stable")
-    cuts = np.searchsorted(by[order], np.arange(n + 1))
-    for v in range(n):
-        if cuts[v] < cuts[v + 1]:
-            yield v, order[cuts[v] : cuts[v + 1]]
+    values, starts = np.unique(by[order], return_index=True)
+    for v, rows in zip(values.tolist(), np.split(order, starts[1:]), strict=False):  # no values, no rows
+        yield v, rows
 
 
 _BLOB = "route int, kind int, keys binary, counts binary, low binary, high binary, a binary, b binary"
@@ -266,60 +273,90 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, _TYPES, strict=True)], _NAMES)
 
 
-#: Kinds of rows: hashes to compare; places found shared; contexts to compare; windows found.
-HASHES, PLACES, CONTEXTS, WINDOWS = range(4)
+#: Kinds of rows: hashes to compare; places found shared; contexts to compare; windows found; single windows to compare; bits of hot anchors.
+HASHES, PLACES, CONTEXTS, WINDOWS, SINGLES, BITS = range(6)
 
 
 def _places(q: int, doc: np.ndarray, th: np.ndarray, pos: np.ndarray) -> Iterator[tuple]:
     """Rows that tell documents' partitions their shared places."""
     o = np.lexsort((pos, th, doc))
     doc, th, pos = doc[o], th[o], pos[o]
-    for v, at in _split(bucket_of(doc, q), q):
+    for v, at in _split(bucket_of(doc, th, q)):
         yield (v, PLACES, *_runs(doc[at], th[at]), *_halves(pos[at]), b"", b"")
 
 
+class _Anchors:
+    """Anchors of a task's texts, sent whenever HELD of them or ROWS texts are held."""
+
+    def __init__(self, p: int, q: int):
+        self.p, self.q = p, q
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.copies: list[tuple[int, int]] = []
+        self.known: dict[bytes, int] = {}  # the smallest id so far of each text held
+        self.texts = self.size = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = [t.as_buffer() if t.is_valid else b"" for t in batch.column(1)]
+        digests = [hashlib.blake2b(t, digest_size=16).digest() for t in raw]
+        checks = np.array([zlib.crc32(t) for t in raw], dtype=np.uint32)
+        # of a text that was met under an id no larger, the anchors don't go on
+        stay = np.zeros(len(raw), dtype=bool)
+        for i, d in enumerate(digests):
+            known = self.known.get(d)
+            stay[i] = known is None or ids[i] < known
+            if stay[i]:
+                self.known[d] = int(ids[i])
+            elif ids[i] > known and len(raw[i]) >= LENGTH:
+                self.copies.append((int(ids[i]), int(checks[i])))
+        for row, data, offsets in _bytes.byte_blocks(batch.column(1)):
+            h, at = anchors(data, offsets)
+            owner = np.searchsorted(offsets, at, "right") - 1
+            keep = stay[row + owner]
+            h, at, owner = h[keep], at[keep], owner[keep]
+            self.parts.append((h, ids[row + owner], checks[row + owner], (at - offsets[owner]).astype(np.uint32)))
+            self.size += len(h)
+        self.texts += len(raw)
+
+    def full(self) -> bool:
+        return self.size >= HELD or self.texts >= ROWS
+
+    def rows(self) -> Iterator[tuple]:
+        p, q = self.p, self.q
+        if self.copies:
+            doc, th = (np.array(x) for x in zip(*self.copies, strict=True))
+            yield from _places(q, doc.astype(np.int64), th.astype(np.uint32), np.full(len(doc), WHOLE))
+        parts = list(zip(*self.parts, strict=True))
+        self.clear()
+        if not parts or not any(map(len, parts[0])):
+            return
+        h, doc, th, pos = (np.concatenate(x) for x in parts)
+        o = np.lexsort((pos, th, doc, h))
+        h, doc, th, pos = h[o], doc[o], th[o], pos[o]
+        new = np.append(True, h[1:] != h[:-1])
+        other = np.append(False, (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
+        group = np.cumsum(new) - 1
+        shared = (np.bincount(group, weights=other) > 0)[group]
+        yield from _places(q, doc[shared], th[shared], pos[shared])
+        send = np.flatnonzero(new | ~shared)  # of a shared hash one row is enough
+        send = send[np.lexsort((pos[send], th[send], doc[send]))]
+        h, doc, th, pos = h[send], doc[send], th[send], pos[send]
+        for v, at in _split(((h >> np.uint64(40)) % np.uint64(p)).astype(np.int32)):
+            tag = h[at]
+            yield (v, HASHES, *_runs(doc[at], th[at]), *_halves(pos[at]), (tag & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((tag >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes())
+
+
 def _anchor_rows(p: int, q: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, ROWS)):
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hs, docs, ths, poss, copies = [], [], [], [], []
-            first: dict[bytes, int] = {}  # copies of a text within the batch: only the smallest id's anchors go on
-            digests = [hashlib.blake2b(t.as_buffer() if t.is_valid else b"", digest_size=16).digest() for t in batch.column(1)]
-            for i, d in enumerate(digests):
-                if d not in first or ids[i] < ids[first[d]]:
-                    first[d] = i
-            for row, data, offsets in _bytes.byte_blocks(batch.column(1)):
-                h, at = anchors(data, offsets)
-                owner = np.searchsorted(offsets, at, "right") - 1
-                stay = np.array([first[digests[row + i]] == row + i for i in range(len(offsets) - 1)], dtype=bool)
-                th = np.array([int.from_bytes(digests[row + i][:4], "little") for i in range(len(offsets) - 1)], dtype=np.uint32)
-                mine = ids[row : row + len(offsets) - 1]
-                lengths = np.diff(offsets)
-                gone = [i for i in range(len(stay)) if not stay[i] and lengths[i] >= LENGTH and mine[i] > ids[first[digests[row + i]]]]
-                copies += [(mine[i], th[i]) for i in gone]
-                keep = stay[owner] if len(owner) else np.zeros(0, dtype=bool)
-                h, at, owner = h[keep], at[keep], owner[keep]
-                hs.append(h), docs.append(mine[owner]), ths.append(th[owner]), poss.append((at - offsets[owner]).astype(np.uint32))
-            out = []
-            if copies:
-                doc, th = (np.array(x) for x in zip(*copies, strict=True))
-                out += _places(q, doc.astype(np.int64), th.astype(np.uint32), np.full(len(doc), WHOLE))
-            h, doc, th, pos = (np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in (hs, docs, ths, poss))
-            if len(h):
-                o = np.lexsort((pos, th, doc, h))
-                h, doc, th, pos = h[o], doc[o], th[o], pos[o]
-                new = np.append(True, h[1:] != h[:-1])
-                other = np.append(False, (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
-                group = np.cumsum(new) - 1
-                shared = (np.bincount(group, weights=other) > 0)[group]
-                out += _places(q, doc[shared], th[shared], pos[shared])
-                send = np.flatnonzero(new | ~shared)  # of a shared hash one row is enough
-                send = send[np.lexsort((pos[send], th[send], doc[send]))]
-                h, doc, th, pos = h[send], doc[send], th[send], pos[send]
-                for v, at in _split(((h >> np.uint64(40)) % np.uint64(p)).astype(np.int32), p):
-                    tag = h[at]
-                    out.append((v, HASHES, *_runs(doc[at], th[at]), *_halves(pos[at]), (tag & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((tag >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()))
-            yield _batch(out)
+        held = _Anchors(p, q)
+        for batch in (part for whole in batches for part in slices(whole)):
+            held.add(batch)
+            if held.full():
+                yield _batch(list(held.rows()))
+        yield _batch(list(held.rows()))
 
     return run
 
@@ -341,8 +378,12 @@ def _shared_places(p: int, q: int):
         doc, th, pos, tag = doc[o], th[o], pos[o], tag[o]
         new = np.append(True, tag[1:] != tag[:-1])
         other = np.append(False, ~new[1:] & ((doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
-        shared = (np.bincount(np.cumsum(new) - 1, weights=other) > 0)[np.cumsum(new) - 1]
-        return pa.concat_tables([done, pa.Table.from_batches([_batch(list(_places(q, doc[shared], th[shared], pos[shared])))])])
+        group = np.cumsum(new) - 1
+        shared = (np.bincount(group, weights=other) > 0)[group]
+        # a hash that many batches sent is hot
+        hot = np.unique(tag[new & (np.bincount(group)[group] >= HOT)] % np.uint64(HOT_BITS)).astype("<u4")
+        bits = [(0, BITS, b"", b"", b"", b"", hot.tobytes(), b"")] if len(hot) else []
+        return pa.concat_tables([done, pa.Table.from_batches([_batch([*_places(q, doc[shared], th[shared], pos[shared]), *bits])])])
 
     return run
 
@@ -372,14 +413,31 @@ class _Places:
         return self.pos[a:b], self.mask[a:b]
 
 
-def _context_rows(p: int, q: int):
+def hot_bits(shared: DataFrame) -> np.ndarray:
+    """The bits of hot anchors, as HOT_BITS / 64 words: no more rows than that come to the driver."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u4")
+            words, inverse = np.unique(at >> 6, return_inverse=True)
+            bits = np.zeros(len(words), dtype=np.uint64)
+            np.bitwise_or.at(bits, inverse, np.uint64(1) << (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(bits.view(np.int64))], ["w", "v"])
+
+    table = shared.where(f"kind = {BITS}").select("a").mapInArrow(split, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    out = np.zeros(HOT_BITS // 64, dtype=np.int64)
+    out[table["w"].to_numpy()] = table["v"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _context_rows(p: int, q: int, hot):
     def run(texts: pa.Table, places: pa.Table) -> pa.Table:
         wanted = _Places(places, (PLACES,))
         known: set[tuple[int, int]] = set()
         bufs, parts, at = [], [], 0
-        for doc, text in zip(texts["id"].to_pylist(), texts["t"].to_pylist(), strict=True):
-            t = text.encode("utf-8", "surrogatepass")
-            key = (doc, _hash32(t))
+        for doc, text in zip(texts["id"].to_pylist(), texts["t"], strict=True):
+            t = text.as_buffer().to_pybytes()
+            key = (doc, zlib.crc32(t))
             if key not in wanted.at or key in known:
                 continue
             known.add(key)
@@ -397,6 +455,8 @@ def _context_rows(p: int, q: int):
         whole = np.ascontiguousarray(np.concatenate([ctx, before.astype(np.uint8)[:, None], after.astype(np.uint8)[:, None]], axis=1))
         gram = np.ascontiguousarray(ctx[:, SIDE : SIDE + GRAM]).view("<u8")
         route = (_bytes.mix(gram[:, 0] * np.uint64(3) + _bytes.mix(gram[:, 1])) % np.uint64(p)).astype(np.int32)
+        bit = (gram_hash(ctx[:, SIDE : SIDE + GRAM]) % np.uint64(HOT_BITS)).astype(np.int64)
+        warm = (hot.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
         # equal contexts: the smallest id goes on, and those of larger ids are wholly repeated
         o = np.argsort(doc, kind="stable")
         _, first, inverse = np.unique(whole[o].view(np.dtype((np.void, whole.shape[1]))).ravel(), return_index=True, return_inverse=True)
@@ -407,7 +467,9 @@ def _context_rows(p: int, q: int):
         mask = (((before[rest, None] >= bits) & (after[rest, None] >= SIDE - bits)).astype(np.uint64) << bits.astype(np.uint64)).sum(axis=1, dtype=np.uint64)
         out += _windows(q, doc[rest], th[rest], pos[rest].astype(np.uint32), mask)
         go = np.sort(o[doc[head] == doc[o]])
-        for v, rows in _split(route[go], p):
+        out += _single_rows(p, q, go[warm[go]], doc, th, pos, ctx, before, after)
+        go = go[~warm[go]]
+        for v, rows in _split(route[go]):
             r = go[rows]
             out.append((v, CONTEXTS, *_runs(doc[r], th[r]), *_halves(pos[r].astype(np.uint32)), zstandard.compress(np.ascontiguousarray(ctx[r]).tobytes(), 3), np.stack([before[r], after[r]], axis=1).astype(np.uint8).tobytes()))
         return pa.Table.from_batches([_batch(out)])
@@ -415,8 +477,27 @@ def _context_rows(p: int, q: int):
     return run
 
 
-def _hash32(t: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(t, digest_size=16).digest()[:4], "little")
+def _single_rows(p: int, q: int, rows: np.ndarray, doc: np.ndarray, th: np.ndarray, pos: np.ndarray, ctx: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple]:
+    """Windows of hot anchors: of equal ones those of larger ids are settled here, and those of the smallest go where the window's bytes say."""
+    out = []
+    for t in range(SIDE + 1):
+        r = rows[(before[rows] >= t) & (after[rows] >= SIDE - t)]
+        if not len(r):
+            continue
+        r = r[np.argsort(doc[r], kind="stable")]
+        window = np.ascontiguousarray(ctx[r, SIDE - t : SIDE - t + LENGTH])
+        _, first, inverse = np.unique(window.view(np.dtype((np.void, LENGTH))).ravel(), return_index=True, return_inverse=True)
+        later = doc[r[first]][inverse.ravel()] < doc[r]
+        gone = r[later]
+        out += _windows(q, doc[gone], th[gone], pos[gone].astype(np.uint32), np.full(len(gone), 1 << t, dtype=np.uint64))
+        r, window = r[~later], window[~later]
+        key = np.ascontiguousarray(window[:, -8:]).view("<u8")[:, 0]
+        for k in range(0, LENGTH - 8, 8):
+            key = _bytes.mix(key * np.uint64(3) + np.ascontiguousarray(window[:, k : k + 8]).view("<u8")[:, 0])
+        for v, at in _split((key % np.uint64(p)).astype(np.int32)):
+            x = r[at]
+            out.append((v, SINGLES, *_runs(doc[x], th[x]), *_halves(pos[x].astype(np.uint32)), zstandard.compress(window[at].tobytes(), 3), np.full(len(x), t, dtype=np.uint8).tobytes()))
+    return out
 
 
 def _windows(q: int, doc: np.ndarray, th: np.ndarray, pos: np.ndarray, mask: np.ndarray) -> Iterator[tuple]:
@@ -424,19 +505,34 @@ def _windows(q: int, doc: np.ndarray, th: np.ndarray, pos: np.ndarray, mask: np.
     doc, th, pos, mask = doc[some], th[some], pos[some], mask[some]
     o = np.lexsort((pos, th, doc))
     doc, th, pos, mask = doc[o], th[o], pos[o], mask[o]
-    for v, at in _split(bucket_of(doc, q), q):
+    for v, at in _split(bucket_of(doc, th, q)):
         yield (v, WINDOWS, *_runs(doc[at], th[at]), *_halves(pos[at]), mask[at].astype("<u8").tobytes(), b"")
 
 
-def _found_windows(p: int, q: int):
+def _single_windows(q: int, rows: list[dict]) -> list[tuple]:
+    """Of single windows, those that a smaller id has too."""
+    if not rows:
+        return []
+    parts = [(*_unrun(r["keys"], r["counts"]), _whole(r["low"], r["high"]), np.frombuffer(zstandard.decompress(r["a"]), dtype=np.uint8).reshape(-1, LENGTH), np.frombuffer(r["b"], dtype=np.uint8)) for r in rows]
+    doc, th, pos, window, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+    o = np.argsort(doc, kind="stable")
+    doc, th, pos, t = doc[o], th[o], pos[o], t[o]
+    _, first, inverse = np.unique(np.ascontiguousarray(window[o]).view(np.dtype((np.void, LENGTH))).ravel(), return_index=True, return_inverse=True)
+    mask = np.where(doc[first][inverse.ravel()] < doc, np.uint64(1) << t.astype(np.uint64), np.uint64(0))
+    return list(_windows(q, doc, th, pos, mask))
+
+
+def _found_windows(q: int):
     def run(table: pa.Table) -> pa.Table:
         done, rows = _parted(table, CONTEXTS)
-        if not rows:
-            return done
-        parts = [(*_unrun(r["keys"], r["counts"]), _whole(r["low"], r["high"]), np.frombuffer(zstandard.decompress(r["a"]), dtype=np.uint8).reshape(-1, GRAM + 2 * SIDE), np.frombuffer(r["b"], dtype=np.uint8).reshape(-1, 2)) for r in rows]
-        doc, th, pos, ctx, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
-        mask = earlier(ctx[:, SIDE : SIDE + GRAM], ctx[:, SIDE - 1 :: -1] if SIDE else ctx[:, :0], ctx[:, SIDE + GRAM :], sizes[:, 0].astype(int), sizes[:, 1].astype(int), doc)
-        return pa.concat_tables([done, pa.Table.from_batches([_batch(list(_windows(q, doc, th, pos, mask)))])])
+        done, singles = _parted(done, SINGLES)
+        out = [done, pa.Table.from_batches([_batch(_single_windows(q, singles))])]
+        if rows:
+            parts = [(*_unrun(r["keys"], r["counts"]), _whole(r["low"], r["high"]), np.frombuffer(zstandard.decompress(r["a"]), dtype=np.uint8).reshape(-1, GRAM + 2 * SIDE), np.frombuffer(r["b"], dtype=np.uint8).reshape(-1, 2)) for r in rows]
+            doc, th, pos, ctx, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            mask = earlier(ctx[:, SIDE : SIDE + GRAM], ctx[:, SIDE - 1 :: -1] if SIDE else ctx[:, :0], ctx[:, SIDE + GRAM :], sizes[:, 0].astype(int), sizes[:, 1].astype(int), doc)
+            out.append(pa.Table.from_batches([_batch(list(_windows(q, doc, th, pos, mask)))]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -453,9 +549,9 @@ def _cut_texts(texts: pa.Table, found: pa.Table) -> pa.Table:
     by = _Places(found, (PLACES, WINDOWS))
     bits = np.arange(SIDE + 1, dtype=np.uint64)
     ids, size, gone, spans, shas, kept_texts = [], [], [], [], [], []
-    for doc, text in zip(texts["id"].to_pylist(), texts["t"].to_pylist(), strict=True):
-        t = text.encode("utf-8", "surrogatepass")
-        pos, mask = by.get((doc, _hash32(t)))
+    for doc, text in zip(texts["id"].to_pylist(), texts["t"], strict=True):
+        t = text.as_buffer().to_pybytes()
+        pos, mask = by.get((doc, zlib.crc32(t)))
         if len(pos) and pos[-1] == WHOLE:  # places rise
             runs = np.array([[0, len(t)]])
         else:
@@ -472,17 +568,6 @@ def _cut_texts(texts: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(kept_texts, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"])
 
 
-def _released(make: Callable[[], DataFrame]) -> DataFrame:
-    """What ``make`` plans, written; then nothing refers to its exchanges, and a collection lets Spark remove their files."""
-    out = cut(make())
-    for _ in range(2):  # Python lets go of the plan, the JVM finds it free, and Spark's cleaner takes the files
-        gc.collect()
-        time.sleep(0.5)
-        out.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-    return out
-
-
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry_bytes: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept_bytes``, what is left, if asked for).
 
@@ -492,22 +577,24 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     an empty table gives no rows.
     """
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(int(LAST))).alias("id"), text_of(docs, text_col).alias("t"))
+    spark = docs.sparkSession
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     p, q = 1 + total // ANCHOR_BYTES, 1 + total // TEXT_BYTES
 
     def places() -> DataFrame:
         return rows.mapInArrow(_anchor_rows(p, q), _BLOB).groupBy("route").applyInArrow(_shared_places(p, q), _BLOB)
 
-    shared = _released(places)
+    shared = cut(places())
+    hot = spark.sparkContext.broadcast(hot_bits(shared))
+    shared = shared.where(f"kind <> {BITS}")
+    route = F.pmod(F.xxhash64("id").bitwiseXOR(F.crc32(F.col("t").cast("binary"))), F.lit(q)).cast("int")
 
     def keyed() -> DataFrame:
-        return rows.withColumn("route", F.pmod(F.xxhash64("id"), F.lit(q)).cast("int")).groupBy("route")
-
-    def windows() -> DataFrame:
-        sent = keyed().cogroup(shared.groupBy("route")).applyInArrow(_context_rows(p, q), _BLOB)
-        return sent.groupBy("route").applyInArrow(_found_windows(p, q), _BLOB)
+        return rows.withColumn("route", route).groupBy("route")
 
-    found = _released(windows)
+    sent = keyed().cogroup(shared.groupBy("route")).applyInArrow(_context_rows(p, q, hot), _BLOB)
+    found = cut(sent.groupBy("route").applyInArrow(_found_windows(q), _BLOB))
+    hot.destroy()
     whole = shared.unionByName(found)
     out = keyed().cogroup(whole.groupBy("route")).applyInArrow(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     named = F.when(F.col("id") != int(LAST), F.col("id")).alias(id_col)

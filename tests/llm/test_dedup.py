@@ -161,6 +161,29 @@ def test_blind_trie():
 
 
 def test_bucket_is_sparks(spark):
-    ids = [0, 1, -5, 10**12, 2**63 - 1]
-    there = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(F.pmod(F.xxhash64("id"), F.lit(17))).collect()]
-    assert suffixdedup.bucket_of(np.array(ids, dtype=np.int64), 17).tolist() == there
+    import zlib
+
+    rows = [(i, t) for i in (0, 1, -5, 10**12, 2**63 - 1) for t in ("", "é text", "x" * 1000)]
+    there = [r[0] for r in spark.createDataFrame(rows, "id long, t string").select(F.pmod(F.xxhash64("id").bitwiseXOR(F.crc32(F.col("t").cast("binary"))), F.lit(17))).collect()]
+    checks = np.array([zlib.crc32(t.encode()) for _, t in rows], dtype=np.uint32)
+    assert suffixdedup.bucket_of(np.array([i for i, _ in rows], dtype=np.int64), checks, 17).tolist() == there
+    data = np.random.default_rng(2).integers(0, 256, 400).astype(np.uint8)
+    hashes, at = suffixdedup.anchors(data, np.array([0, 400]))
+    assert len(at) and suffixdedup.gram_hash(np.stack([data[i : i + suffixdedup.GRAM] for i in at])).tolist() == hashes.tolist()
+
+
+@pytest.mark.parametrize("hot", [1, 3, 10**9])
+def test_repeats_of_hot_anchors(spark, monkeypatch, hot):
+    """A passage at other places, between other words, in most documents; many null ids and one id for many texts. Whether anchors count as hot changes nothing."""
+    monkeypatch.setattr(suffixdedup, "ANCHOR_BYTES", 4096)
+    monkeypatch.setattr(suffixdedup, "TEXT_BYTES", 4096)
+    monkeypatch.setattr(suffixdedup, "HELD", 300)
+    monkeypatch.setattr(suffixdedup, "HOT", hot)
+    r = random.Random(1)
+    passage = "a passage that stands in most of the documents, word by word, since it is a notice."
+    some = lambda: " ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(12)))
+    docs = [(i, f"{some()} {passage} {some()}") for i in range(150)] + [(7, f"{some()} {passage}") for _ in range(40)]
+    assert sorted(tuple(x) for x in suffixdedup.repeated_passages(frame(spark, docs)).collect()) == repeats(docs)
+    nulls = docs + [(None, f"{some()} {passage} {some()}") for _ in range(120)]
+    got = sorted(tuple(x)[1:] for x in suffixdedup.repeated_passages(frame(spark, nulls)).collect())
+    assert got == sorted(x[1:] for x in repeats([(10**9 if i is None else i, t) for i, t in nulls]))
