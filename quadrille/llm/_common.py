@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Java pattern of the ASCII white space that separates words.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
+#: Partitions of an exchange that a thin table's file takes.
+THIN = 16
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -35,13 +37,16 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut(df: DataFrame, *, files: int | None = None) -> DataFrame:
+def cut(df: DataFrame, *, files: int | None = None, thin: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
     This cuts the lineage, survives lost executors (the table isn't on any executor's disk) and forgets the
     partitioning, so that a later join gets its own exchange, which adaptive execution can split when a key is hot.
+    A ``thin`` table has a few numbers for a document at most: it gets one file for THIN partitions of an exchange.
     """
     spark = df.sparkSession
+    if thin:
+        files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // THIN)
     path = f"{shared_dir(spark)}/quadrille-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the written table replaces the exchanges: Spark removes their files when it is done

@@ -14,15 +14,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round every id takes the smallest label among its own and its neighbours', passes it to the id that was its
     label, and then takes its label's label; chains shrink by half or more a round. Tables are written between rounds.
     """
-    both = cut(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("l")).select("u", F.least("u", "l").alias("l")))
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = cut(both.distinct(), thin=True)
+    labels = both.groupBy("u").agg(F.min("v").alias("l")).select("u", F.least("u", "l").alias("l"))
     while True:
+        labels = cut(labels, thin=True)
         near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
         own = labels.join(near, "u").select("u", "l", F.least("l", "m").alias("m"))
         told = own.select(F.col("l").alias("u"), "m").unionByName(own.select("u", "m")).groupBy("u").agg(F.min("m").alias("m"))
-        told = cut(labels.join(told, "u").select("u", "l", F.least("l", "m").alias("m")))
+        told = cut(labels.join(told, "u").select("u", "l", F.least("l", "m").alias("m")), thin=True)
+        if told.where("l <> m").isEmpty():
+            return labels.select(F.col("u").alias("id"), F.col("l").alias("component"))
         parent = told.select(F.col("u").alias("m"), F.col("m").alias("top"))
-        new = cut(told.join(parent, "m").select("u", F.col("top").alias("l"), (F.col("top") != F.col("l")).alias("moved")))
-        if new.where("moved").isEmpty():
-            return new.select(F.col("u").alias("id"), F.col("l").alias("component"))
-        labels = new.select("u", "l")
+        labels = told.join(parent, "m").select("u", F.col("top").alias("l"))

@@ -2,17 +2,20 @@
 
 1. Every text becomes its set of shingles (64-bit hashes), a signature and band keys. Texts with equal sets form one
    class, represented by its smallest id.
-2. Representatives that share a band key are candidates. In each bucket all members are first paired with the bucket's
+2. Representatives that share a band key are candidates. In each bucket all members are paired with the bucket's
    smallest id only: a bucket of copies of one text gives as many pairs as members.
 3. Candidates are compared by batches of their signatures. With a uniform prior the posterior probability that the
    similarity reaches the threshold, after m of n equal, is P(Binomial(n + 1, threshold) <= m); a pair whose posterior
    falls below ``miss`` is dropped, the others are confirmed on their full sets.
-4. Buckets whose members aren't yet in one component are taken further: every member outside the bucket's largest
-   component is compared with LEADERS members of that component, which links nearly all that can be linked. What is
-   still apart is compared within clusters of overlapping buckets, block by block and in memory: every pair of different
-   components that shares a band key meets in one group, and only links leave it.
-
-A pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: 1.3e-7 at 0.8.
+4. Buckets whose members aren't yet in one component are open. Two sets of an open bucket that are similar enough must
+   share one of the first n - ceil(threshold n) + 1 shingles of each, rare ones first. So the open sets meet once more
+   over such shingles, in groups that are small unless the sets hold little but shingles of many sets. With m shingles
+   from the shared one on, two sets can have at most min(m) in common: that bound goes before any comparison. Each group
+   first compares its smallest set with the others; what is still apart and within the bound is compared block by block,
+   in memory, and only links leave.
+
+A pair at the threshold t shares no band with probability (1 - t^rows)^bands, at most LOST: rows and bands follow from t.
+Sets are told apart by 64-bit hashes of their shingles: k shingles of a pair hide a difference with k^2 / 2^65 at most.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from . import _bytes
 from ._common import cut, slices, text_of
 from .components import components
 
-BANDS, ROWS = 40, 5
-#: Members of a bucket's largest component that the others are compared with before all of them.
-LEADERS = 8
-#: Ids in a block of a cluster.
+#: The probability with which a pair at the threshold may share no band, and the hashes that bands may take.
+LOST, HASHES = 1.5e-7, 256
+#: Ids in a block of a group that is compared in memory.
 BLOCK = 1024
-HASHES = BANDS * ROWS
+#: Counters for the frequencies of shingles, by hash: they only order shingles, so collisions do no harm.
+COUNTERS = 1 << 18
 #: Signature bytes compared in one step; the posterior below which a pair is dropped.
 BATCH, MISS = 40, 1e-7
 #: Bits of the filter through which the texts of candidates are fetched: of fixed size whatever the number of ids.
@@ -63,9 +66,19 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield hashes[:0]
 
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
+def banding(threshold: float, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, rows): the most rows whose bands lose a pair at the threshold with LOST at most."""
+    best = (0, 0)
+    for rows in range(1, 33):
+        bands = math.ceil(math.log(LOST) / math.log1p(-min(threshold, 0.999999) ** rows))
+        if bands * rows <= hashes or rows == 1:
+            best = (bands, rows)
+    return best
+
+
+def _seeds(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(11)
-    return tuple(r.integers(0, 1 << 31, HASHES, dtype=np.uint32)[None, :] * np.uint32(2) + np.uint32(1) for _ in range(2))
+    return tuple(r.integers(0, 1 << 31, hashes, dtype=np.uint32)[None, :] * np.uint32(2) + np.uint32(1) for _ in range(2))
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,19 +93,19 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _bytes.mix(key * _SINGLE + rows[:, k])
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    of = sig.reshape(bands, rows).astype(np.uint64)
+    key = np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
+        key = _bytes.mix(key * _SINGLE + of[:, k])
     return key.view(np.int64)
 
 
-def least_equal(threshold: float, miss: float = MISS) -> list[tuple[int, int]]:
+def least_equal(threshold: float, hashes: int, miss: float = MISS) -> list[tuple[int, int]]:
     """(n, fewest equal of n that keep a pair) after each batch, for signatures of one byte each."""
     p = threshold + (1 - threshold) / 256
     out = []
-    for n in range(BATCH, HASHES + 1, BATCH):
+    for n in [*range(BATCH, hashes, BATCH), hashes]:
         total, m = 0.0, 0
         while (total := total + math.comb(n + 1, m) * p**m * (1 - p) ** (n + 1 - m)) < miss:
             m += 1
@@ -106,11 +119,13 @@ def _survive(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(ends.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
     both = both.join(ends.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")  # else their sets can't be that similar
-    limits = least_equal(percent / 100)
+    bands, rows = banding(percent / 100)
+    width = bands * rows
+    limits = least_equal(percent / 100, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in (2, 3))
+        for batch in (part for whole in batches for part in slices(whole, 2000)):
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, width) for c in (2, 3))
             alive, equal, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int32), 0
             for n, least in limits:
                 equal += (left[alive, done:n] == right[alive, done:n]).sum(axis=1)
@@ -121,13 +136,18 @@ def _survive(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}")
 
 
-def _sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """id, s: the shingle sets (as bytes) of at least the given ids, a written table; texts: (id, t)."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    table = ids.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)  # at most FILTER_BITS / 64 rows came
+def _bits(values: DataFrame) -> np.ndarray:
+    """A filter of fixed size with the bits of a column of longs: at most FILTER_BITS / 64 rows come to the driver."""
+    bit = F.pmod(F.xxhash64(values[0]), F.lit(FILTER_BITS))
+    table = values.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     bits[table["w"].to_numpy()] = table["v"].to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def _sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """id, s: the shingle sets (as bytes) of at least the given ids, a written table with one column; texts: (id, t)."""
+    shared = texts.sparkSession.sparkContext.broadcast(_bits(ids))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
@@ -138,46 +158,114 @@ def _sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(batch.column(1), width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, type=pa.binary())], ["id", "s"])
 
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     return texts.select("id", "t", bit.alias("bit")).mapInArrow(fetch, f"id {texts.schema['id'].dataType.simpleString()}, s binary")
 
 
-def _within_clusters(open_: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among the rows (key, id, c), a written table: of all pairs of different components c that share a band key.
+def _open(members: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame | None:
+    """id, c: the representatives in buckets that hold several components (and, by the filter, maybe some more); None if there are none. members: (key, id)."""
+    placed = members.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"))
+    keys = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")  # a hot bucket is combined before it is sent
+    bits = _bits(keys)
+    if not bits.any():
+        return None
+    shared = reps.sparkSession.sparkContext.broadcast(bits)
+    numbers = F.transform("bands", lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS)))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = shared.value
+        for batch in batches:
+            at = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield batch.select([0]).filter(pa.array((((have[at >> 6] >> (at & 63)) & 1) == 1).any(axis=1)))
+
+    ids = reps.select("id", numbers.alias("b")).mapInArrow(keep, f"id {reps.schema['id'].dataType.simpleString()}")
+    return cut(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("c")), thin=True)
+
+
+def prefix_length(n: int, percent: int) -> int:
+    """How many of a set's n shingles, in any order that is the same for all sets, it must share with a set that is similar enough."""
+    return n + (-percent * n) // 100 + 1
+
+
+def _prefixes(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """g, id, n, m: each open set's first shingles, rare ones first, with its size and how many shingles there are from this one on. sets: a written table."""
+
+    def slot(s: np.ndarray) -> np.ndarray:
+        return (_bytes.mix(s) % np.uint64(COUNTERS)).astype(np.int64)
 
-    Ids that are connected over keys form a cluster; a cluster is dealt into blocks of about BLOCK ids, and each pair of
-    blocks is one group, in which pairs are compared in memory: only links come out, and a group holds two blocks at most.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in (part for whole in batches for part in slices(whole)):
+            total += np.bincount(slot(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint64)), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["w", "n"])
+
+    table = sets.select("s").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    often = np.zeros(COUNTERS, dtype=np.int64)
+    often[table["w"].to_numpy()] = table["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = shared.value
+        for batch in (part for whole in batches for part in slices(whole)):
+            shingles, owner, size, rest = [], [], [], []
+            for i, s in enumerate(batch.column(1)):
+                s = np.frombuffer(s.as_buffer(), dtype=np.uint64)
+                p = prefix_length(len(s), percent)
+                shingles.append(s[np.lexsort((s, have[slot(s)]))[:p]].view(np.int64))
+                owner.append(np.full(p, i)), size.append(np.full(p, len(s))), rest.append(len(s) - np.arange(p))
+            if owner:
+                owner, size, rest, shingles = (np.concatenate(x) for x in (owner, size, rest, shingles))
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), batch.column(0).take(pa.array(owner)), pa.array(size), pa.array(rest)], ["g", "id", "n", "m"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.join(open_.select("id"), "id", "left_semi").select("id", "s").mapInArrow(first, f"g long, id {kind}, n long, m long")
+
+
+def _apart(rows: DataFrame, percent: int) -> DataFrame:
+    """Of rows (g, id, n, m, c), those that may still be linked over g with a set of another component, with ``first``, the group's smallest set."""
+    small = F.struct("n", "id", "c", "m")
+    groups = rows.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min(small).alias("first")).where("a < b").select("g", "first")
+    rows = rows.join(groups, "g")
+    second = rows.where("c <> first.c").groupBy("g").agg(F.min("n").alias("second"))
+    rows = rows.join(second, "g")
+    other = F.when(F.col("c") == F.col("first.c"), F.col("second")).otherwise(F.col("first.n"))
+    return rows.where((100 + percent) * F.col("m") >= percent * (F.col("n") + other)).select("g", "id", "n", "m", "c", "first")
+
+
+def _within_groups(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of all pairs of rows (g, id, n, m, c), a written table, of one group and different components.
+
+    A group is dealt into blocks of about BLOCK ids, and each pair of blocks is compared in memory: only links come out,
+    and a task holds two blocks at most.
     """
-    kind = texts.schema["id"].dataType.simpleString()
-    first = open_.groupBy("key").agg(F.min("id").alias("a"))
-    clusters = components(open_.join(first, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()).withColumnRenamed("component", "cluster")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = clusters.join(cut(blocks), "cluster").join(open_.select("id", "c").distinct(), "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    ids = cut(placed)
-    whole = ids.join(reps, "id").join(_sets(ids.select("id"), texts, width), "id")
-    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "c", "n", "bands", "sig", "s")
-    limits = least_equal(percent / 100)
+    kind = reps.schema["id"].dataType.simpleString()
+    blocks = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    whole = placed.join(reps.select("id", "sig"), "id").join(sets, "id")
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "c", "n", "m", "sig", "s")
+    bands, rows_ = banding(percent / 100)
+    limits = least_equal(percent / 100, bands * rows_)
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        m = table.num_rows
-        own, n, ids = (table[k].to_numpy() for k in ("own", "n", "id"))
-        bands = table["bands"].chunk(0).flatten().to_numpy().reshape(m, BANDS) if m else np.zeros((0, BANDS))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint8).reshape(m, HASHES)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in table["s"].to_pylist()]
+        table = table.combine_chunks().sort_by([("n", "ascending"), ("id", "ascending")]).combine_chunks()
+        count = table.num_rows
+        own, n, m, ids = (table[k].to_numpy() for k in ("own", "n", "m", "id"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint8).reshape(count, -1)
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["s"]]
         _, part = np.unique(table["c"].to_numpy(), return_inverse=True)
-        same_block = table["x"][0].as_py() == table["y"][0].as_py() if m else True
+        same_block = not count or table["x"][0].as_py() == table["y"][0].as_py()
         a, b = [], []
-        for i in range(m):
-            near = (part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        for i in range(count):
+            near = (part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & ((100 + percent) * np.minimum(m, m[i]) >= percent * (n + n[i]))
             near[: i + 1] = False
             if not same_block:  # pairs within a block are met where it is paired with itself
                 near &= own != own[i]
             at = np.flatnonzero(near)
-            at = at[(bands[at] == bands[i]).any(axis=1)]
             equal, done = np.zeros(len(at), dtype=np.int32), 0
-            for count, least in limits:
-                equal = equal + (sig[at, done:count] == sig[i, done:count]).sum(axis=1)
-                at, equal, done = at[equal >= least], equal[equal >= least], count
+            for size, least in limits:
+                equal = equal + (sig[at, done:size] == sig[i, done:size]).sum(axis=1)
+                at, equal, done = at[equal >= least], equal[equal >= least], size
             for j in at[np.argsort(-equal, kind="stable")].tolist():  # the likeliest first: what becomes connected needs no more
                 if part[j] == part[i]:
                     continue
@@ -188,17 +276,16 @@ def _within_clusters(open_: DataFrame, reps: DataFrame, texts: DataFrame, width:
                     part[part == part[j]] = part[i]
         return pa.table([pa.array(a, table.schema.field("id").type), pa.array(b, table.schema.field("id").type)], ["a", "b"])
 
-    return dealt.groupBy("cluster", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
+    return dealt.groupBy("g", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b), a written table, whose full sets are similar enough. texts: (id, t)."""
-    kind = texts.schema["id"].dataType.simpleString()
-    sets = _sets(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), texts, width)
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b), a written table, whose full sets are similar enough. sets: (id, s) of their ids at least."""
+    kind = pairs.schema["a"].dataType.simpleString()
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
@@ -210,11 +297,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
-def _apart(placed: DataFrame) -> DataFrame:
-    """The rows (key, id, c), a written table, whose key has several components, with ``most``, the one with most rows; a written table."""
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    return cut(placed.join(cut(keys), "key"))
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, component) after more links between some of them."""
+    ends = links
+    for c in "ab":
+        ends = ends.join(found.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    ends = cut(ends.select("a", "b", "ca", "cb"), thin=True)
+    tops = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    alone = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(found, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return cut(found.unionByName(alone).join(tops, "component", "left").select("id", F.coalesce("top", "component").alias("component")), thin=True)
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,9 +318,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     """
     texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("t"))
     kind = texts.schema["id"].dataType.simpleString()
+    n_bands, n_rows = banding(percent / 100)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _seeds()
+        a, b = _seeds(n_bands * n_rows)
         for batch in (part for whole in batches for part in slices(whole, 2000)):
             n, cls, keys, sigs = [], [], [], []
             known: dict[bytes, tuple] = {}
@@ -241,7 +333,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if digest not in known:  # copies come often
                     sig = signature(s, a, b)
-                    known[digest] = (band_keys(sig), (sig & np.uint32(255)).astype(np.uint8).tobytes())
+                    known[digest] = (band_keys(sig, n_bands, n_rows), (sig & np.uint32(255)).astype(np.uint8).tobytes())
                 cls.append(digest), keys.append(known[digest][0]), sigs.append(known[digest][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(cls, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64())), pa.array(sigs, type=pa.binary())], ["id", "n", "cls", "bands", "sig"])
 
@@ -255,26 +347,32 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     buckets = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("size")).where("size > 1")
     members = cut(members.join(buckets, "key"))
     stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(_confirmed(cut(_survive(stars, reps, percent)), texts, width, percent))
-    found = components(links)
-
-    # buckets that are not yet one component: members outside the largest one meet some of its members; those still apart
-    # are compared within clusters
-    buckets = members.where("size > 2").select("key", "id")
-    for leaders in (LEADERS, 0):
-        open_ = _apart(cut(buckets.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))))
-        if open_.isEmpty():
-            break
-        if leaders:
-            minor = open_.where("c <> most").select("key", F.col("id").alias("a"))
-            some = open_.where("c = most").groupBy("key").agg(F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(leaders)))).alias("b"))
-            more = minor.join(some.select("key", F.explode("b").alias("b")), "key").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            new = cut(_confirmed(cut(_survive(more, reps, percent)), texts, width, percent))
-        else:
-            new = cut(_within_clusters(open_, reps, texts, width, percent))
-        if not new.isEmpty():
-            links = cut(links.unionByName(new))
-            found = components(links)
+    pairs = cut(_survive(stars, reps, percent), thin=True)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    found = components(cut(_confirmed(pairs, _sets(ends, texts, width), percent), thin=True))
+
+    # sets of buckets that aren't one component yet meet over their rare shingles
+    open_ = _open(members.where("size > 2").select("key", "id"), reps, found)
+    if open_ is not None:
+        sets = cut(_sets(open_.select("id"), texts, width).join(open_.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+        prefixes = _prefixes(open_, sets, percent).join(open_, "id")
+        shared = prefixes.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("g")
+        prefixes = cut(prefixes.join(shared, "g", "left_semi"), thin=True)
+        for last in (False, True):
+            if last:
+                prefixes = cut(prefixes.drop("c").join(found.select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id")), thin=True)
+            rows = cut(_apart(prefixes, percent), thin=True)
+            if rows.isEmpty():
+                break
+            if last:
+                new = _within_groups(rows, reps, sets, percent).distinct()
+            else:  # each group's smallest set with the others
+                bound = (100 + percent) * F.least("m", "first.m") >= percent * (F.col("n") + F.col("first.n"))
+                more = rows.where((F.col("c") != F.col("first.c")) & bound).select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")).distinct()
+                new = _confirmed(cut(_survive(more, reps, percent), thin=True), sets, percent)
+            new = cut(new, thin=True)
+            if not new.isEmpty():
+                found = _joined(found, new)
 
     out = sketches.select("id", "n", "cls").join(classes, "cls", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "id")

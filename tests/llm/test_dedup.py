@@ -88,10 +88,40 @@ def test_near_group_beyond_its_leader(spark):
 
 def test_near_blocks_of_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 7)
-    monkeypatch.setattr(minhash, "LEADERS", 1)
+    monkeypatch.setattr(minhash, "COUNTERS", 64)  # frequencies that tell little
     test_near_group_beyond_its_leader(spark)
 
 
+def test_near_texts_around_a_passage(spark, monkeypatch):
+    """Texts that are mostly one passage, at similarities just below and above the threshold, with rests that sometimes overlap."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(80)]
+    docs = []
+    for i in range(160):
+        rest = [f"r{r.randrange(6)}_{k}" if r.random() < 0.3 else f"x{i}_{k}" for k in range(r.choice([2, 8, 12, 16, 20]))]
+        w = list(passage)
+        for k in r.sample(range(80), r.choice([0, 0, 1, 3])):
+            w[k] = f"y{i}_{k}"
+        docs.append((i, " ".join(w + rest)))
+    expected = near(docs, 1)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame(spark, docs), width=1).collect()}
+    assert got == {i: c for i, (_, c) in expected.items()} and 3 < len(set(got.values())) < 150
+
+
+@pytest.mark.parametrize("percent", [50, 60, 75, 80, 90, 100])
+def test_prefixes_and_bands(percent):
+    bands, rows = minhash.banding(percent / 100)
+    assert (1 - min(percent / 100, 0.999999) ** rows) ** bands <= minhash.LOST and (percent != 80 or (bands, rows) == (40, 5))
+    r = random.Random(percent)
+    for _ in range(3000):  # similar sets share a shingle of their prefixes, in any order
+        base = set(r.sample(range(60), r.randrange(1, 30)))
+        other = {x for x in base if r.random() < 0.9} | set(r.sample(range(60), r.randrange(3)))
+        if other and 100 * len(base & other) >= percent * len(base | other):
+            firsts = [set(sorted(x)[: minhash.prefix_length(len(x), percent)]) for x in (base, other)]
+            assert firsts[0] & firsts[1]
+
+
 def test_near_odd_rows(odd, none):
     rows = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd, width=2).collect()}
     assert rows[None, 0] == (None, True) and rows[1, 0] == (1, True) and rows[3, 0] == (3, True) and rows[4, 1] == (4, True) and rows[5, 1] == (4, False) and rows[7, 2] == (7, True)
@@ -109,9 +139,8 @@ def test_shingle_sets():
 
 
 def test_sequential_limits():
-    limits = minhash.least_equal(0.8)
+    limits = minhash.least_equal(0.8, 200)
     assert [n for n, _ in limits] == [40, 80, 120, 160, 200] and all(0 < m < 0.8 * n for n, m in limits)
-    assert 1 - (1 - 0.8**minhash.ROWS) ** minhash.BANDS > 1 - 1e-6
 
 
 def test_components(spark):
