@@ -162,23 +162,23 @@ def _sets(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return texts.select("id", "t", bit.alias("bit")).mapInArrow(fetch, f"id {texts.schema['id'].dataType.simpleString()}, s binary")
 
 
-def _open(members: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame | None:
-    """id, c: the representatives in buckets that hold several components (and, by the filter, maybe some more); None if there are none. members: (key, id)."""
+def _open(members: DataFrame, found: DataFrame) -> DataFrame | None:
+    """id, c: the ids in buckets that hold several components (and, by the filter, maybe a few more); None if there are none. members: (key, id), a written table."""
     placed = members.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("c"))
     keys = placed.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("key")  # a hot bucket is combined before it is sent
     bits = _bits(keys)
     if not bits.any():
         return None
-    shared = reps.sparkSession.sparkContext.broadcast(bits)
-    numbers = F.transform("bands", lambda k: F.pmod(F.xxhash64(k), F.lit(FILTER_BITS)))
+    shared = members.sparkSession.sparkContext.broadcast(bits)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
         for batch in batches:
-            at = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            yield batch.select([0]).filter(pa.array((((have[at >> 6] >> (at & 63)) & 1) == 1).any(axis=1)))
+            at = batch.column(1).to_numpy()
+            yield batch.select([0]).filter(pa.array((have[at >> 6] >> (at & 63)) & 1 == 1))
 
-    ids = reps.select("id", numbers.alias("b")).mapInArrow(keep, f"id {reps.schema['id'].dataType.simpleString()}")
+    numbered = members.select("id", F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)).alias("bit"))
+    ids = numbered.mapInArrow(keep, f"id {members.schema['id'].dataType.simpleString()}").distinct()
     return cut(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("c")), thin=True)
 
 
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     found = components(cut(_confirmed(pairs, _sets(ends, texts, width), percent), thin=True))
 
     # sets of buckets that aren't one component yet meet over their rare shingles
-    open_ = _open(members.where("size > 2").select("key", "id"), reps, found)
+    open_ = _open(members.where("size > 2").select("key", "id"), found)
     if open_ is not None:
         sets = cut(_sets(open_.select("id"), texts, width).join(open_.select("id"), "id", "left_semi").dropDuplicates(["id"]))
         prefixes = _prefixes(open_, sets, percent).join(open_, "id")
