@@ -7,6 +7,8 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from .service import describe, http
+from .service.config import load_config
 from .service.engine import Engine
 from .sinks import results
 from .sources import ntriples
@@ -30,7 +32,14 @@ def main(argv: list[str] | None = None) -> int:
             q.add_argument("--limit", type=int, help="rows in all")
             q.add_argument("--page", type=int, default=2000, help="rows in a page")
     for name, what in (("describe", "the graph's VoID description"), ("index", "compute statistics and compact")):
-        sub.add_parser(name, help=what).add_argument("graph")
+        g = sub.add_parser(name, help=what)
+        g.add_argument("graph")
+        if name == "describe":
+            g.add_argument("--format", default="nt", choices=["nt", "turtle", "xml", "json-ld"])
+    serve = sub.add_parser("serve", help="answer over HTTP until interrupted")
+    serve.add_argument("--host", default="127.0.0.1")
+    serve.add_argument("--port", type=int, default=8000)
+    serve.add_argument("--config", help="a YAML file that describes the dataset")
     a = p.parse_args(argv)
     engine = Engine(SparkSession.builder.getOrCreate(), a.store)
     if a.command == "load":
@@ -40,7 +49,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "index":
         engine.store.create(a.graph).compact().analyze()
     elif a.command == "describe":
-        sys.stdout.writelines(results.ntriples(engine.describe(a.graph)))
+        sys.stdout.write(describe.written(engine.describe(a.graph), a.format)[0])
+    elif a.command == "serve":
+        http.server(load_config(engine.spark, a.config, a.store) if a.config else engine, a.host, a.port).serve_forever()
     else:
         text = open(a.file).read() if a.file else sys.stdin.read() if a.text in (None, "-") else a.text
         if a.command == "update":

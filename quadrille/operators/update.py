@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,16 +60,12 @@ class UpdateExecutor:
 
     def commit(self, snapshot: Snapshot, delete: DataFrame | None, insert: DataFrame | None) -> dict[str, int]:
         """New versions (uri -> version) of the stored graphs that the quads name: deletions first, then insertions."""
-        done: dict[str, int] = {}
         frames = [x for x in (delete, insert) if x is not None]
         if not frames:
-            return done
-        named = {r["g"] for r in functools.reduce(DataFrame.unionByName, [f.select("g") for f in frames]).distinct().where(F.col("g").isin(self.store.stored())).collect()}
-        for uri, graph in self._graphs(snapshot).items():
-            if uri in named:
-                parts = [None if f is None else f.where(F.col("g") == uri) for f in (delete, insert)]
-                done[uri] = graph.apply(*parts).version
-        return done
+            return {}
+        graphs = self._graphs(snapshot)
+        named = {r["g"] for r in functools.reduce(DataFrame.unionByName, [f.select("g") for f in frames]).distinct().where(F.col("g").isin(list(graphs))).collect()}
+        return self.store.apply_all({graphs[uri]: tuple(None if f is None else f.where(F.col("g") == uri) for f in (delete, insert)) for uri in sorted(named)})
 
     def if_exists(self, snapshot: Snapshot, quads: DataFrame) -> None:
         """Nothing if all quads are there, else DeleteInsertConflict."""
@@ -88,10 +85,21 @@ class UpdateExecutor:
         if isinstance(update, DeleteData):
             return self.commit(snapshot, as_frame(spark, update.quads, default), None)
         if isinstance(update, Modify):
-            # all mappings come from the old snapshot, whatever is written
+            # all mappings come from the old snapshot, whatever is written; they are computed and written once, so that
+            # RAND(), UUID() and NOW() give deletions, insertions and all graphs the same values
             planner = Planner(snapshot, update.default or (default,), update.named or None)
             mappings = planner.plan(update.where).df
-            delete = apply_templates(mappings, update.delete, default) if update.delete else None
-            insert = apply_templates(mappings, update.insert, default) if update.insert else None
-            return self.commit(snapshot, delete, insert)
+            used = {x[1:] for quad in (*update.delete, *update.insert) for x in quad if x is not None and x.startswith("?")}
+            kept = [c for c in mappings.columns if c in used]
+            where = f"{self.store.root}/mappings/{uuid.uuid4().hex}"
+            # numbered names, as a variable's may differ from another's by case only
+            mappings.select(*(F.col(c).alias(f"v{i}") for i, c in enumerate(kept)), F.lit(1).alias("one")).write.parquet(where)
+            try:
+                written = spark.read.parquet(where)
+                written = written.select(*(F.col(f"v{i}").alias(c) for i, c in enumerate(kept))) if kept else written.select("one")
+                delete = apply_templates(written, update.delete, default) if update.delete else None
+                insert = apply_templates(written, update.insert, default) if update.insert else None
+                return self.commit(snapshot, delete, insert)
+            finally:
+                self.store.files.delete(where)
         raise UnsupportedSPARQL(type(update).__name__)

@@ -1,13 +1,14 @@
 """From algebra to DataFrames: pattern order, joins, unions, filters and projection.
 
-Columns are variables; a null is unbound. Joins are equi-joins over variables that both sides always bind. Variables
-that only some rows bind come from unions; a join over one is taken into the union's branches, where it is an equi-join
-or none, and only very wide unions are joined by compatibility (null or equal).
+Columns are variables; a null is unbound. Joins are equi-joins. Where a shared variable is bound in some rows only (of
+a union), both sides are split by which of these variables a row binds, and each pair of parts has an equi-join over what
+both bind; the optimizer drops the branches of a union that can't be in a part.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,6 @@ from ..errors import UnsupportedSPARQL
 from ..functions.expressions import condition, uses
 from .algebra import BGP, Call, Filter, Graph, Join, Pattern, Query, Union, variables_of, visible
 
-#: A union is distributed over a join up to so many branches.
-MOST_BRANCHES = 16
 #: A conjunction with so many uses of variables is split into filters.
 MOST_SPLIT = 6
 
@@ -91,13 +90,21 @@ class Planner:
             return Rows(left.df.crossJoin(right.df), left.always | right.always)
         if len(sure) == len(shared):
             return Rows(left.df.join(right.df, shared), left.always | right.always)
-        r = right.df.select(*(F.col(c).alias(f"{c}?") if c in shared else F.col(c) for c in right.df.columns))
-        on = F.lit(True)
-        for c in shared:
-            same = F.col(c) == F.col(f"{c}?")
-            on = on & (same if c in sure else F.col(c).isNull() | F.col(f"{c}?").isNull() | same)
-        df = left.df.join(r, on).select(*(F.coalesce(c, f"{c}?").alias(c) if c in shared else F.col(c) for c in left.df.columns), *(c for c in right.df.columns if c not in shared))
-        return Rows(df, left.always | right.always)
+        parts = []
+        for mask in itertools.product(*([True] if c in left.always else [True, False] for c in shared)):
+            for other in itertools.product(*([True] if c in right.always else [True, False] for c in shared)):
+                l, r = left.df, right.df  # rows that bind just these of the shared variables
+                for c, here, there in zip(shared, mask, other, strict=True):
+                    l = l.where(F.col(c).isNotNull() if here else F.col(c).isNull()) if c not in left.always else l
+                    r = r.where(F.col(c).isNotNull() if there else F.col(c).isNull()) if c not in right.always else r
+                keys = [c for c, here, there in zip(shared, mask, other, strict=True) if here and there]
+                l = l.drop(*(c for c, here, there in zip(shared, mask, other, strict=True) if there and not here))
+                r = r.drop(*(c for c, there in zip(shared, other, strict=True) if not there))
+                r = r.select(*(c for c in r.columns if c in keys or c not in l.columns))
+                parts.append(l.join(r, keys) if keys else l.crossJoin(r))
+        columns = list(dict.fromkeys([*left.df.columns, *right.df.columns]))
+        whole = functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        return Rows(whole.select(*columns), left.always | right.always)
 
     def stars(self, patterns: list[tuple[str | None, Pattern]]) -> list[tuple[str | None, tuple[Pattern, ...]]]:
         """Patterns in groups that one scan answers: those with one subject whose predicates a source keeps in one row."""
@@ -128,6 +135,11 @@ class Planner:
     def order(self, patterns: list[tuple[str | None, Pattern]]) -> list[tuple[str | None, tuple[Pattern, ...]]]:
         """Fewest triples first, then always the smallest group that shares a variable with those before."""
         sized = []
+        for g in {g for g, _ in patterns}:
+            uris = self.default if g is None else self.graph_names() if g.startswith("?") else (g,)
+            for source in (self.catalog.source(u) for u in uris):
+                if hasattr(source, "prepare"):  # one look-up for all patterns
+                    source.prepare(None if p.p.startswith("?") else p.p for h, p in patterns if h == g)
         for g, ps in self.stars(patterns):
             numbers = [self.estimate(g, p) for p in ps]
             sized.append((min(numbers), len(sized), g, ps))
@@ -164,9 +176,6 @@ class Planner:
             return None if left is None or right is None else left + right
         return None
 
-    def branches(self, node: object) -> list[object]:
-        return self.branches(node.left) + self.branches(node.right) if isinstance(node, Union) else [node]
-
     def plan(self, node: object, graph: str | None = None) -> Rows:
         patterns = self.flatten(node, graph)
         if patterns is not None:
@@ -182,21 +191,12 @@ class Planner:
             left, right = self.plan(node.left, graph), self.plan(node.right, graph)
             return Rows(left.df.unionByName(right.df, allowMissingColumns=True), left.always & right.always)
         if isinstance(node, Join):
-            left, right = self.branches(node.left), self.branches(node.right)
-            if len(left) * len(right) > 1 and len(left) * len(right) <= MOST_BRANCHES and not self._equal_schemas(left, right, graph):
-                joined = [self.plan(Join(a, b), graph) for a in left for b in right]
-                return functools.reduce(lambda x, y: Rows(x.df.unionByName(y.df, allowMissingColumns=True), x.always & y.always), joined)
             return self.join(self.plan(node.left, graph), self.plan(node.right, graph))
         if isinstance(node, Filter):
             rows = self.plan(node.child, graph)
             return self.filtered(rows, node.condition, graph)
         raise UnsupportedSPARQL(type(node).__name__)
 
-    @staticmethod
-    def _equal_schemas(left: list[object], right: list[object], graph: str | None) -> bool:
-        """Whether all branches of each side bind the same variables, so that no join column can be null."""
-        return all(len({frozenset(variables_of(x)) for x in side}) == 1 for side in (left, right))
-
     def filtered(self, rows: Rows, test: object, graph: str | None) -> Rows:
         """Rows whose condition is true. EXISTS becomes a column that a semi join fills."""
         columns = rows.df.columns

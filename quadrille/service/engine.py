@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,19 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnknownGraph
-from ..functions.terms import RDF, XSD, literal
 from ..operators.update import UpdateExecutor
 from ..plans.planner import Planner
 from ..plans.sparql import is_update, parse_query, parse_update
+from ..sources.files import shared_dir
 from ..sources.store import Snapshot, Store, StoredGraph
 from ..streaming.paging import Page, Pager, ResultCache, TokenStore
-
-VOID = "http://rdfs.org/ns/void#"
-DCT = "http://purl.org/dc/terms/"
-FOAF = "http://xmlns.com/foaf/0.1/"
-SD = "http://www.w3.org/ns/sparql-service-description#"
-HYDRA = "http://www.w3.org/ns/hydra/core#"
-RDFS = "http://www.w3.org/2000/01/rdf-schema#"
+from . import describe
 
 
 @dataclass
@@ -47,7 +40,7 @@ class Engine:
         self.description = self.default_query = self.analytics = None
         self.store = Store(spark, store) if isinstance(store, str) else store
         self.info: dict[str, GraphInfo] = {}
-        where = cache or f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='results-')}/results"
+        where = cache or f"{shared_dir(spark)}/results"
         self.pager = Pager(ResultCache(spark, where), self._pinned, stateless, TokenStore())
 
     # ---- queries
@@ -96,6 +89,11 @@ class Engine:
             if token is None:
                 return
 
+    def page_frames(self, query: str, graph: str, max_results: int) -> Iterator[DataFrame]:
+        """All pages in order, as DataFrames: no row passes through the driver."""
+        self._graph(graph)
+        return self.pager.frames(query, graph, max_results)
+
     # ---- updates
 
     def update(self, update: str, graph: str) -> dict[str, int]:
@@ -117,40 +115,18 @@ class Engine:
         distinct = F.approx_count_distinct if approximate else F.count_distinct
         return self.store.source(uri).scan().agg(F.count("*").alias("triples"), distinct("s").alias("subjects"), distinct("p").alias("predicates"), distinct("o").alias("objects"))
 
+    def _facts(self, uri: str) -> tuple[GraphInfo, dict[str, int]]:
+        return self.info.get(uri, GraphInfo(uri, uri)), self.statistics(uri).first().asDict()
+
     def describe(self, uri: str) -> list[tuple[str, str, str]]:
-        """The graph's VoID description as triples."""
-        n, info = self.statistics(uri).first(), self.info.get(uri, GraphInfo(uri, uri))
-
-        def limit(x: float) -> str:
-            return '"Infinity"' if math.isinf(x) else literal(str(int(x)), XSD + "integer")
-
-        def number(x: int) -> str:
-            return literal(str(x), XSD + "integer")
-
-        out = [
-            (uri, RDF + "type", VOID + "Dataset"), (uri, FOAF + "homepage", uri), (uri, DCT + "title", literal(info.name)), (uri, DCT + "description", literal(info.description)),
-            (uri, VOID + "feature", "http://www.w3.org/ns/formats/SPARQL_Results_JSON"), (uri, VOID + "feature", "http://www.w3.org/ns/formats/SPARQL_Results_XML"),
-            (uri, SD + "endpoint", uri), (uri, HYDRA + "entrypoint", uri), (uri, HYDRA + "itemsPerPage", limit(info.max_results)), (uri, "urn:quadrille:quantum", limit(info.quantum)),
-            (uri, VOID + "triples", number(n["triples"])), (uri, VOID + "distinctSubjects", number(n["subjects"])), (uri, VOID + "properties", number(n["predicates"])), (uri, VOID + "distinctObjects", number(n["objects"])),
-        ]
-        for i, q in enumerate(info.queries):
-            node = f"_:query{i}"
-            out += [(uri, "urn:quadrille:exampleQuery", node), (node, RDFS + "label", literal(q["name"])), (node, RDF + "value", literal(q["value"]))]
-        return out
+        """The graph's VoID description as triples; ``describe.written`` puts them into RDF formats."""
+        return describe.graph_triples(uri, *self._facts(uri))
 
     def describe_all(self, endpoint: str) -> list[tuple[str, str, str]]:
         """The endpoint's service description, with all graphs."""
-        out = [(endpoint, RDF + "type", SD + "Service"), (endpoint, FOAF + "homepage", endpoint), (endpoint, DCT + "title", literal(self.name)), (endpoint, SD + "availableGraphs", "_:graphs"), ("_:graphs", RDF + "type", SD + "GraphCollection")]
-        if self.maintainer:
-            out.append((endpoint, DCT + "maintainer", literal(self.maintainer)))
-        for uri in self.store.names():
-            out += [("_:graphs", SD + "namedGraph", uri), *self.describe(uri)]
-        return out
+        graphs = [(uri, self.info.get(uri, GraphInfo(uri, uri)).name, self.describe(uri)) for uri in self.store.names()]
+        return describe.service_triples(endpoint, self.name, self.maintainer, graphs)
 
     def json_ld(self, uri: str, url: str) -> dict:
-        n, info = self.statistics(uri).first(), self.info.get(uri, GraphInfo(uri, uri))
-        return {
-            "@context": {"schema": "http://schema.org/", "void": VOID}, "@id": uri, "@type": "http://schema.org/Dataset", "schema:url": url, "schema:name": info.name, "schema:description": info.description,
-            "void:triples": n["triples"], "void:distinctSubjects": n["subjects"], "void:properties": n["predicates"], "void:distinctObjects": n["objects"],
-            "timeQuota": "inf" if math.isinf(info.quantum) else info.quantum, "maxResults": "inf" if math.isinf(info.max_results) else info.max_results,
-        }
+        """The graph as a schema.org dataset."""
+        return describe.schema_org(uri, url, *self._facts(uri))

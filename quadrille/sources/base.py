@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "s string, p string, o string"
@@ -60,6 +60,54 @@ class VersionedSource:
     scan, estimate = FrameSource.scan, FrameSource.estimate
 
 
+class MvccGraph:
+    """A graph as a log of timed insertions and deletions, which keeps every state that it ever had.
+
+    Rows (s, p, o, op, t) are only ever appended. A triple is valid from an insertion to the next deletion of the same
+    triple; insertions of what is valid and deletions of what isn't change nothing. At one time, insertions come last.
+    """
+
+    LOG = f"{SCHEMA}, op string, t timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _append(self, triples: DataFrame, op: str, at: object | None) -> None:
+        t = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+        triples.select("s", "p", "o", F.lit(op).alias("op"), t.alias("t")).dropDuplicates(["s", "p", "o"]).write.mode("append").parquet(self.path)
+
+    def insert(self, triples: DataFrame, at: object | None = None) -> None:
+        self._append(triples, "+", at)
+
+    def delete(self, triples: DataFrame, at: object | None = None) -> None:
+        self._append(triples, "-", at)
+
+    def log(self) -> DataFrame:
+        return self.spark.read.schema(self.LOG).parquet(self.path)
+
+    def intervals(self) -> DataFrame:
+        """s, p, o, insert_t, delete_t (null: still valid): one row for each time a triple was valid without a break."""
+        by = Window.partitionBy("s", "p", "o").orderBy("t")
+        # one operation for each triple and time, then only those that change its state
+        ops = self.log().groupBy("s", "p", "o", "t").agg(F.min("op").alias("op"))
+        ops = ops.withColumn("before", F.lag("op", 1, "-").over(by)).where("op <> before")
+        return ops.withColumn("delete_t", F.lead("t").over(by)).where("op = '+'").select("s", "p", "o", F.col("t").alias("insert_t"), "delete_t")
+
+    def as_of(self, at: object) -> FrameSource:
+        """The state at a time: each triple's last operation up to then, found without a window."""
+        return FrameSource(self._state(F.lit(at).cast("timestamp")), distinct=True)
+
+    def _state(self, at: Column, where: Column | None = None) -> DataFrame:
+        rows = self.log() if where is None else self.log().where(where)
+        last = rows.where(F.col("t") <= at).groupBy("s", "p", "o").agg(F.max(F.struct("t", (F.col("op") == "+").alias("in")))["in"].alias("in"))
+        return last.where("in").select("s", "p", "o")
+
+    def scan(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
+        return self._state(F.current_timestamp(), matching(s, p, o))
+
+    estimate = FrameSource.estimate
+
+
 class DictionarySource:
     """Triples of ids with a dictionary (id, value): constants are looked up first, results are decoded by three joins."""
 
@@ -140,4 +188,5 @@ def _jdbc(spark: SparkSession, c: dict) -> TripleSource:
 register("parquet", _parquet, ("path",))
 register("dictionary", _dictionary, ("triples", "dictionary"))
 register("versioned", _versioned, ("path",))
+register("mvcc", lambda spark, c: MvccGraph(spark, c["path"]).as_of(c["as_of"]) if c.get("as_of") else MvccGraph(spark, c["path"]), ("path",))
 register("jdbc", _jdbc, ("url", "table"))

@@ -2,8 +2,10 @@
 
 A graph is a folder. ``commits/N.json`` names version N: its time and the folder of its triples, either a whole base or
 a delta of (s, p, o, op). A version exists once its commit file does, and creating that file fails if another writer has
-made the same version, so commits are atomic and the second of two writers gets a conflict (on file systems whose create
-without overwriting is atomic, such as HDFS and local disks). Reading version N takes the last base up to N and, by key,
+made the same version, so commits are atomic and the second of two writers gets a conflict (on file systems that rename or
+link without overwriting, such as HDFS and local disks). A change of several graphs is one transaction: each graph gets a
+commit that names it, and the single file ``transactions/ID.json`` then makes all of them count or none. A commit of an
+undecided transaction isn't seen; a writer that meets an old one decides against it. Reading version N takes the last base up to N and, by key,
 the last operation of the deltas since. Bases are sorted by predicate, subject and object, so that scans with constants
 skip row groups.
 """
@@ -14,6 +16,7 @@ import datetime as dt
 import hashlib
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ from .files import Files
 
 #: Deltas after which a commit writes a new base.
 MOST_DELTAS = 8
+#: Seconds that a transaction may stay undecided before another writer decides against it.
+PATIENCE = 60.0
 KEY = ["s", "p", "o"]
 
 
@@ -35,7 +40,8 @@ class StoredGraph:
         self.path = f"{store.root}/{hashlib.sha256(uri.encode()).hexdigest()[:24]}"
         self.log = store.commits(self.path)
         self.version = len(self.log) if version is None else version
-        self._stats: dict[str, dict] | None = None
+        self._stats: dict[tuple, float] = {}
+        self._analyzed: str | None = None
 
     # ---- reading
 
@@ -45,7 +51,7 @@ class StoredGraph:
         for n, c in enumerate(self.log[: self.version], 1):
             if c["kind"] == "base":
                 base, deltas = c["data"], []
-            else:
+            elif c["kind"] == "delta":  # else nothing came of it
                 deltas.append((n, c["data"]))
         return base, deltas
 
@@ -78,56 +84,78 @@ class StoredGraph:
     def analyze(self) -> None:
         """Compute and keep this version's statistics (a row for each predicate)."""
         self.statistics().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/{self.version}")
-        self._stats = None
+        self._stats, self._analyzed = {}, None
 
-    def _known(self) -> dict[str, dict]:
-        if self._stats is None:
-            # statistics of the nearest analyzed version up to this one guide the order of joins
+    def _statistics(self) -> DataFrame | None:
+        """Statistics of the nearest analyzed version up to this one: they guide the order of joins."""
+        if self._analyzed is None:
             have = [int(x) for x in self.store.files.listing(f"{self.path}/stats") if x.isdigit() and int(x) <= self.version]
-            rows = self.store.spark.read.parquet(f"{self.path}/stats/{max(have)}").limit(10_000).collect() if have else []  # a missing predicate is only estimated worse
-            self._stats = {r["p"]: r.asDict() for r in rows}
-        return self._stats
+            self._analyzed = f"{self.path}/stats/{max(have)}" if have else ""
+        return self.store.spark.read.parquet(self._analyzed) if self._analyzed else None
+
+    def prepare(self, predicates: Iterable[str]) -> None:
+        """Look up the statistics of these predicates at once; None stands for all of them together."""
+        wanted = [p for p in dict.fromkeys(predicates) if (p, False, False) not in self._stats]
+        table = self._statistics() if wanted else None
+        if table is None:
+            return
+        # expected triples with subject and object free or bound, values spread evenly within a predicate
+        forms = {(s, o): F.col("triples") / (F.col("subjects") if s else F.lit(1)) / (F.col("objects") if o else F.lit(1)) for s in (False, True) for o in (False, True)}
+        named = [p for p in wanted if p is not None]
+        rows = [(r["p"], r) for r in table.where(F.col("p").isin(named)).select("p", *(f.alias(f"{s}{o}") for (s, o), f in forms.items())).collect()] if named else []
+        if None in wanted:
+            rows.append((None, table.agg(*(F.sum(f).alias(f"{s}{o}") for (s, o), f in forms.items())).first()))
+        found = dict(rows)
+        for p in wanted:
+            for s, o in forms:
+                self._stats[p, s, o] = (found[p][f"{s}{o}"] or 0.0) if p in found else 0.0
 
     def estimate(self, s: str | None = None, p: str | None = None, o: str | None = None) -> float:
-        """Expected triples, with values spread evenly within a predicate."""
-        known = self._known()
-        if not known:
+        """Expected triples."""
+        self.prepare([p])
+        known = self._stats.get((p, s is not None, o is not None))
+        if known is None:
             from .base import shape_rank
 
             return float(10 ** shape_rank(s, p, o))
-        out = 0.0
-        for r in [known[p]] if p in known else known.values() if p is None else []:
-            out += r["triples"] / (r["subjects"] if s is not None else 1) / (r["objects"] if o is not None else 1)
-        return max(out, 1.0) if out else 0.0
+        return max(known, 1.0) if known else 0.0
 
     # ---- writing
 
-    def _commit(self, df: DataFrame, kind: str) -> StoredGraph:
+    def _commit(self, df: DataFrame, kind: str, transaction: str | None = None) -> StoredGraph:
         data = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{data}")
         n = self.version + 1
-        entry = {"t": dt.datetime.now(dt.timezone.utc).timestamp(), "kind": kind, "data": data}
+        entry = {"t": dt.datetime.now(dt.timezone.utc).timestamp(), "kind": kind, "data": data} | ({"transaction": transaction} if transaction else {})
         if not self.store.files.create(f"{self.path}/commits/{n:012d}.json", json.dumps(entry)):
+            self.store.settle(f"{self.path}/commits/{n:012d}.json")
             self.store.files.delete(f"{self.path}/{data}")
             raise DeleteInsertConflict(f"version {n} of {self.uri} was committed by another writer")
-        return StoredGraph(self.store, self.uri)
+        return StoredGraph(self.store, self.uri, None if transaction is None else n)
 
     def replace(self, triples: DataFrame) -> StoredGraph:
         """A new version that holds exactly these triples."""
         return self._commit(triples.select(*KEY).dropDuplicates().repartitionByRange("p", "s", "o").sortWithinPartitions("p", "s", "o"), "base")
 
+    @staticmethod
+    def _changes(delete: DataFrame | None, insert: DataFrame | None) -> DataFrame | None:
+        parts = [df.select(*KEY, F.lit(op).alias("op")) for df, op in ((delete, "-"), (insert, "+")) if df is not None]
+        ops = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
+        return None if ops is None else ops.groupBy(*KEY).agg(F.min("op").alias("op"))  # '+' sorts before '-': insertions come last
+
     def apply(self, delete: DataFrame | None, insert: DataFrame | None) -> StoredGraph:
         """A new version: first all deletions, then all insertions. Absent triples are not deleted, present ones not added again."""
-        ops = None
-        for df, op in ((delete, "-"), (insert, "+")):
-            if df is not None:
-                part = df.select(*KEY, F.lit(op).alias("op"))
-                ops = part if ops is None else ops.unionByName(part)
-        if ops is None:
+        ops = self._changes(delete, insert)
+        return self if ops is None else self._commit(ops, "delta").compacted()
+
+    def compacted(self) -> StoredGraph:
+        """This version, with its deltas folded into a base if they are many. If another writer is faster, that is left to it."""
+        if len(self._parts()[1]) <= MOST_DELTAS:
+            return self
+        try:
+            return self.compact()
+        except DeleteInsertConflict:
             return self
-        after = self._commit(ops.groupBy(*KEY).agg(F.min("op").alias("op")), "delta")  # '+' sorts before '-': insertions come last
-        base, deltas = after._parts()
-        return after.compact() if len(deltas) > MOST_DELTAS else after
 
     def compact(self) -> StoredGraph:
         """The same triples as one base."""
@@ -149,8 +177,51 @@ class Store:
         return self._texts[path]
 
     def commits(self, path: str) -> list[dict]:
-        names = sorted(x for x in self.files.listing(f"{path}/commits") if x.endswith(".json"))
-        return [json.loads(self._text(f"{path}/commits/{x}")) for x in names]
+        """A graph's decided commits in order; those of transactions that failed changed nothing."""
+        out = []
+        for name in sorted(x for x in self.files.listing(f"{path}/commits") if x.endswith(".json")):
+            c = json.loads(self._text(f"{path}/commits/{name}"))
+            if "transaction" in c:
+                decision = self._decision(c["transaction"])
+                if decision is None:
+                    break
+                c = c if decision else {**c, "kind": "nothing"}
+            out.append(c)
+        return out
+
+    # ---- transactions
+
+    def _decision(self, transaction: str) -> bool | None:
+        path = f"{self.root}/transactions/{transaction}.json"
+        return json.loads(self._text(path)) if path in self._texts or self.files.exists(path) else None
+
+    def decide(self, transaction: str, done: bool) -> bool:
+        """Whether the transaction counts: as asked for, or as another writer decided before."""
+        self.files.create(f"{self.root}/transactions/{transaction}.json", json.dumps(done))
+        return bool(self._decision(transaction))
+
+    def settle(self, commit: str) -> None:
+        """Decide against the transaction of a commit that is in the way, once it is old."""
+        c = json.loads(self._text(commit))
+        if "transaction" in c and self._decision(c["transaction"]) is None and dt.datetime.now(dt.timezone.utc).timestamp() - c["t"] > PATIENCE:
+            self.decide(c["transaction"], False)
+
+    def apply_all(self, changes: dict[StoredGraph, tuple[DataFrame | None, DataFrame | None]]) -> dict[str, int]:
+        """Apply deletions and insertions to several graphs, to all or to none; the new versions by uri."""
+        parts = [(g, StoredGraph._changes(*x)) for g, x in changes.items()]
+        parts = [(g, x) for g, x in parts if x is not None]
+        if len(parts) < 2:
+            return {g.uri: g._commit(x, "delta").compacted().version for g, x in parts}
+        transaction = uuid.uuid4().hex
+        try:
+            for g, x in parts:
+                g._commit(x, "delta", transaction)
+        except BaseException:
+            self.decide(transaction, False)
+            raise
+        if not self.decide(transaction, True):
+            raise DeleteInsertConflict("another writer decided against a transaction that took too long")
+        return {g.uri: StoredGraph(self, g.uri).compacted().version for g, _ in parts}
 
     def create(self, uri: str) -> StoredGraph:
         g = StoredGraph(self, uri)
@@ -164,7 +235,7 @@ class Store:
         self.attached_versions[uri] = version or uuid.uuid4().hex
 
     def stored(self) -> list[str]:
-        return [self._text(f"{self.root}/{x}/uri") for x in sorted(self.files.listing(self.root)) if self.files.exists(f"{self.root}/{x}/uri")]
+        return [self._text(f"{self.root}/{x}/uri").strip() for x in sorted(self.files.listing(self.root)) if self.files.exists(f"{self.root}/{x}/uri")]
 
     def names(self) -> list[str]:
         return [*self.attached, *self.stored()]

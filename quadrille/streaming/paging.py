@@ -1,7 +1,8 @@
 """Pages of a query's results, with continuation tokens.
 
 The first call pins the versions of all graphs, orders the result by all of its columns and writes it once, each row
-with a number that follows the order. A page is a range of these numbers, so the pages together are the whole bag. If
+with its partition and its place there; a small file says how many rows came before each partition. A page is a range of
+places, so the pages together are the whole bag. If
 writing isn't done within the quantum, the page is empty and the token lets the caller come back; the job goes on in its
 own job group. Tokens are self-contained (stateless) or ids of tokens kept here (stateful). A result that was evicted
 is computed again from the same versions: the order is total up to equal rows, so the position still holds.
@@ -15,6 +16,7 @@ import json
 import threading
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark import InheritableThread
@@ -25,6 +27,10 @@ from ..errors import BadToken
 from ..sources.files import Files
 
 
+#: Rows of a page whose caller sets no limit: what a page holds passes through the driver.
+MOST_ROWS = 10_000
+
+
 @dataclass
 class Page:
     bindings: list[dict[str, str]]
@@ -73,6 +79,10 @@ class TokenStore:
         self._tokens.pop(key, None)
 
 
+#: Columns of a written result beside the variables; no variable has such a name.
+PART, PLACE = "part?", "place?"
+
+
 class ResultCache:
     """Ordered results in files, the least recently used ones evicted beyond ``most``."""
 
@@ -80,6 +90,7 @@ class ResultCache:
         self.spark, self.root, self.most, self.files = spark, root.rstrip("/"), most, Files(spark)
         self.used: dict[str, float] = {}
         self.frames: dict[str, DataFrame] = {}
+        self.places: dict[str, list[list[int]]] = {}
         self.jobs: dict[str, threading.Thread] = {}
         self.failed: dict[str, BaseException] = {}
         self.lock = threading.Lock()
@@ -88,26 +99,16 @@ class ResultCache:
         return f"{self.root}/{key}"
 
     def ready(self, key: str) -> bool:
-        return self.files.exists(f"{self.path(key)}/_SUCCESS")
+        return self.files.exists(f"{self.path(key)}/places.json")
 
     def write(self, key: str, df: DataFrame) -> None:
-        """Rows in order of all columns, nulls first, each with its place ``n`` from 0; every file holds a range of places."""
+        """Rows in order of all columns, nulls first, with their partition and place in it, and the table of partitions."""
         columns = [F.col(c) for c in df.columns]
         ordered = df.orderBy(*(c.asc_nulls_first() for c in columns)) if columns else df
-        numbered = ordered.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid"), *columns)
-        rows = f"{self.path(key)}.rows"
-        numbered.write.mode("overwrite").parquet(rows)
-        # rids rise with the order but leave gaps between partitions: a table with a row for each partition closes them
-        stored = self.spark.read.schema(numbered.schema).parquet(rows)
-        sizes = {r["part"]: r["n"] for r in stored.groupBy("part").agg(F.count("*").alias("n")).collect()}
-        starts, at = [], 0
-        for part in sorted(sizes):
-            starts.append((part, at))
-            at += sizes[part]
-        offsets = self.spark.createDataFrame(starts, "part int, start long")
-        n = F.col("start") + F.col("rid").bitwiseAND(F.lit((1 << 33) - 1))
-        stored.join(F.broadcast(offsets), "part").select(n.alias("n"), *df.columns).write.mode("overwrite").parquet(self.path(key))  # offsets: a row for each partition
-        self.files.delete(rows)
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        ordered.select(F.spark_partition_id().alias(PART), place.alias(PLACE), *columns).write.mode("overwrite").parquet(f"{self.path(key)}/rows")
+        sizes = self.spark.read.parquet(f"{self.path(key)}/rows").groupBy(PART).agg(F.count("*").alias("n")).orderBy(PART).collect()  # a row for each partition
+        self.files.create(f"{self.path(key)}/places.json", json.dumps([[r[PART], r["n"]] for r in sizes]))
 
     def start(self, key: str, make) -> None:
         """Have the result written in the background, unless that is done or under way."""
@@ -116,11 +117,11 @@ class ResultCache:
             if self.ready(key) or (key in self.jobs and self.jobs[key].is_alive()):
                 return
             for old in sorted(self.used, key=self.used.get)[: max(0, len(self.used) - self.most)]:
+                self.forget(old)
                 self.files.delete(self.path(old))
                 del self.used[old]
-                self.frames.pop(old, None)
             self.failed.pop(key, None)
-            self.frames.pop(key, None)
+            self.forget(key)
 
             def work() -> None:
                 try:
@@ -141,12 +142,36 @@ class ResultCache:
     def cancel(self, key: str) -> None:
         self.spark.sparkContext.cancelJobGroup(key)
 
-    def read(self, key: str, start: int, count: int) -> list[dict]:
+    def forget(self, key: str) -> None:
+        self.frames.pop(key, None)
+        self.places.pop(key, None)
+
+    def size(self, key: str) -> int:
+        if key not in self.places:
+            self.places[key] = json.loads(self.files.read(f"{self.path(key)}/places.json"))
+        return sum(n for _, n in self.places[key])
+
+    def frame(self, key: str, start: int, count: int) -> DataFrame:
+        """The rows from place ``start`` on, as a DataFrame; its condition on partitions and places reaches the reader."""
         self.used[key] = time.time()
         if key not in self.frames:
-            self.frames[key] = self.spark.read.parquet(self.path(key))
-        df = self.frames[key].where((F.col("n") >= start) & (F.col("n") < start + count))  # the range reaches the reader
-        return [r.asDict() for r in df.orderBy("n").drop("n").collect()]
+            self.frames[key] = self.spark.read.parquet(f"{self.path(key)}/rows")
+        end, at = min(start + count, self.size(key)), 0
+        wanted = F.lit(False)
+        first = last = None
+        for part, n in self.places[key]:
+            a, b = max(start - at, 0), min(end - at, n)
+            if a < b and (a > 0 or b < n):  # a part of the partition
+                wanted = wanted | ((F.col(PART) == part) & (F.col(PLACE) >= a) & (F.col(PLACE) < b))
+            elif a < b:
+                first, last = part if first is None else first, part
+            at += n
+        if first is not None:
+            wanted = wanted | F.col(PART).between(first, last)
+        return self.frames[key].where(wanted)
+
+    def read(self, key: str, start: int, count: int) -> list[dict]:
+        return [r.asDict() for r in self.frame(key, start, count).orderBy(PART, PLACE).drop(PART, PLACE).collect()]
 
 
 class Pager:
@@ -160,7 +185,7 @@ class Pager:
         return hashlib.sha256(json.dumps([token["query"], token["graph"], token["versions"]], sort_keys=True).encode()).hexdigest()
 
     def page(self, query: str, graph: str, next_token: str | None = None, quantum: float | None = None, max_results: int | None = None) -> Page:
-        """The next page: at most ``max_results`` rows; with a quantum (milliseconds), maybe none yet."""
+        """The next page: at most ``max_results`` rows (MOST_ROWS without a limit); with a quantum (milliseconds), maybe none yet."""
         began = time.time()
         if next_token is None:
             token = {"query": query, "graph": graph, "versions": None, "served": 0, "vars": None}
@@ -178,11 +203,10 @@ class Pager:
         bindings: list[dict[str, str]] = []
         more = True
         if self.cache.wait(key, None if quantum is None else max(0.0, quantum / 1000 - (time.time() - began))):
-            count = (1 << 62) - token["served"] if max_results is None else max_results
-            rows = self.cache.read(key, token["served"], count + 1 if max_results is not None else count)
-            more = max_results is not None and len(rows) > max_results  # one row beyond the page tells
-            bindings = [{f"?{k}": v for k, v in r.items() if v is not None} for r in rows[:max_results]]
+            rows = self.cache.read(key, token["served"], MOST_ROWS if max_results is None else max_results)
+            bindings = [{f"?{k}": v for k, v in r.items() if v is not None} for r in rows]
             token["served"] += len(bindings)
+            more = token["served"] < self.cache.size(key)
         exported = time.time()
         text = None
         if more:
@@ -193,3 +217,12 @@ class Pager:
             self.tokens.delete(next_token)
         stats["export"] = (time.time() - exported) * 1000
         return Page(bindings, text, token["vars"], stats)
+
+    def frames(self, query: str, graph: str, max_results: int) -> Iterator[DataFrame]:
+        """All pages as DataFrames of the variables, without bringing any row to the driver."""
+        df, versions, _ = self.run(query, graph, None)
+        key = self._key({"query": query, "graph": graph, "versions": versions})
+        self.cache.start(key, lambda: df)
+        self.cache.wait(key, None)
+        for start in range(0, max(self.cache.size(key), 1), max_results):
+            yield self.cache.frame(key, start, max_results).select(df.columns)

@@ -12,12 +12,14 @@ from quadrille.functions import terms as T
 from quadrille.operators.update import UpdateExecutor
 from quadrille.plans.algebra import BGP, Call, DeleteData, Filter, Graph, InsertData, Join, Modify, Pattern, Term, Union, Var
 from quadrille.plans.sparql import parse_query, parse_update
+from quadrille.service import describe, http
 from quadrille.service.config import load_config
 from quadrille.service.engine import Engine, GraphInfo
 from quadrille.sinks import results
 from quadrille.sources import ntriples
-from quadrille.sources.base import SCHEMA, FrameSource, shape_rank
-from quadrille.sources.store import Store
+from quadrille.sources.base import SCHEMA, FrameSource, MvccGraph, shape_rank
+from quadrille.sources import store as store_module
+from quadrille.sources.store import Snapshot, Store, StoredGraph
 from quadrille.streaming.paging import Page
 
 G = "http://g"
@@ -166,17 +168,19 @@ def graph(e, uri=G):
     return {tuple(r) for r in e.query("SELECT ?s ?p ?o { ?s ?p ?o }", uri).collect()}
 
 
-def test_insert_and_delete(fresh):
+def test_data_updates_are_set_operations(fresh):
+    """Added twice is added once, removed twice is removed once; other graphs and absent ones stay as they are."""
     before = graph(fresh)
-    text = '{ <http://example.org#T> <http://www.w3.org/2000/01/rdf-schema#label> "T M"@en . <http://example.org#T> <http://knows> <http://example.org#A> }'
-    added = {("http://example.org#T", "http://www.w3.org/2000/01/rdf-schema#label", '"T M"@en'), ("http://example.org#T", "http://knows", "http://example.org#A")}
-    fresh.update(f"INSERT DATA {text}", G)
-    fresh.update(f"INSERT DATA {{ GRAPH <{G}> {text} GRAPH <http://unknown> {text} }}", G)  # once more, and in a graph that isn't there
-    assert graph(fresh) == before | added and fresh.query("SELECT * { ?s ?p ?o }", G).count() == len(before) + 2
-    fresh.update(f"DELETE DATA {text}", G)
-    assert graph(fresh) == before
-    fresh.update("DELETE DATA { <http://no> <http://no> <http://no> }", G)
-    assert graph(fresh) == before
+    fresh.store.create("http://second")
+    facts = [("urn:dish:soup", "urn:costs", '"4.5"^^<http://www.w3.org/2001/XMLSchema#decimal>'), ("urn:dish:soup", "urn:called", '"Suppe"@de'), ("urn:dish:soup", "urn:with", "_:bread"), ("urn:dish:soup", "urn:note", '"a \\"hot\\" one\\n"')]
+    body = r"""<urn:dish:soup> <urn:costs> 4.5 ; <urn:called> 'Suppe'@de ; <urn:with> _:bread ; <urn:note> 'a "hot" one\n'"""
+    for _ in range(2):
+        fresh.update(f"INSERT DATA {{ {body} GRAPH <http://absent> {{ {body} }} GRAPH <http://second> {{ <urn:x> <urn:y> <urn:z> }} }}", G)
+        assert graph(fresh) == before | set(facts) and fresh.query("SELECT * { ?s ?p ?o }", G).count() == len(before) + len(facts)
+    assert graph(fresh, "http://second") == {("urn:x", "urn:y", "urn:z")} and "http://absent" not in fresh.store.names()
+    for _ in range(2):
+        fresh.update("DELETE DATA { <urn:dish:soup> <urn:costs> 4.5 . <urn:dish:soup> <urn:called> 'Suppe'@fr . <urn:none> <urn:none> <urn:none> }", G)
+        assert graph(fresh) == before | set(facts[1:])
 
 
 def test_modify_reads_the_old_snapshot(fresh):
@@ -209,6 +213,71 @@ def test_versions_conflicts_and_compaction(fresh):
     assert sum(c["kind"] == "base" for c in fresh.store.source(G).log) >= 2
 
 
+def test_several_graphs_change_together_or_not_at_all(fresh, monkeypatch):
+    """A conflict on the second graph leaves the first as it was; values of RAND and UUID are the same everywhere."""
+    fresh.store.create("http://h")
+    both = f"INSERT {{ GRAPH <{G}> {{ ?s <urn:id> ?id }} GRAPH <http://h> {{ ?s <urn:id> ?id }} }}"
+    snapshot = Snapshot(fresh.store)
+    stale = {uri: snapshot.source(uri) for uri in (G, "http://h")}
+    fresh.update("INSERT DATA { GRAPH <http://h> { <urn:a> <urn:b> <urn:c> } }", G)  # the other writer
+    before = {uri: graph(fresh, uri) for uri in (G, "http://h")}
+    more = fresh.spark.createDataFrame([("urn:n", "urn:n", "urn:n")], SCHEMA)
+    with pytest.raises(DeleteInsertConflict):
+        fresh.store.apply_all({g: (None, more) for g in stale.values()})
+    assert {uri: graph(fresh, uri) for uri in (G, "http://h")} == before
+    assert set(fresh.store.apply_all({fresh.store.source(uri): (None, more) for uri in (G, "http://h")})) == {G, "http://h"}
+    assert all(graph(fresh, uri) == before[uri] | {("urn:n", "urn:n", "urn:n")} for uri in before)
+    assert fresh.store.source(G).as_of(1).scan().count() == 3
+    # a writer that died after its first commit: unseen, in the way for a while, then decided against
+    dead = fresh.store.source(G)._commit(StoredGraph._changes(None, fresh.spark.createDataFrame(TRIPLES[3:5], SCHEMA)), "delta", "dead")
+    assert ("http://c", "http://q", '"x"') not in graph(fresh) and dead.version == fresh.store.source(G).version + 1
+    update = "INSERT DATA { <urn:m> <urn:m> <urn:m> }"
+    with pytest.raises(DeleteInsertConflict):
+        fresh.update(update, G)
+    monkeypatch.setattr(store_module, "PATIENCE", 0.0)
+    with pytest.raises(DeleteInsertConflict):
+        fresh.update(update, G)
+    assert fresh.store.decide("dead", True) is False
+    fresh.update(update, G)
+    assert ("urn:m", "urn:m", "urn:m") in graph(fresh) and ("http://c", "http://q", '"x"') not in graph(fresh)
+    fresh.update(both.replace("?id }", "?id . ?s <urn:at> ?o }") + " WHERE { ?s ?p ?o . ?o <http://p> ?id }", G)
+    assert {t for t in graph(fresh) if t[1] == "urn:id"} == {t for t in graph(fresh, "http://h") if t[1] == "urn:id"} != set()
+
+
+def test_concurrent_writers(fresh):
+    """Of writers on one version one wins; commits are seen whole; a compaction that comes too late fails nobody."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = fresh.store.files
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: files.create(f"{fresh.store.root}/one", f"text {i} " * 1000), range(16)))
+        assert sum(won) == 1 and files.read(f"{fresh.store.root}/one") == f"text {won.index(True)} " * 1000 and files.listing(fresh.store.root).count("one") == 1
+
+        def write(i):
+            try:
+                return fresh.store.source(G).apply(None, fresh.spark.createDataFrame([(f"urn:{i}", "urn:p", "urn:o")], SCHEMA)).version
+            except DeleteInsertConflict:
+                return None
+
+        versions = [v for v in pool.map(write, range(6)) if v]
+    assert versions and len(versions) == len(set(versions)) and sum(p == "urn:p" for _, p, _ in graph(fresh)) == len(versions)
+    late = fresh.store.source(G)
+    fresh.update("INSERT DATA { <urn:y> <urn:y> <urn:y> }", G)
+    with pytest.raises(DeleteInsertConflict):
+        late.compact()
+    late.log = late.log + [{"kind": "delta", "data": "x"}] * 20
+    late.version += 20
+    late.store, late.compact = late.store, lambda: (_ for _ in ()).throw(DeleteInsertConflict("later"))
+    assert late.compacted() is late
+
+
+def test_statistics_of_many_predicates(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), cache=str(tmp_path / "c"))
+    e.load(G, spark.range(30_000).selectExpr("concat('urn:s', id) as s", "concat('urn:p', id % 15000) as p", "concat('urn:o', id % 7) as o"))
+    source = e.store.source(G)
+    assert source.estimate(p="urn:p14999") == 2 and source.estimate(p="urn:p3", s="urn:s3") == 1 and source.estimate(p="urn:none") == 0 and source.estimate() == 30_000
+
+
 def test_one_operation_only():
     with pytest.raises(UnsupportedSPARQL):
         parse_update("INSERT DATA { <a:a> <a:b> <a:c> } ; INSERT DATA { <a:a> <a:b> <a:d> }")
@@ -283,10 +352,89 @@ def test_formats():
     assert list(results.ntriples([("http://a", "http://b", '"c"')])) == ['<http://a> <http://b> "c" .\n']
 
 
-def test_descriptions(engine):
+def test_descriptions(engine, spark):
     d = dict(((s, p), o) for s, p, o in engine.describe(G))
     assert T.parse(d[G, "http://rdfs.org/ns/void#triples"])[1] == "9" and T.parse(d[G, "http://rdfs.org/ns/void#properties"])[1] == "2"
-    assert len(engine.describe_all("http://e")) > len(engine.describe(G)) and engine.json_ld(G, "http://u")["void:distinctSubjects"] == 5
+    whole = engine.describe_all("http://e")
+    named = {o for s, p, o in whole if p.endswith("#namedGraph")}
+    assert len(named) == 1 and {(p.rpartition("#")[2], o) for s, p, o in whole if s in named} >= {("name", G), ("graph", G)} and engine.json_ld(G, "http://u")["void:distinctSubjects"] == 5
+    # every format holds the same triples
+    text, media = describe.written(whole, "application/n-triples")
+    parsed = ntriples.parse(spark.createDataFrame([(x,) for x in text.splitlines()], "value string")).collect()
+    assert media == "application/n-triples" and all(r["valid"] for r in parsed) and {(r["s"], r["p"], r["o"]) for r in parsed} == set(whole)
+    nodes = json.loads(describe.written(whole, "json-ld")[0])
+    assert sum(len(v) for n in nodes for k, v in n.items() if k != "@id") == len(set(whole))
+    xml = ET.fromstring(describe.written(whole, "application/rdf+xml, */*")[0].split("\n", 1)[1])
+    assert len(xml) == len(set(whole)) and all(len(x) == 1 for x in xml)
+    turtle, media = describe.written(whole, None)
+    assert media == "text/turtle" and turtle.count(" ;\n") + turtle.count(" .\n") - len(describe.PREFIXES) == len(set(whole)) and "void:triples" in turtle
+
+
+def test_http(engine):
+    """The routes of a running server, by the standard library's client."""
+    import threading
+    from urllib.error import HTTPError
+    from urllib.parse import urlencode
+    from urllib.request import Request, urlopen
+
+    s = http.server(engine)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{s.server_port}"
+
+    def get(path, accept=None, data=None, kind="application/json"):
+        with urlopen(Request(base + path, data, {"Accept": accept or "*/*", "Content-Type": kind}), timeout=120) as r:
+            return r.headers["Content-Type"].split(";")[0], r.read().decode()
+
+    query = "SELECT * { ?s <http://p> ?o }"
+    rows_, token = [], None
+    while True:  # pages of three by their tokens
+        given = {"query": query, "default-graph-uri": G} | ({"next": token} if token else {})
+        media, text = get("/sparql?" + urlencode(given))
+        page = json.loads(text)
+        rows_ += page["bindings"]
+        token = page["next"]
+        if not token:
+            break
+    assert len(rows_) == 4 and media == "application/json"
+    body = json.dumps({"query": query, "defaultGraph": G}).encode()
+    assert json.loads(get("/sparql", results.W3C_JSON, body)[1])["head"]["vars"] == ["s", "o"]
+    assert get("/sparql", results.W3C_XML, urlencode({"query": query, "default-graph-uri": G}).encode(), "application/x-www-form-urlencoded")[0] == results.W3C_XML
+    assert "void:Dataset" in get("/void/")[1] == get("/.well-known/void/")[1] and get("/void/graph", "application/n-triples")[0] == "application/n-triples" and engine.name in get("/")[1]
+    for path, status in (("/sparql?query=x&default-graph-uri=" + G, 400), ("/sparql?query=x", 422), ("/void/none", 404), ("/other", 404), ("/sparql?" + urlencode({"query": query, "default-graph-uri": "http://none"}), 404), ("/sparql?" + urlencode({"query": query, "default-graph-uri": G, "next": "zzz"}), 400)):
+        with pytest.raises(HTTPError) as e:
+            get(path)
+        assert e.value.code == status, path
+    s.shutdown()
+    s.server_close()
+
+
+def test_jdbc(spark):
+    """A table behind JDBC, in the database that comes with Spark; constants reach the database."""
+    from quadrille.sources.base import open_source
+
+    where = {"backend": "jdbc", "url": "jdbc:derby:memory:triples;create=true", "table": "TRIPLES", "properties": {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}, "columns": ["S", "P", "O"]}
+    spark.createDataFrame(TRIPLES[:3], "S string, P string, O string").write.option("createTableColumnTypes", "S varchar(100), P varchar(100), O varchar(100)").jdbc(where["url"], "TRIPLES", "overwrite", where["properties"])
+    source = open_source(spark, where)
+    assert {tuple(r) for r in source.scan().collect()} == set(TRIPLES[:3]) and source.scan(s="http://a", o="http://c").count() == 1
+    assert "PushedFilters: [*IsNotNull(S), *EqualTo(S,http://a)]" in source.scan(s="http://a")._jdf.queryExecution().toString()
+
+
+def test_mvcc_writes(spark, tmp_path):
+    """Insertions and deletions with times, against a replay of them."""
+    g = MvccGraph(spark, str(tmp_path / "m"))
+    frame = lambda ts: spark.createDataFrame(ts, SCHEMA)
+    steps = [("+", TRIPLES[:3], "2020-01-01"), ("-", TRIPLES[1:2], "2020-02-01"), ("+", TRIPLES[1:4], "2020-03-01"), ("+", TRIPLES[:1], "2020-03-01"), ("-", [*TRIPLES[:1], ("http://no", "http://no", "http://no")], "2020-04-01"), ("+", TRIPLES[:1], "2020-05-01")]
+    for op, triples, at in steps:
+        (g.insert if op == "+" else g.delete)(frame(triples), at)
+    for at in ("2019-12-31", "2020-01-01", "2020-02-01", "2020-02-15", "2020-03-01", "2020-04-30", "2020-05-01"):
+        state = set()
+        for op, triples, when in steps:
+            if when <= at:
+                state = state | set(triples) if op == "+" else state - set(triples)
+        assert {tuple(r) for r in g.as_of(at).scan().collect()} == state
+    spans = {tuple(map(str, r)) for r in g.intervals().where("o = 'http://b'").select("insert_t", "delete_t").collect()}
+    assert spans == {("2020-01-01 00:00:00", "2020-04-01 00:00:00"), ("2020-05-01 00:00:00", "None")}
+    assert g.intervals().where("s = 'http://no'").isEmpty() and {tuple(r) for r in g.scan().collect()} == set(TRIPLES[:4])
 
 
 def test_ntriples(spark, tmp_path):
@@ -303,6 +451,18 @@ def test_ntriples(spark, tmp_path):
     assert rows(again) == rows(triples) and none.first()[0] == 0
 
 
+def test_escapes_from_left_to_right(spark):
+    cases = {
+        r'"x\\u0041y"': r'"x\\u0041y"', r'"\u0041\U0001F600"': '"A\U0001f600"', r'"\uD83D\uDE00"': '"\U0001f600"', r'"a\u0022b\u005Cn"': r'"a\"b\\n"', r'"\t\b\f\'"': '"\\t\b\f\'"',
+        r'"\\\\u00e9"@fr': r'"\\\\u00e9"@fr', r'"\u0035"': '"5"^^<http://www.w3.org/2001/XMLSchema#integer>', r"<http://x/\u00e9>": "http://x/é", r'"a\u000Ab"^^<http://t/\u0041>': r'"a\nb"^^<http://t/A>',
+        r'"\uD83D"': None, r'"\U00110000"': None, r'"\x"': None, r'"\u12"': None, '"a" "b"': None, "<a b>": None, r'"\UFFFFFFFF"': None, r'"\u0000"': '"\x00"', '""': '""', "_:a.b": "_:a.b", "_:a..": None,
+    }
+    lines = spark.createDataFrame([(f"<http://a> <http://p> {x} .",) for x in cases], "value string").coalesce(1)
+    assert {x: (r["o"] if r["valid"] else None) for x, r in zip(cases, ntriples.parse(lines).collect(), strict=True)} == cases
+    one = ntriples.parse(spark.createDataFrame([("<http://a><http://p>\"x\"@en-GB.",)], "value string")).first()
+    assert one["valid"] and one["o"] == '"x"@en-GB'
+
+
 def test_long_literals(spark):
     for text in ("x" * 300_000, '\\"a' * 100_000, "\\n" * 100_000):
         row = ntriples.parse(spark.createDataFrame([(f'<http://a> <http://p> "{text}"@en . # c "q"',)], "value string")).first()
