@@ -11,7 +11,7 @@ anchors at equal places, and every pair of equal windows meets at an anchor.
 3. In each partition the contexts are suffix-sorted to both sides by deep-shallow sorting: multikey sorting, eight bytes a
    symbol, to a shallow depth; what still ties there, long common prefixes, is ordered by blind tries. With the common
    prefixes of neighbours, every window gets the class of equal ones, compared byte by byte, and so the smallest id that
-   has it. A hot anchor, one that many batches of documents have, would bring all its contexts to one partition; its
+   has it. A hot anchor, one that very many texts have, would bring all its contexts to one partition; its
    windows travel apart instead, each to the partition that its own LENGTH bytes name.
 4. The windows found are joined to the texts, and their bytes are cut out.
 """
@@ -40,9 +40,10 @@ SHALLOW = 24
 ANCHOR_BYTES, TEXT_BYTES = 1 << 24, 1 << 22
 #: Anchors and texts that are combined before they are sent.
 HELD, ROWS = 1_000_000, 10_000
-#: An anchor is hot if so many batches sent it. The bits of hot anchors, of fixed size whatever their number, go to all
-#: tasks; an anchor that shares a hot one's bit is treated as hot too, which changes the way only.
-HOT, HOT_BITS = 24, 1 << 24
+#: An anchor is hot if so many texts have it: an eighth of the anchors of a usual partition. The bits of hot anchors, of
+#: fixed size whatever their number, go to all tasks; an anchor that shares a hot one's bit is treated as hot too, which
+#: changes the way only.
+HOT, HOT_BITS = ANCHOR_BYTES // 128, 1 << 24
 LAST = np.iinfo(np.int64).max
 WHOLE = np.uint32(0xFFFFFFFF)
 
@@ -343,10 +344,11 @@ class _Anchors:
         yield from _places(q, doc[shared], th[shared], pos[shared])
         send = np.flatnonzero(new | ~shared)  # of a shared hash one row is enough
         send = send[np.lexsort((pos[send], th[send], doc[send]))]
+        texts = np.minimum(np.where(shared, np.bincount(group, weights=new | other)[group], 1), 65535).astype("<u2")[send]
         h, doc, th, pos = h[send], doc[send], th[send], pos[send]
         for v, at in _split(((h >> np.uint64(40)) % np.uint64(p)).astype(np.int32)):
             tag = h[at]
-            yield (v, HASHES, *_runs(doc[at], th[at]), *_halves(pos[at]), (tag & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((tag >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes())
+            yield (v, HASHES, *_runs(doc[at], th[at]), *_halves(pos[at]), (tag & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((tag >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes() + texts[at].tobytes())
 
 
 def _anchor_rows(p: int, q: int):
@@ -372,16 +374,19 @@ def _shared_places(p: int, q: int):
         done, rows = _parted(table, HASHES)
         if not rows:
             return done
-        parts = [(*_unrun(r["keys"], r["counts"]), _whole(r["low"], r["high"]), np.frombuffer(r["a"], dtype="<u4").astype(np.uint64) | (np.frombuffer(r["b"], dtype=np.uint8).astype(np.uint64) << np.uint64(32))) for r in rows]
-        doc, th, pos, tag = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = []
+        for r in rows:
+            low = np.frombuffer(r["a"], dtype="<u4").astype(np.uint64)
+            high, texts = np.frombuffer(r["b"], dtype=np.uint8, count=len(low)), np.frombuffer(r["b"], dtype="<u2", offset=len(low))
+            parts.append((*_unrun(r["keys"], r["counts"]), _whole(r["low"], r["high"]), low | (high.astype(np.uint64) << np.uint64(32)), texts))
+        doc, th, pos, tag, texts = (np.concatenate(x) for x in zip(*parts, strict=True))
         o = np.argsort(tag, kind="stable")
-        doc, th, pos, tag = doc[o], th[o], pos[o], tag[o]
+        doc, th, pos, tag, texts = doc[o], th[o], pos[o], tag[o], texts[o]
         new = np.append(True, tag[1:] != tag[:-1])
         other = np.append(False, ~new[1:] & ((doc[1:] != doc[:-1]) | (th[1:] != th[:-1])))
         group = np.cumsum(new) - 1
         shared = (np.bincount(group, weights=other) > 0)[group]
-        # a hash that many batches sent is hot
-        hot = np.unique(tag[new & (np.bincount(group)[group] >= HOT)] % np.uint64(HOT_BITS)).astype("<u4")
+        hot = np.unique(tag[new & (np.bincount(group, weights=texts)[group] >= HOT)] % np.uint64(HOT_BITS)).astype("<u4")
         bits = [(0, BITS, b"", b"", b"", b"", hot.tobytes(), b"")] if len(hot) else []
         return pa.concat_tables([done, pa.Table.from_batches([_batch([*_places(q, doc[shared], th[shared], pos[shared]), *bits])])])
 
