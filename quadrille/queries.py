@@ -6,30 +6,40 @@ only part, orders and lineitem.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import functools
+import json
+import threading
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlencode
+from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .service.engine import Engine
-from .sources.base import DictionarySource, FrameSource, VersionedSource
+from .functions import terms as T
+from .operators.update import UpdateExecutor
+from .service import http
+from .service.engine import Engine, GraphInfo
+from .sinks import columns
+from .sources import ntriples
+from .sources.base import SCHEMA, DictionarySource, FrameSource, MvccGraph, VersionedSource
+from .sources.files import Files, shared_dir
 from .sources.relational import RelationalSource, TableMap
 from .sources.store import Store
 
 BASE = "http://bench"
 ALL, GEO, TRADE = f"{BASE}/g", f"{BASE}/geo", f"{BASE}/trade"
-#: table -> (key columns, literal columns, links); rows of the smallest scale, for the order of joins.
-TABLES: dict[str, tuple[list[str], list[str], dict[str, str], int]] = {
-    "region": (["r_regionkey"], ["r_name"], {}, 5),
-    "nation": (["n_nationkey"], ["n_name"], {"n_regionkey": "region"}, 25),
-    "customer": (["c_custkey"], ["c_name", "c_mktsegment"], {"c_nationkey": "nation"}, 150),
-    "supplier": (["s_suppkey"], ["s_name"], {"s_nationkey": "nation"}, 10),
-    "part": (["p_partkey"], ["p_name", "p_brand", "p_type", "p_size"], {}, 200),
-    "orders": (["o_orderkey"], ["o_orderstatus", "o_orderpriority"], {"o_custkey": "customer"}, 1500),
-    "lineitem": (["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], ["l_linenumber", "l_returnflag", "l_linestatus"], {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}, 6000),
+#: table -> (key columns, literal columns, links).
+TABLES: dict[str, tuple[list[str], list[str], dict[str, str]]] = {
+    "region": (["r_regionkey"], ["r_name"], {}),
+    "nation": (["n_nationkey"], ["n_name"], {"n_regionkey": "region"}),
+    "customer": (["c_custkey"], ["c_name", "c_mktsegment"], {"c_nationkey": "nation"}),
+    "supplier": (["s_suppkey"], ["s_name"], {"s_nationkey": "nation"}),
+    "part": (["p_partkey"], ["p_name", "p_brand", "p_type", "p_size"], {}),
+    "orders": (["o_orderkey"], ["o_orderstatus", "o_orderpriority"], {"o_custkey": "customer"}),
+    "lineitem": (["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], ["l_linenumber", "l_returnflag", "l_linestatus"], {"l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"}),
 }
 PREFIX = f"PREFIX v: <{BASE}/v#> PREFIX b: <{BASE}/> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#> "
 INT = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
@@ -38,18 +48,24 @@ INT = '"^^<http://www.w3.org/2001/XMLSchema#integer>'
 def lifted(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = tuple(TABLES)) -> RelationalSource:
     maps = []
     for n in names:
-        keys, columns, links, rows = TABLES[n]
+        keys, columns_, links = TABLES[n]
         df = spark.read.parquet(f"{sf_dir}/{n}.parquet")
-        if n == "lineitem":  # its rows may repeat, a graph's triples may not
-            df = df.select(*dict.fromkeys([*keys, *columns, *links])).distinct()
-        maps.append(TableMap(n, df, keys, [*columns, *links], links, rows, unique=n != "lineitem"))
+        maps.append(TableMap(n, df, keys, [*columns_, *links], links, unique=n != "lineitem"))  # its rows may repeat
     return RelationalSource(BASE, maps)
 
 
 def workspace(spark: SparkSession) -> str:
-    """A folder of its own for what a query writes."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quadrille-store")
-    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+    """A folder of its own for what a query writes, until the process ends."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            Files(spark).delete(root)
+        except Exception:  # the session may be gone already
+            pass
+
+    atexit.register(remove)
+    return root
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
@@ -87,10 +103,10 @@ def _line(t: str = "") -> str:
 
 def _triples(table: str) -> str:
     """All triples of a table, in SQL."""
-    keys, columns, links, _ = TABLES[table]
+    keys, columns_, links = TABLES[table]
     subject = _line() if table == "lineitem" else _iri(table, keys[0])
     out = []
-    for c in columns:
+    for c in columns_:
         o = _i(c) if c in ("p_size", "l_linenumber") else _q(c)
         out.append(f"SELECT {subject} AS s, '{BASE}/v#{c}' AS p, {o} AS o FROM {table}")
     out += [f"SELECT {subject} AS s, '{BASE}/v#{c}' AS p, {_iri(t, c)} AS o FROM {table}" for c, t in links.items()]
@@ -103,9 +119,9 @@ def _everything(tables: tuple[str, ...] = tuple(TABLES)) -> str:
 
 # name -> (SPARQL, graph, SQL)
 SELECTS: dict[str, tuple[str, str, str]] = {
-    "scan_spo": (f"SELECT ?x WHERE {{ b:nation\\/3 v:n_regionkey b:region\\/1 . ?x v:r_name ?n }}", ALL, f"SELECT {_iri('region', 'r_regionkey')} AS x FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3 AND n_regionkey = 1)"),
+    "scan_spo": ("SELECT ?x WHERE { b:nation\\/3 v:n_regionkey b:region\\/3 . ?x v:r_name ?n }", ALL, f"SELECT {_iri('region', 'r_regionkey')} AS x FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 3 AND n_regionkey = 3)"),
     "scan_sp": ("SELECT * WHERE { b:customer\\/7 v:c_name ?o }", ALL, f"SELECT {_q('c_name')} AS o FROM customer WHERE c_custkey = 7"),
-    "scan_so": ("SELECT * WHERE { b:customer\\/7 ?p b:nation\\/5 }", ALL, f"SELECT '{BASE}/v#c_nationkey' AS p FROM customer WHERE c_custkey = 7 AND c_nationkey = 5"),
+    "scan_so": ("SELECT * WHERE { b:customer\\/23 ?p b:nation\\/23 }", ALL, f"SELECT '{BASE}/v#c_nationkey' AS p FROM customer WHERE c_custkey = 23 AND c_nationkey = 23"),
     "scan_po": ('SELECT * WHERE { ?s v:c_mktsegment "BUILDING" }', ALL, f"SELECT {_iri('customer', 'c_custkey')} AS s FROM customer WHERE c_mktsegment = 'BUILDING'"),
     "scan_s": ("SELECT * WHERE { b:orders\\/10 ?p ?o }", ALL, f"SELECT p, o FROM ({_triples('orders')}) WHERE s = '{BASE}/orders/10'"),
     "scan_p": ("SELECT * WHERE { ?s v:o_custkey ?o }", ALL, f"SELECT {_iri('orders', 'o_orderkey')} AS s, {_iri('customer', 'o_custkey')} AS o FROM orders"),
@@ -138,7 +154,22 @@ SELECTS: dict[str, tuple[str, str, str]] = {
         ALL,
         f"SELECT {_iri('customer', 'c_custkey')} AS a, {_iri('supplier', 's_suppkey')} AS b FROM customer JOIN supplier ON c_nationkey = s_nationkey",
     ),
-    "repeated_var": ("SELECT * WHERE { ?s v:n_regionkey ?s }", ALL, "SELECT NULL::VARCHAR AS s WHERE false"),
+    "unknown_graph": ("SELECT ?s ?n WHERE { { ?s v:r_name ?n } UNION { GRAPH <http://nowhere> { ?s ?p ?n } } }", ALL, f"SELECT {_iri('region', 'r_regionkey')} AS s, {_q('r_name')} AS n FROM region"),
+    "filter_strings": (
+        'SELECT ?s WHERE { ?s v:p_name ?n . ?s v:p_brand ?b . FILTER(STRSTARTS(?b, "Brand#") && !STRENDS(?b, "9") && STRAFTER(?b, "#") < "35" && CONCAT(?b, "!") != "Brand#22!" && REPLACE(?b, "[0-9]", "") = "Brand#" && ENCODE_FOR_URI(?b) != "Brand%2323" && isIRI(IRI(CONCAT("http://x/", STR(?n)))) && LANGMATCHES(LANG(STRLANG(?n, "en-GB")), "en") && sameTerm(?n, ?n) && DATATYPE(STRDT(?n, xsd:token)) = xsd:token && COALESCE(?none, ?b) = ?b && STRLEN(SHA1(?n)) = 40) }',
+        ALL,
+        f"SELECT {_iri('part', 'p_partkey')} AS s FROM part WHERE p_brand NOT LIKE '%9' AND substring(p_brand, 7) < '35' AND p_brand NOT IN ('Brand#22', 'Brand#23')",
+    ),
+    "filter_casts": (
+        'SELECT ?s ?z WHERE { ?s v:p_size ?z . FILTER(xsd:integer(STR(?z)) + 1 = 8 || xsd:double(?z) > 45.5 || xsd:string(?z) = "3" || xsd:decimal(?z) / 2 = 5.5 || (xsd:boolean(?z - 20) = false) || xsd:float("1.5") * ?z = 18) }',
+        ALL,
+        f"SELECT {_iri('part', 'p_partkey')} AS s, {_i('p_size')} AS z FROM part WHERE p_size IN (7, 3, 11, 20, 12) OR p_size > 45.5",
+    ),
+    "filter_made": (
+        'SELECT ?s WHERE { ?s v:n_name ?n . FILTER(isIRI(UUID()) && STRLEN(STRUUID()) = 36 && RAND() < 1 && RAND() >= 0 && isBlank(BNODE()) && NOW() > "2020-01-01T00:00:00Z"^^xsd:dateTime && YEAR(NOW()) > 2019) }',
+        ALL,
+        f"SELECT {_iri('nation', 'n_nationkey')} AS s FROM nation",
+    ),
     "union_bag": (
         "SELECT * WHERE { { ?s v:n_name ?n . ?s v:n_regionkey b:region\\/1 } UNION { ?s v:n_name ?n } }",
         ALL,
@@ -241,8 +272,8 @@ def pattern_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages of a union that gives every row twice, in pages of 500 rows."""
     e = engine(spark, sf_dir)
-    rows = [b for page in e.iter_pages(PREFIX + "SELECT ?s ?o WHERE { { ?s v:c_nationkey ?o } UNION { ?s v:c_nationkey ?o } }", GEO, max_results=500) for b in page.bindings]
-    return spark.createDataFrame([(b["?s"], b["?o"]) for b in rows], "s string, o string")
+    pages = e.page_frames(PREFIX + "SELECT ?s ?o WHERE { { ?s v:c_nationkey ?o } UNION { ?s v:c_nationkey ?o } }", GEO, 500)
+    return functools.reduce(DataFrame.unionByName, pages)
 
 
 def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,11 +301,226 @@ def frame_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("SELECT * WHERE { ?s ?p ?o }", f"{BASE}/frame")
 
 
+# ---- other sources at the size of the tables
+
+
+def _from(source: Callable[[SparkSession, str], object], text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        e.store.attach(f"{BASE}/other", source(spark, sf_dir))
+        return e.query(PREFIX + text, f"{BASE}/other")
+
+    return run
+
+
+def _peers(spark: SparkSession, sf_dir: str) -> FrameSource:
+    """Customers with the customer whose key is their nation's."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    named = lambda k: F.concat(F.lit(f"{BASE}/customer/"), F.col(k).cast("string"))
+    return FrameSource(c.select(named("c_custkey").alias("s"), F.lit(f"{BASE}/v#peer").alias("p"), named("c_nationkey").alias("o")))
+
+
+def _dates(spark: SparkSession, sf_dir: str) -> FrameSource:
+    """Orders with their dates."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return FrameSource(o.select(F.concat(F.lit(f"{BASE}/orders/"), F.col("o_orderkey").cast("string")).alias("s"), F.lit(f"{BASE}/v#date").alias("p"), T.typed_literal(text, T.XSD + "dateTime").alias("o")), distinct=True)
+
+
+SALES = ("customer", "nation", "orders")
+STORED = f"{BASE}/stored"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Engine:
+    """A store that holds customers, nations and orders as triples, sorted and with statistics."""
+    e = engine(spark, sf_dir)
+    e.load(STORED, lifted(spark, sf_dir, SALES).scan())
+    return e
+
+
+def stored_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).query(PREFIX + 'SELECT ?o ?c ?p WHERE { ?o v:o_custkey ?c . ?o v:o_orderstatus "F" . ?o v:o_orderpriority ?p }', STORED)
+
+
+def stored_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).query(PREFIX + 'SELECT ?o ?n WHERE { ?o v:o_custkey ?c . ?c v:c_nationkey ?k . ?k v:n_name ?n . ?c v:c_mktsegment "BUILDING" }', STORED)
+
+
+def stored_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two access paths whose constants skip row groups."""
+    return _stored(spark, sf_dir).query(PREFIX + "SELECT ?p ?o ?x WHERE { { b:orders\\/10 ?p ?o } UNION { ?x v:c_nationkey b:nation\\/5 } }", STORED)
+
+
+def stored_modify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _stored(spark, sf_dir)
+    e.update(PREFIX + 'DELETE { ?o v:o_orderstatus "P" } INSERT { ?o v:state "open" . ?c v:waits ?o } WHERE { ?o v:o_orderstatus "P" . ?o v:o_custkey ?c }', STORED)
+    return e.query(PREFIX + "SELECT ?s ?p ?o WHERE { ?s ?p ?o . FILTER(?p IN (v:state, v:waits, v:o_orderstatus)) }", STORED)
+
+
+def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of orders with their customers' nations."""
+    e = _stored(spark, sf_dir)
+    return functools.reduce(DataFrame.unionByName, e.page_frames(PREFIX + "SELECT ?o ?k WHERE { ?o v:o_custkey ?c . ?c v:c_nationkey ?k }", STORED, 4000))
+
+
+def stored_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).store.source(STORED).statistics()
+
+
+def coded_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a segment's customers over a dictionary-encoded graph."""
+    coded = DictionarySource(*DictionarySource.encode(lifted(spark, sf_dir, SALES).scan()))
+    return _from(lambda *_: coded, 'SELECT ?o ?n WHERE { ?o v:o_custkey ?c . ?c v:c_nationkey ?k . ?k v:n_name ?n . ?c v:c_mktsegment "BUILDING" }')(spark, sf_dir)
+
+
+def timed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' triples that come in 2020; in 2021 those of status F are deleted and told anew: read as of both years."""
+    g = MvccGraph(spark, f"{workspace(spark)}/timed")
+    triples = lifted(spark, sf_dir, ("orders",)).scan()
+    status = triples.where((F.col("p") == f"{BASE}/v#o_orderstatus") & (F.col("o") == '"F"'))
+    g.insert(triples, "2020-01-01")
+    g.delete(status, "2021-01-01")
+    g.insert(status.withColumn("o", F.lit('"done"')), "2021-01-01")
+    e = engine(spark, sf_dir)
+    for year in ("2020", "2021"):
+        e.store.attach(f"{BASE}/{year}", g.as_of(f"{year}-06-01"))
+    return e.query(PREFIX + f"SELECT ?g ?s ?o FROM NAMED <{BASE}/2020> FROM NAMED <{BASE}/2021> WHERE {{ GRAPH ?g {{ ?s v:o_orderstatus ?o }} }}")
+
+
+def timed_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each order's status held."""
+    g = MvccGraph(spark, f"{workspace(spark)}/timed")
+    status = lifted(spark, sf_dir, ("orders",)).scan(p=f"{BASE}/v#o_orderstatus")
+    g.insert(status, "2020-01-01")
+    g.delete(status.where("o = '\"F\"'"), "2021-01-01")
+    return g.intervals().select("s", "o", F.year("insert_t").alias("since"), F.year("delete_t").alias("until"))
+
+
+def ntriples_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' texts, with all their quotes, tabs and line ends, written as N-Triples and read again."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    triples = d.select(F.concat(F.lit(f"{BASE}/doc/"), F.col("doc_id").cast("string")).alias("s"), F.lit(f"{BASE}/v#text").alias("p"), T.plain_literal(F.col("text")).alias("o")).na.drop()
+    path = f"{workspace(spark)}/nt"
+    ntriples.write(triples, path)
+    return ntriples.read(spark, path)[0]
+
+
+def sink_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ntriples.written(lifted(spark, sf_dir, ("customer",)).scan())
+
+
+def _sink(write: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: write(sparql("SELECT ?s ?n ?z ?r WHERE { { ?s v:p_name ?n . ?s v:p_size ?z } UNION { ?s v:r_name ?r } }")(spark, sf_dir))
+
+
+def sink_skolem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.skolemized(sparql("SELECT ?s ?n WHERE { ?s v:r_name ?n }")(spark, sf_dir).withColumn("b", F.concat(F.lit("_:"), F.lower(F.regexp_replace("n", '"', "")))), "http://u")
+
+
+def if_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads that a graph lacks, and whether a guarded update with them was refused."""
+    e = _work(spark, sf_dir)
+    run = UpdateExecutor(e.store)
+    there, absent = (f"{BASE}/nation/3", f"{BASE}/v#n_regionkey", f"{BASE}/region/3", None), ("http://x#a", "http://x#p", "http://x#o", None)
+    rows = []
+    for name, expected in (("there", (there,)), ("absent", (there, absent))):
+        try:
+            run.sequence(expected, (), ((f"http://x#{name}", "http://x#done", '"yes"', None),), WORK)
+            rows.append((name, "done"))
+        except Exception as error:
+            rows.append((name, type(error).__name__))
+    told = e.query("SELECT ?s WHERE { ?s <http://x#done> ?o }", WORK).withColumn("said", F.lit("told"))
+    return spark.createDataFrame(rows, "s string, said string").unionByName(told)
+
+
+def update_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Check, delete and insert as one commit."""
+    e = _work(spark, sf_dir)
+    old, new = (f"{BASE}/nation/3", f"{BASE}/v#n_regionkey", f"{BASE}/region/3", None), (f"{BASE}/nation/3", f"{BASE}/v#n_regionkey", f"{BASE}/region/1", None)
+    UpdateExecutor(e.store).sequence((old,), (old,), (new,), WORK)
+    return e.query("SELECT * WHERE { ?s ?p ?o }", WORK)
+
+
+def graphs_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One update that changes two graphs in one transaction; made values are the same in both."""
+    e = _work(spark, sf_dir)
+    e.store.create(f"{BASE}/second")
+    e.update(PREFIX + f"INSERT {{ ?x v:copy ?n . GRAPH <{BASE}/second> {{ ?x v:copy ?n }} }} WHERE {{ ?x v:n_name ?n }}", WORK)
+    return e.query(PREFIX + f"SELECT ?s ?n FROM <{WORK}> WHERE {{ ?s v:copy ?n . GRAPH <{BASE}/second> {{ ?s v:copy ?n }} }}")
+
+
+def http_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by seven a page over HTTP, each page by the token of the one before."""
+    e = engine(spark, sf_dir)
+    e.info[GEO] = GraphInfo(GEO, "geo", max_results=7)
+    server = http.server(e)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    rows, given = [], {"query": PREFIX + "SELECT ?s ?n WHERE { ?s v:n_name ?n }", "default-graph-uri": GEO}
+    try:
+        while given:
+            with urlopen(f"http://127.0.0.1:{server.server_port}/sparql?{urlencode(given)}") as answer:
+                page = json.load(answer)
+            rows += [(b["?s"], b["?n"]) for b in page["bindings"]]
+            given = given | {"next": page["next"]} if page["next"] else None
+    finally:
+        server.shutdown()
+        server.server_close()
+    return spark.createDataFrame(rows, "s string, n string")
+
+
+def void_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of a graph's VoID description."""
+    told = engine(spark, sf_dir).describe(GEO)
+    return spark.createDataFrame([t for t in told if t[1].startswith("http://rdfs.org/ns/void#") and "integer" in t[2]], SCHEMA)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: sparql(text, graph) for name, (text, graph, _) in SELECTS.items()} | {
-    f.__name__: f for f in (repeated_var_compat, insert_data, delete_data, modify_where, as_of_read, void_stats, pattern_cardinality, page_concat, dictionary_join, versioned_scan, frame_scan)
-}
+    f.__name__: f
+    for f in (
+        repeated_var_compat, insert_data, delete_data, modify_where, as_of_read, void_stats, pattern_cardinality, page_concat, dictionary_join, versioned_scan, frame_scan,
+        stored_star, stored_chain, stored_scans, stored_modify, stored_pages, stored_statistics, coded_chain, timed_graph, timed_intervals, ntriples_again,
+        sink_ntriples, sink_skolem, if_exists, update_sequence, graphs_together, http_pages, void_description,
+    )
+} | {
+    "repeated_var": _from(_peers, "SELECT * WHERE { ?s v:peer ?s }"),
+    "filter_dates": _from(_dates, 'SELECT ?s WHERE { ?s v:date ?d . FILTER(YEAR(?d) = 1997 && MONTH(?d) < 4 && DAY(?d) != 15 && HOURS(?d) = 0 && MINUTES(?d) = 0 && SECONDS(?d) = 0 && TZ(?d) = "Z" && STR(TIMEZONE(?d)) = "PT0S" && ?d >= "1997-02-01T00:00:00Z"^^xsd:dateTime) }'),
+    "sink_json": _sink(columns.raw_json),
+    "sink_w3c_json": _sink(columns.w3c_json),
+    "sink_w3c_xml": _sink(columns.w3c_xml),
+}
+
+_SALES_SQL = _everything(SALES)
+_ESCAPED = "text"
+for _there, _here in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):
+    _ESCAPED = f"replace({_ESCAPED}, {_there}, {_here})"
+_XSD_INT = "http://www.w3.org/2001/XMLSchema#integer"
 
 SQL: dict[str, str] = {name: sql for name, (_, _, sql) in SELECTS.items()} | {
+    "repeated_var": f"SELECT {_iri('customer', 'c_custkey')} AS s FROM customer WHERE c_custkey = c_nationkey",
+    "filter_dates": f"SELECT {_iri('orders', 'o_orderkey')} AS s FROM orders WHERE year(o_orderdate) = 1997 AND month(o_orderdate) IN (2, 3) AND day(o_orderdate) <> 15 AND hour(o_orderdate) = 0 AND minute(o_orderdate) = 0 AND second(o_orderdate) = 0",
+    "stored_star": f"SELECT {_iri('orders', 'o_orderkey')} AS o, {_iri('customer', 'o_custkey')} AS c, {_q('o_orderpriority')} AS p FROM orders WHERE o_orderstatus = 'F'",
+    "stored_chain": f"SELECT {_iri('orders', 'o_orderkey')} AS o, {_q('n_name')} AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'",
+    "stored_scans": f"SELECT p, o, NULL::VARCHAR AS x FROM ({_triples('orders')}) WHERE s = '{BASE}/orders/10' UNION ALL SELECT NULL, NULL, {_iri('customer', 'c_custkey')} FROM customer WHERE c_nationkey = 5",
+    "stored_modify": f"""SELECT s, p, o FROM ({_triples('orders')}) WHERE p = '{BASE}/v#o_orderstatus' AND o <> '"P"' UNION ALL SELECT {_iri('orders', 'o_orderkey')}, '{BASE}/v#state', '"open"' FROM orders WHERE o_orderstatus = 'P'
+        UNION ALL SELECT {_iri('customer', 'o_custkey')}, '{BASE}/v#waits', {_iri('orders', 'o_orderkey')} FROM orders WHERE o_orderstatus = 'P'""",
+    "stored_pages": f"SELECT {_iri('orders', 'o_orderkey')} AS o, {_iri('nation', 'c_nationkey')} AS k FROM orders JOIN customer ON o_custkey = c_custkey",
+    "stored_statistics": f"SELECT p, count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT o) AS objects FROM ({_SALES_SQL}) GROUP BY p",
+    "coded_chain": f"SELECT {_iri('orders', 'o_orderkey')} AS o, {_q('n_name')} AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'",
+    "timed_graph": f"SELECT g, {_iri('orders', 'o_orderkey')} AS s, CASE WHEN g LIKE '%2021' AND o_orderstatus = 'F' THEN '\"done\"' ELSE {_q('o_orderstatus')} END AS o FROM orders, (VALUES ('{BASE}/2020'), ('{BASE}/2021')) t(g)",
+    "timed_intervals": f"SELECT {_iri('orders', 'o_orderkey')} AS s, {_q('o_orderstatus')} AS o, 2020 AS since, CASE WHEN o_orderstatus = 'F' THEN 2021 END AS until FROM orders",
+    "ntriples_again": f"SELECT DISTINCT '{BASE}/doc/' || doc_id AS s, '{BASE}/v#text' AS p, '\"' || {_ESCAPED} || '\"' || CASE WHEN regexp_full_match(text, '[0-9]+') THEN '^^<{_XSD_INT}>' ELSE '' END AS o FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL",
+    "sink_ntriples": f"SELECT '<' || s || '> <' || p || '> ' || CASE WHEN starts_with(o, '\"') THEN o ELSE '<' || o || '>' END || ' .' AS value FROM ({_triples('customer')})",
+    "sink_json": f"""SELECT '{{"?s":"' || {_iri('part', 'p_partkey')} || '","?n":"\\"' || p_name || '\\"","?z":"\\"' || p_size || '\\"^^<{_XSD_INT}>"}}' AS value FROM part UNION ALL SELECT '{{"?s":"' || {_iri('region', 'r_regionkey')} || '","?r":"\\"' || r_name || '\\""}}' FROM region""",
+    "sink_w3c_json": f"""SELECT '{{"s":{{"type":"uri","value":"' || {_iri('part', 'p_partkey')} || '"}},"n":{{"type":"literal","value":"' || p_name || '"}},"z":{{"type":"literal","value":"' || p_size || '","datatype":"{_XSD_INT}"}}}}' AS value FROM part
+        UNION ALL SELECT '{{"s":{{"type":"uri","value":"' || {_iri('region', 'r_regionkey')} || '"}},"r":{{"type":"literal","value":"' || r_name || '"}}}}' FROM region""",
+    "sink_w3c_xml": f"""SELECT '<result><binding name="s"><uri>' || {_iri('part', 'p_partkey')} || '</uri></binding><binding name="n"><literal>' || p_name || '</literal></binding><binding name="z"><literal datatype="{_XSD_INT}">' || p_size || '</literal></binding></result>' AS value FROM part
+        UNION ALL SELECT '<result><binding name="s"><uri>' || {_iri('region', 'r_regionkey')} || '</uri></binding><binding name="r"><literal>' || r_name || '</literal></binding></result>' FROM region""",
+    "sink_skolem": f"SELECT {_iri('region', 'r_regionkey')} AS s, {_q('r_name')} AS n, 'http://u/bnode#' || lower(r_name) AS b FROM region",
+    "if_exists": "SELECT * FROM (VALUES ('there', 'done'), ('absent', 'DeleteInsertConflict'), ('http://x#there', 'told')) t(s, said)",
+    "update_sequence": f"SELECT s, p, CASE WHEN s = '{BASE}/nation/3' AND p = '{BASE}/v#n_regionkey' THEN '{BASE}/region/1' ELSE o END AS o FROM ({_WORK_SQL})",
+    "graphs_together": f"SELECT {_iri('nation', 'n_nationkey')} AS s, {_q('n_name')} AS n FROM nation",
+    "http_pages": f"SELECT {_iri('nation', 'n_nationkey')} AS s, {_q('n_name')} AS n FROM nation",
+    "void_description": f"SELECT '{GEO}' AS s, 'http://rdfs.org/ns/void#' || p AS p, '\"' || n || '{INT}' AS o FROM (SELECT count(*) AS triples, count(DISTINCT s) AS \"distinctSubjects\", count(DISTINCT p) AS properties, count(DISTINCT o) AS \"distinctObjects\" FROM ({_everything(('region', 'nation', 'customer', 'supplier'))})) UNPIVOT (n FOR p IN (triples, \"distinctSubjects\", properties, \"distinctObjects\"))",
     "repeated_var_compat": f"SELECT {_iri('region', 'n_regionkey')} AS s FROM nation",
     "insert_data": f"SELECT * FROM ({_WORK_SQL}) UNION ALL VALUES ('http://x#a', 'http://x#label', '\"Ann\"@en'), ('http://x#a', 'http://x#n', '\"7{INT}'), ('http://x#b', 'http://x#knows', 'http://x#a')",
     "delete_data": f"SELECT * FROM ({_WORK_SQL}) WHERE NOT (s = '{BASE}/nation/3' AND p = '{BASE}/v#n_regionkey' AND o = '{BASE}/region/1')",

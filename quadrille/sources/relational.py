@@ -18,17 +18,29 @@ from .base import shape_rank
 
 @dataclass
 class TableMap:
-    """``keys`` make the subject ``base/name/k1-k2...``; ``columns`` are predicates; ``links`` map foreign keys to tables."""
+    """``keys`` make the subject ``base/name/k1-k2...``; ``columns`` are predicates; ``links`` map foreign keys to tables.
+
+    ``rows`` is estimated from the size that Spark knows of the table's files, unless it is given."""
 
     name: str
     df: DataFrame
     keys: list[str]
     columns: list[str]
     links: dict[str, str] = field(default_factory=dict)
-    rows: float = 1e6
+    rows: float = 0.0
     unique: bool = False  # whether the keys name one row
 
 
+    def __post_init__(self) -> None:
+        if not self.rows:
+            self.rows = max(1.0, float(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / (16 * len(self.df.columns)))
+
+    def once(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        """The rows' columns that a scan needs; where rows may repeat, each once, as triples form a set."""
+        wanted = list(dict.fromkeys([*self.keys, *names]))
+        return rows if self.unique else rows.select(*wanted).distinct()
+
+
 class RelationalSource:
     def __init__(self, base: str, tables: list[TableMap]):
         self.base, self.tables = base.rstrip("/"), {t.name: t for t in tables}
@@ -73,13 +85,13 @@ class RelationalSource:
                 rows = self._rows(t, s)
                 if rows is not None:
                     cells = F.array(*(F.struct(F.lit(f"{self.base}/v#{c}").alias("p"), self.object(t, c).alias("o")) for c in t.columns))
-                    parts.append(rows.select(self.subject(t).alias("s"), F.explode(cells).alias("x")).select("s", "x.p", "x.o").where("o is not null"))
+                    parts.append(t.once(rows, t.columns).select(self.subject(t).alias("s"), F.explode(cells).alias("x")).select("s", "x.p", "x.o").where("o is not null"))
         else:
             for t, c in wanted:
                 rows = self._rows(t, s)
                 if rows is not None:
                     rows = rows.where(F.col(c).isNotNull() if o is None else self._is_object(t, c, o))
-                    parts.append(rows.select(self.subject(t).alias("s"), F.lit(f"{self.base}/v#{c}").alias("p"), self.object(t, c).alias("o")))
+                    parts.append(t.once(rows, [c]).select(self.subject(t).alias("s"), F.lit(f"{self.base}/v#{c}").alias("p"), self.object(t, c).alias("o")))
         if not parts:
             return next(iter(self.tables.values())).df.sparkSession.createDataFrame([], "s string, p string, o string")
         return functools.reduce(DataFrame.unionByName, parts)
