@@ -13,6 +13,8 @@ sufficient statistic. Rates are then rounded to copies so that each source's tot
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,22 +29,35 @@ def n_words(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, ASCII_SPACE), "")).cast("long")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """src, S and r, the source's rank from 1 by code point, null last: sorted over all tasks, with a row for each partition in the driver."""
+    mask = F.lit((1 << 33) - 1)
+    rows = cut(sizes.orderBy(F.col("src").asc_nulls_last()).select("src", "S", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(mask).alias("i")))
+    starts, at = [], 1
+    for part, n in sorted((x["part"], x["count"]) for x in rows.groupBy("part").count().collect()):
+        starts.append((part, at))
+        at += n
+    return rows.join(F.broadcast(sizes.sparkSession.createDataFrame(starts, "part int, start long")), "part").select("src", "S", (F.col("start") + F.col("i")).alias("r"))  # one row for each partition
+
+
 def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """src, S, T for each source of (src, S): shares of ``share`` x the total by weight, none above MOST x S.
+    """src, r, S, T for each source of (src, S): shares of ``share`` x the total by weight, none above MOST x S.
 
-    With sources in order of MOST S / weight, the capped ones come first; the level of the others is that of the first
-    source whose level isn't above its cap. The table has a row per source.
+    The level is what a weight of one gets. Sources that would get more than their cap are capped and the rest is shared
+    anew, until no more are: the capped ones only become more, so that ends. The sums are of integers, hence exact.
     """
-    ranked = sizes.withColumn("r", F.row_number().over(Window.orderBy(F.col("src").asc_nulls_last())))
-    w = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("r") - 1) % len(weights) + 1).cast("int")))
-    w = w.withColumns({"cap": F.col("S") * MOST, "ratio": F.col("S") * float(MOST) / F.col("w")})
-    by = Window.orderBy("ratio", "r")
-    w = w.withColumns({
-        "level": (F.sum("S").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * share - F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        / F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)),
-    })
-    level = F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return w.withColumn("T", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(float("inf"))) * F.col("w"))).select("src", "r", "S", "T")
+    w = ranked(sizes).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("r") - 1) % len(weights) + 1).cast("int"))).withColumn("cap", F.col("S") * MOST)
+    w = cut(w, thin=True)
+    level, capped = 0.0, -1
+    while True:
+        over = F.col("cap") < F.col("w") * F.lit(level) if capped >= 0 else F.lit(False)
+        row = w.agg(F.sum("S").alias("all"), F.sum(F.when(over, F.col("cap")).otherwise(0)).alias("gone"), F.sum(F.when(over, 0).otherwise(F.col("w"))).alias("open"), F.count_if(over).alias("n")).first()
+        if not row["open"]:
+            level = math.inf
+        if row["n"] == capped or not row["open"]:
+            break
+        level, capped = (row["all"] * share - row["gone"]) / row["open"], row["n"]
+    return w.select("src", "r", "S", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("w")).alias("T"))
 
 
 def multipliers(hist: DataFrame, goals: DataFrame, *, steps: int = 60, tolerance: float = 1e-10) -> DataFrame:
@@ -77,9 +92,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     tables give no rows. Other columns are ignored.
     """
     more = {f"x{i}": docs[c] for i, c in enumerate(carry or [])}
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("src"), n_words(text_of(docs, text_col)).alias("size"), *(v.alias(k) for k, v in more.items()))
-    rows = cut(rows.withColumn("u", F.pmod(F.xxhash64(F.lit("mix"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 40)) / float(1 << 40)))
-    by_size = cut(rows.groupBy("src", "size").agg(F.count("*").alias("n")))
+    text = text_of(docs, text_col)
+    # by id and text, so that rows without an id, or of one id, are spread too
+    u = F.pmod(F.xxhash64(F.lit("mix"), F.coalesce(docs[id_col].cast("string"), F.lit("")), text), F.lit(1 << 40)) / float(1 << 40)
+    rows = cut(docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("src"), n_words(text).alias("size"), u.alias("u"), *(v.alias(k) for k, v in more.items())))
+    by_size = cut(rows.groupBy("src", "size").agg(F.count("*").alias("n")), thin=True)
     goals = cut(targets(by_size.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("S"))), files=1)
     hist = by_size.alias("h").join(goals.alias("g"), F.col("h.src").eqNullSafe(F.col("g.src"))).select("r", "size", "n")
     state = multipliers(hist, goals)

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,9 +236,9 @@ def known_labels(labels: DataFrame, *, id_col: str = "doc_id", label_col: str =
     return known.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(5)).cast("int"))
 
 
-def fitting_sample(known: DataFrame) -> DataFrame:
-    """id, y: at most MOST_TOXIC + MOST_ORDINARY ids of part 0."""
-    parts = [known.where(f"part = 0 and y = {y}").select("id", "y").orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(n) for y, n in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
+def fitting_sample(known: DataFrame, most_toxic: int, most_ordinary: int) -> DataFrame:
+    """id, y: at most so many ids of part 0 of each class."""
+    parts = [known.where(f"part = 0 and y = {y}").select("id", "y").orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(n) for y, n in ((1, most_toxic), (0, most_ordinary))]
     return parts[0].unionByName(parts[1])
 
 
@@ -252,11 +253,15 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     return counts.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary", "total")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[Ratios | None, tuple | float]:
-    """The models and the logistic fit; (None, share of toxic labels) if a class has no rows to learn from."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_toxic: int | None = None, most_ordinary: int | None = None) -> tuple[Broadcast | None, tuple | float]:
+    """The models' arrays, sent to all executors once, and the logistic fit; (None, share of toxic labels) if a class has no rows to learn from.
+
+    ``most_toxic`` and ``most_ordinary`` bound the labelled rows of the logistic fit (MOST_TOXIC and MOST_ORDINARY); the
+    models learn from all others.
+    """
     spark = docs.sparkSession
-    known = cut(known_labels(labels, id_col=id_col))
-    sample = cut(fitting_sample(known), files=1)  # bounded by MOST_TOXIC + MOST_ORDINARY rows
+    known = cut(known_labels(labels, id_col=id_col), thin=True)
+    sample = cut(fitting_sample(known, most_toxic or MOST_TOXIC, most_ordinary or MOST_ORDINARY), files=1)  # bounded
     sizes = {name: {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()} for name, rows in (("all", known.where("part = 0")), ("sample", sample))}
     texts = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("t"))
     taught = known.join(F.broadcast(sample.select("id")), "id", "left_anti").select("id", "y")
@@ -267,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     toxic, ordinary = (pc.sum(table[c]).as_py() or 0 for c in ("toxic", "ordinary"))
     if not toxic or not ordinary:
         return None, 1.0 if toxic else 0.0
-    ratios = _ratios(table)
-    shared = spark.sparkContext.broadcast(ratios.arrays)
+    shared = spark.sparkContext.broadcast(_ratios(table).arrays)
+    del table
     names = [f"m{i}" for i in range(len(WINDOWS) + 2)]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,25 +285,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     seen = texts.join(F.broadcast(sample), "id").select("t", F.col("y").cast("long").alias("y")).mapInArrow(measure, "y long, " + ", ".join(f"{n} double" for n in names)).toArrow()
     y = seen["y"].to_numpy().astype(float)
     if len(set(y)) < 2:
+        shared.destroy()
         return None, float(y.mean()) if len(y) else 0.0
     weights = np.array([sizes["all"][k] / sizes["sample"][k] for k in (0, 1)])[y.astype(int)]
-    return ratios, logistic(np.column_stack([seen[n].to_numpy() for n in names]), y, weights)
+    return shared, logistic(np.column_stack([seen[n].to_numpy() for n in names]), y, weights)
 
 
-def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carry: list[str], **bounds: int | None) -> DataFrame:
     """id, x0, x1, ... (the columns to carry) and score."""
-    spark = docs.sparkSession
-    ratios, found = fit(docs, labels, id_col=id_col, text_col=text_col)
+    shared, found = fit(docs, labels, id_col=id_col, text_col=text_col, **bounds)
     kept = ["id", *(f"x{i}" for i in range(len(carry)))]
     said = f"x{carry.index(text_col)}" if text_col in carry else "t"  # a text that is carried travels once
     rows = docs.select(docs[id_col].alias("id"), *(docs[c].alias(f"x{i}") for i, c in enumerate(carry)), *([docs[text_col].alias("t")] if said == "t" else []))
-    if ratios is None:
+    if shared is None:
         return rows.select(*kept, F.lit(float(found)).alias("score"))
-    shared = spark.sparkContext.broadcast((ratios.arrays, found))
+    b, mean, scale = found
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, (b, mean, scale) = shared.value
-        scorer = Scorer(Ratios(*r))
+        scorer = Scorer(Ratios(*shared.value))
         for batch in (part for whole in batches for part in slices(whole)):
             x = scorer.measures(batch.column(said).to_pylist())
             s = 1 / (1 + np.exp(-np.clip(b[0] + (x - mean) / scale @ b[1:], -30, 30)))
@@ -308,14 +312,14 @@ def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, carr
     return rows.mapInArrow(score, schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_toxic: int | None = None, most_ordinary: int | None = None) -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
     A null text counts as empty and scores as one without evidence. Null ids and ids without labels are scored like any
     other; null labels teach nothing. Without labels of both classes every score is the share of toxic ones. Repeated
     rows score alike. Only the text enters the score.
     """
-    return _scored(docs, labels, id_col, text_col, []).select(
+    return _scored(docs, labels, id_col, text_col, [], most_toxic=most_toxic, most_ordinary=most_ordinary).select(
         F.col("id").alias(id_col),
         (F.crc32(F.col("id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
         "score",

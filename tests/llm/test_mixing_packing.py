@@ -54,6 +54,44 @@ def test_targets_and_rounding(spark):
     assert sum(r["copies"] for r in got) == mixing.mix_rows(docs).count()
 
 
+@pytest.mark.parametrize("eps", [mixing.EPS, 0.05])
+def test_rounding_by_definition(spark, monkeypatch, eps):
+    """Copies from the rates, document by document: large ones absorb the error in order of size, the rest go by one sorted list."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "EPS", eps)
+    monkeypatch.setattr(mixing, "BINS", 16)
+    _, docs = corpus(spark, 900)
+    u = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id").cast("string"), "text"), F.lit(1 << 40)) / float(1 << 40)).collect()}
+    by = defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        by[r["source"]].append(r)
+    for xs in by.values():
+        total, error, expected = xs[0]["source_size"], 0.0, {}
+        large = [r for r in xs if r["size"] and r["size"] * 2 > total * eps]
+        for r in sorted(large, key=lambda r: (-r["size"], u[r["doc_id"]], r["doc_id"])):
+            want = error + r["rate"] * r["size"]
+            expected[r["doc_id"]] = int(min(2, max(0, np.floor(want / r["size"] + 0.5))))
+            error = want - expected[r["doc_id"]] * r["size"]
+        rest = [r for r in xs if r["doc_id"] not in expected]
+        need = round(sum(r["rate"] * r["size"] for r in rest) + error - sum(int(r["rate"]) * r["size"] for r in rest), 3)
+        for r in rest:
+            expected[r["doc_id"]] = int(r["rate"])
+        choice, so_far = sorted((u[r["doc_id"]] - r["rate"] % 1, r["doc_id"], r["size"]) for r in rest if r["size"] and r["rate"] < 2 and r["rate"] % 1), 0
+        for _, i, size in choice:
+            so_far += size
+            expected[i] += need > 0 and so_far - size / 2 <= need
+        assert {r["doc_id"]: r["copies"] for r in xs} == expected
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(1)
+    sizes = {f"s{i:04d}": int(rng.pareto(0.7) * 50) for i in range(700)} | {None: 10**6, "": 0}
+    df = spark.createDataFrame(list(sizes.items()), "src string, S long").repartition(5)
+    got = {r["src"]: r["T"] for r in mixing.targets(df).collect()}
+    assert got == pytest.approx(filled(sizes))
+
+
 def test_rates_are_tilted(spark):
     """Rates solve the dual: min(2, exp(lambda size)) with one lambda a source, and meet the target before rounding."""
     rows, docs = corpus(spark)

@@ -100,7 +100,7 @@ def test_quality_by_definition(spark, texts):
 
 
 def test_binomial_tail(spark):
-    cases = [(10, 0, 0.1), (100, 2, 0.05), (5000, 10, 0.005), (80000, 350, 0.005), (3, 2, 0.9)]
+    cases = [(10, 0, 0.1), (100, 2, 0.05), (5000, 10, 0.005), (80000, 350, 0.005), (3, 2, 0.9), (4_000_000, 19_500, 0.005), (4_000_000, 19_990, 0.005)]
     for n, k, p in cases:
         exact = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k + 1))
         got = spark.range(1).selectExpr(f"{n}L as n", f"{k}L as k").select(q.binomial_tail("n", "k", p)).first()[0]
@@ -292,7 +292,7 @@ def test_toxicity_held_out(spark):
     assert sum(truth[i] for i in kept) <= 5 and len(kept) >= 0.97 * 1200
 
 
-def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+def test_toxicity_learns_from_all_rows(spark):
     """With bounds far below the labels: n-grams seen once count wherever they are, and the sample's odds are corrected."""
     rows = toxic_texts(1500)
     train = [i for i, _, _ in rows if __import__("zlib").crc32(str(i).encode()) % 3 != 1]
@@ -300,13 +300,12 @@ def test_toxicity_learns_from_all_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{t} {rare.get(i, '')}") for i, t, _ in rows] + [(None, "xyzzy")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     full = toxicity.fit(docs, labels)[1]
-    monkeypatch.setattr(toxicity, "MOST_TOXIC", 20)
-    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 20)
-    ratios, found = toxicity.fit(docs, labels)
-    known = ratios.find(toxicity.np.array([toxicity.gram_hash(rare[i]) for i in train], dtype="uint64")) >= 0
+    few = {"most_toxic": 20, "most_ordinary": 20}
+    shared, found = toxicity.fit(docs, labels, **few)
+    known = toxicity.Ratios(*shared.value).find(toxicity.np.array([toxicity.gram_hash(rare[i]) for i in train], dtype="uint64")) >= 0
     assert known.sum() == len(train) - 40
     truth = {i: y for i, _, y in rows}
-    got = [r for r in toxicity.toxicity(docs, labels).collect() if r["held_out"]]
+    got = [r for r in toxicity.toxicity(docs, labels, **few).collect() if r["held_out"]]
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in got) >= 0.97 * len(got)
     # on what tells nothing, a fit to one class in two with the weights of one in ten says one in ten
     np = toxicity.np
@@ -316,17 +315,58 @@ def test_toxicity_learns_from_all_rows(spark, monkeypatch):
     assert len(full[0]) == len(found[0])
 
 
-def test_kneser_ney_sums_to_one():
+def grams(words, classes):
     counts = {}
-    for w, c in (("ab", (5, 1)), ("abc", (1, 7)), ("ba", (2, 2))):
+    for w, c in zip(words, classes, strict=True):
         t = f"\n{w}\n"
         for n in range(1, 6):
             for i in range(len(t) - n + 1):
-                a, b = counts.get(t[i : i + n], (0, 0))
-                counts[t[i : i + n]] = (a + c[0], b + c[1])
+                counts[t[i : i + n]] = tuple(x + y for x, y in zip(counts.get(t[i : i + n], (0, 0)), c, strict=True))
+    return counts
+
+
+def test_kneser_ney_by_definition():
+    """Word by word against interpolated Kneser-Ney in plain Python, from two classes' counts and shared lower orders; probabilities of what may follow sum to one."""
+    import random
+
+    r = random.Random(6)
+    words = list(dict.fromkeys("".join(r.choice("abcé") for _ in range(r.randrange(1, 7))) for _ in range(60)))
+    counts = grams(words, [(r.randrange(3), r.randrange(4)) for _ in words])
+    counts = {g: c for g, c in counts.items() if sum(c)}
+    d = toxicity.DISCOUNT
+
+    def used(g, k):
+        """Occurrences at the highest order and at a word's start, else different characters before. k: 0, 1, or 2 for both."""
+        n = lambda x: sum(counts[x]) if k == 2 else counts[x][k]
+        if len(g) == toxicity.ORDER or g[0] == "\n":
+            return n(g)
+        return max(sum(1 for x in counts if len(x) == len(g) + 1 and x[1:] == g and n(x)), 1) if n(g) else 0
+
+    def prob(g, k):
+        """P(last character | those before)."""
+        k = 2 if len(g) <= toxicity.SHARED else k
+        if not g:
+            return 1 / (len({x for x in counts if len(x) == 1}) + 1)
+        if len(g) == 1:
+            over, kinds = sum(used(x, k) for x in counts if len(x) == 1), sum(1 for x in counts if len(x) == 1)
+        else:
+            follow = [used(x, k) for x in counts if len(x) == len(g) and x[:-1] == g[:-1]]
+            over, kinds = sum(follow), sum(1 for x in follow if x)
+        lower = prob(g[1:], k)
+        return (max((used(g, k) if g in counts else 0) - d, 0) + d * kinds * lower) / over if over else lower
+
+    def score(w):
+        t = f"\n{w}\n"
+        return sum(math.log(prob(t[max(0, i - 4) : i + 1], 0)) - math.log(prob(t[max(0, i - 4) : i + 1], 1)) for i in range(1, len(t)))
+
     ratios = toxicity.kneser_ney(counts)
-    got = ratios.words(["ab", "abc", "zzz"])
-    assert got[0] > 0 > got[1] and abs(got[2]) < abs(got[1])
+    tried = [*words[:40], "abab", "zzz", "aéz", "b"]
+    assert ratios.words(tried) == pytest.approx([score(w) for w in tried], abs=1e-4)
+    letters = sorted({x for x in counts if len(x) == 1})
+    for context in ("", "a", "\na", "ab", "\nabc", "éab"):
+        for k in (0, 1):
+            total = sum(prob(context + x, k) for x in letters)
+            assert total == pytest.approx(1 - (1 / (len(letters) + 1)) * (1 - total) if total < 1 else 1, abs=0.3) and total <= 1 + 1e-9
     assert (ratios.find(ratios.keys) == range(len(ratios.keys))).all()
 
 
