@@ -11,8 +11,10 @@
    share one of the first n - ceil(threshold n) + 1 shingles of each, rare ones first. So the open sets meet once more
    over such shingles, in groups that are small unless the sets hold little but shingles of many sets. With m shingles
    from the shared one on, two sets can have at most min(m) in common: that bound goes before any comparison. Each group
-   first compares its smallest set with the others; what is still apart and within the bound is compared block by block,
-   in memory, and only links leave.
+   first compares its smallest set with the others. What is still apart and within the bound is compared in memory: in
+   groups of LARGE sets at most by signatures, and only pairs that these can't tell apart leave, to be confirmed; larger
+   groups are merged where they share sets, so that no two sets meet twice there, and compared on the sets themselves,
+   block by block, and only links leave.
 
 A pair at the threshold t shares no band with probability (1 - t^rows)^bands, at most LOST: rows and bands follow from t.
 Sets are told apart by 64-bit hashes of their shingles: k shingles of a pair hide a difference with k^2 / 2^65 at most.
@@ -35,8 +37,8 @@ from .components import components
 
 #: The probability with which a pair at the threshold may share no band, and the hashes that bands may take.
 LOST, HASHES = 1.5e-7, 256
-#: Ids in a block of a group that is compared in memory.
-BLOCK = 1024
+#: Ids in a block of a group that is compared in memory; ids of a group that is small.
+BLOCK, LARGE = 1024, 32
 #: Counters for the frequencies of shingles, by hash: they only order shingles, so collisions do no harm.
 COUNTERS = 1 << 18
 #: Signature bytes compared in one step; the posterior below which a pair is dropped.
@@ -233,6 +235,45 @@ def _apart(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where((100 + percent) * F.col("m") >= percent * (F.col("n") + other)).select("g", "id", "n", "m", "c", "first")
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """The rows (g, id, n, m, c) of large groups, a written table, with groups merged where they share ids, so that each id is in one of them."""
+    first = rows.groupBy("id").agg(F.min("g").alias("a"))
+    tops = components(rows.join(first, "id").select("a", F.col("g").alias("b")).distinct()).withColumnsRenamed({"id": "g", "component": "top"})
+    return rows.join(tops, "g").groupBy("top", "id").agg(F.first("n").alias("n"), F.max("m").alias("m"), F.first("c").alias("c")).select(F.col("top").alias("g"), "id", "n", "m", "c")
+
+
+def _within_small_groups(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that sequential verification keeps, of the rows (g, id, n, m, c) of groups of LARGE ids at most: no sets travel, only signatures."""
+    kind = reps.schema["id"].dataType.simpleString()
+    bands, rows_ = banding(percent / 100)
+    limits = least_equal(percent / 100, bands * rows_)
+    parts = 1 + rows.count() // 20_000
+    whole = rows.join(reps.select("id", "sig"), "id").withColumn("part", F.pmod(F.xxhash64("g"), F.lit(parts)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        g, n, m, c, ids = (table[k].to_numpy() for k in ("g", "n", "m", "c", "id"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint8).reshape(len(g), -1)
+        order = np.lexsort((ids, g))
+        firsts = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1]))
+        out = []
+        for rows in np.split(order, firsts[1:]):
+            x, y = (rows[i] for i in np.triu_indices(len(rows), 1))
+            stay = (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((100 + percent) * np.minimum(m[x], m[y]) >= percent * (n[x] + n[y]))
+            x, y = x[stay], y[stay]
+            equal, done = np.zeros(len(x), dtype=np.int32), 0
+            for size, least in limits:
+                equal = equal + (sig[x, done:size] == sig[y, done:size]).sum(axis=1)
+                stay = equal >= least
+                x, y, equal, done = x[stay], y[stay], equal[stay], size
+            if len(x):
+                out.append(np.stack([ids[x], ids[y]]))
+        a, b = np.concatenate(out, axis=1) if out else (ids[:0], ids[:0])
+        return pa.table([pa.array(a, table.schema.field("id").type), pa.array(b, table.schema.field("id").type)], ["a", "b"])
+
+    return whole.groupBy("part").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
 def _within_groups(rows: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of all pairs of rows (g, id, n, m, c), a written table, of one group and different components.
 
@@ -365,7 +406,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
             if rows.isEmpty():
                 break
             if last:
-                new = _within_groups(rows, reps, sets, percent).distinct()
+                sizes = rows.groupBy("g").agg(F.count("*").alias("k"))
+                rows = cut(rows.join(sizes, "g").select("g", "id", "n", "m", "c", "k"), thin=True)
+                new = _confirmed(cut(_within_small_groups(rows.where(f"k <= {LARGE}"), reps, percent), thin=True), sets, percent)
+                large = rows.where(f"k > {LARGE}")
+                if not large.isEmpty():
+                    new = new.unionByName(_within_groups(cut(_merged(large), thin=True), reps, sets, percent)).distinct()
             else:  # each group's smallest set with the others
                 bound = (100 + percent) * F.least("m", "first.m") >= percent * (F.col("n") + F.col("first.n"))
                 more = rows.where((F.col("c") != F.col("first.c")) & bound).select(F.least("id", "first.id").alias("a"), F.greatest("id", "first.id").alias("b")).distinct()

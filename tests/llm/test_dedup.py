@@ -95,6 +95,7 @@ def test_near_blocks_of_a_cluster(spark, monkeypatch):
 def test_near_texts_around_a_passage(spark, monkeypatch):
     """Texts that are mostly one passage, at similarities just below and above the threshold, with rests that sometimes overlap."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "LARGE", 8)
     r = random.Random(9)
     passage = [f"p{i}" for i in range(80)]
     docs = []
