@@ -23,6 +23,8 @@ PATTERNS: dict[str, tuple[str, int, int]] = {
 ENTROPY = "entropy"
 CANDIDATE = r"([A-Za-z0-9+/_=-]{20,})"
 WINDOW = 20
+#: Spans that are gathered at a time.
+CHUNK = 256
 CLASSES = [("hex", r"^[0-9a-fA-F-]+$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.8)]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Candidates that are no secrets: no digit or no letter; UUIDs; placeholders; words, paths and dates joined by - _ or /.
@@ -40,38 +42,65 @@ def _spans(text: str, kind: str, rank: int, pattern: str, group: int, least: int
     """The spans of one pattern, as an array of (start, rank, end, kind, match)."""
     t, p = F.col(text), F.lit(pattern)
     parts = F.arrays_zip(F.split(t, pattern).alias("g"), F.regexp_extract_all(t, p, F.lit(0)).alias("m"), F.regexp_extract_all(t, p, F.lit(group)).alias("v"))
-    kinds = "array<struct<s:int,k:int,e:int,kind:string,m:string>>"
+    one = "struct<s:int,k:int,e:int,kind:string,m:string>"
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["g"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
         span = F.struct(start.alias("s"), F.lit(rank).alias("k"), end.alias("e"), F.lit(kind).alias("kind"), x["m"].alias("m"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).cast(kinds).alias("out"))
+        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).cast(f"array<{one}>").alias("out"))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kinds).alias("out")), step, lambda s: s["out"])
-    return F.when(t.rlike(pattern), found).otherwise(F.array().cast(kinds))
+    # appending copies an array, so spans are gathered CHUNK at a time: the cost is in proportion to the matches
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, CHUNK))
+
+    def gather(state: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(state["at"].alias("at"), F.array().cast(f"array<{one}>").alias("out")), step)
+        return F.struct(inner["at"].alias("at"), F.concat(state["out"], F.array(inner["out"])).alias("out"))
+
+    found = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{one}>>").alias("out")), gather, lambda s: F.flatten(s["out"]))
+    return F.when(t.rlike(pattern), found).otherwise(F.array().cast(f"array<{one}>"))
+
+
+def _overlaps(spans: Column, x: Column) -> Column:
+    """Whether one of the spans, which are in order and apart, overlaps x: the last that starts before x ends, by bisection."""
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        before = F.get(spans, mid)["s"] < x["e"]
+        return F.struct(F.when(before & (s["lo"] < s["hi"]), mid + 1).otherwise(s["lo"]).alias("lo"), F.when(~before & (s["lo"] < s["hi"]), mid).otherwise(s["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(spans))))  # as many as the number of spans has binary digits
+    last = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda s: s["lo"])
+    return F.when(F.size(spans) > 0, F.coalesce(F.get(spans, last - 1)["e"] > x["s"], F.lit(False))).otherwise(False)
 
 
 def _least_sum(candidate: Column) -> Column:
-    """The smallest sum of TERMS of any window: the counts change by the character that enters and the one that leaves."""
+    """The smallest sum of TERMS of any window: the counts change by the character that enters and the one that leaves.
+
+    A count has five bits, twelve counts are a number, so a step changes a few numbers, whatever the alphabet's size.
+    """
     codes = F.transform(F.split(candidate, ""), lambda c: F.position(c, F.lit(ALPHABET)))
     terms = F.array(*map(F.lit, TERMS))
-    zero = F.array_repeat(F.lit(0), len(ALPHABET) + 1)
+    words = range(len(ALPHABET) // 12 + 1)
+
+    def count(s: Column, c: Column) -> Column:
+        word = F.get(F.array(*(s[f"n{k}"] for k in words)), (c / 12).cast("int"))
+        return F.call_function("shiftright", word, c % 12 * 5).bitwiseAND(F.lit(31)).cast("int")
 
-    def at(array: Column, i: Column) -> Column:
-        return F.get(array, i)
+    def bit(c: Column, k: int) -> Column:
+        return F.when((c / 12).cast("int") == k, F.call_function("shiftleft", F.lit(1).cast("long"), c % 12 * 5)).otherwise(F.lit(0).cast("long"))
 
     def step(s: Column, x: Column) -> Column:
         come, go = x["come"], x["go"]  # go is null until the window is full; the same character changes nothing
-        up = at(terms, at(s["n"], come) + 1) - at(terms, at(s["n"], come))
-        down = at(terms, at(s["n"], go) - 1) - at(terms, at(s["n"], go))
+        up = F.get(terms, count(s, come) + 1) - F.get(terms, count(s, come))
+        down = F.get(terms, count(s, go) - 1) - F.get(terms, count(s, go))
         total = F.when(go.isNull(), s["sum"] + up).when(come == go, s["sum"]).otherwise(s["sum"] + up + down)
-        counts = F.transform(s["n"], lambda c, i: c + F.when(i == come, 1).otherwise(0) - F.when(i == go, 1).otherwise(0))
         seen = s["seen"] + 1
-        return F.struct(counts.alias("n"), total.alias("sum"), seen.alias("seen"), F.when(seen >= WINDOW, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
+        counts = ((s[f"n{k}"] + bit(come, k) - bit(go, k)).alias(f"n{k}") for k in words)
+        return F.struct(*counts, total.alias("sum"), seen.alias("seen"), F.when(seen >= WINDOW, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
 
     moves = F.arrays_zip(codes.alias("come"), F.concat(F.array_repeat(F.lit(None).cast("int"), WINDOW), F.slice(codes, 1, F.greatest(F.size(codes) - WINDOW, F.lit(0)))).alias("go"))
-    start = F.struct(zero.alias("n"), F.lit(0).alias("sum"), F.lit(0).alias("seen"), F.lit(2**31 - 1).alias("best"))
+    start = F.struct(*(F.lit(0).cast("long").alias(f"n{k}") for k in words), F.lit(0).alias("sum"), F.lit(0).alias("seen"), F.lit(2**31 - 1).alias("best"))
     return F.aggregate(moves, start, step, lambda s: s["best"])
 
 
@@ -99,7 +128,12 @@ def secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         return F.when(allowed, False).otherwise(_least_sum(m) <= limit)
 
     rows = rows.withColumn("high", F.filter(ENTROPY, suspicious))
-    rows = rows.withColumn("high", F.filter("high", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))))
+
+    def apart(kind: str) -> Column:
+        return F.filter("high", lambda x: ~_overlaps(F.col(kind), x))
+
+    for kind in PATTERNS:
+        rows = rows.withColumn("high", apart(kind))
 
     def said(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
