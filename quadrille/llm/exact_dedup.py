@@ -51,10 +51,10 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     The whole row rides in the aggregate by (hash, text), so no join back is needed. Among rows that tie on the id the
     other columns decide, so the choice doesn't depend on the order of rows.
     """
+    if keep != "max":
+        raise ValueError("only keep='max' is offered for rows")
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     order = F.struct(docs[id_col].isNotNull().alias("a"), docs[id_col].alias("b"), *(docs[c].alias(f"c{i}") for i, c in enumerate(rest)))
-    if keep == "min":
-        raise ValueError("only keep='max' is offered for rows")
     rows = docs.select(text_of(docs, text_col).alias("t"), docs[text_col].isNull().alias("n"), order.alias("o"))
     won = rows.groupBy(_md5(F.col("t")).alias("h"), "t").agg(F.max("o").alias("o"), F.min("n").alias("n"))
     value = {id_col: F.col("o.b"), text_col: F.when(~F.col("n"), F.col("t"))} | {c: F.col(f"o.c{i}") for i, c in enumerate(rest)}

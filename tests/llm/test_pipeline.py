@@ -44,3 +44,21 @@ def test_run_is_the_stages(spark, small):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, small).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_stages_on_odd_rows_and_none(spark, small, odd, none):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through all stages; no documents give none."""
+    import corpus_pipeline
+
+    from quadrille.llm._common import cut
+
+    for start in (odd, none):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = cut(stage(spark, docs, small))
+            assert name == "packing" or out.columns == start.columns
+            before, docs = docs, out
+        kept = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert kept <= {r["doc_id"] for r in start.select("doc_id").collect()} and (start is odd or docs.count() == 0)
+        assert docs.agg({"length": "sum"}).first()[0] == docs.where("start = 0").agg({"doc_tokens": "sum"}).first()[0]
+        assert before.count() == docs.where("start = 0").count()
