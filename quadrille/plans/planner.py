@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,14 +21,18 @@ from .algebra import BGP, Call, Filter, Graph, Join, Pattern, Query, Union, vari
 
 #: A conjunction with so many uses of variables is split into filters.
 MOST_SPLIT = 6
+#: Rows that a task of a join should make.
+MADE = 10_000_000
 
 
 @dataclass
 class Rows:
-    """Solution mappings: the DataFrame and the variables that every row binds."""
+    """Solution mappings: the DataFrame, the variables that every row binds, and sets of variables whose values few rows
+    share (none: nothing is known). These only guide plans: a predicate is taken to have few values for a subject."""
 
     df: DataFrame
     always: frozenset[str]
+    keys: tuple[frozenset[str], ...] = ()
 
 
 class Planner:
@@ -74,22 +79,46 @@ class Planner:
                     continue
                 where[x[1:]] = column  # with compat the last position wins and nothing is compared
         out = df.select(*(F.col(c).alias(v) for v, c in where.items())) if where else df.select(F.lit(1).alias("?")).drop("?")
-        return Rows(out, frozenset(where))
+        names = frozenset({x[1:] for x in (pattern.s, graph or "") if x.startswith("?")})
+        return Rows(out, frozenset(where), (frozenset(where),) if pattern.p.startswith("?") else (names, frozenset(where)))
 
     # ---- joins
 
     def unit(self) -> Rows:
         """One mapping that binds nothing."""
-        return Rows(self.catalog.spark.range(1).drop("id"), frozenset())
-
-    @staticmethod
-    def join(left: Rows, right: Rows) -> Rows:
+        return Rows(self.catalog.spark.range(1).drop("id"), frozenset(), (frozenset(),))
+
+    def dealt(self, left: DataFrame, right: DataFrame, shared: list[str]) -> DataFrame:
+        """An equi-join of which each row may have many partners on the other side. If it makes many rows, tasks get even
+        parts of them: a key with many pairs is cut into cells, by the left rows' hashes and the right rows' hashes, and
+        each row goes to all cells that it takes part in."""
+        counted = [df.groupBy(*shared).agg(F.count("*").cast("double").alias(n)) for df, n in ((left, "l?"), (right, "r?"))]
+        pairs = counted[0].join(counted[1], shared).withColumn("n?", F.col("l?") * F.col("r?"))
+        made = pairs.agg(F.sum("n?")).first()[0] or 0.0
+        if made <= MADE:
+            return left.join(right, shared)
+        cells = F.ceil(F.col("n?") / (MADE / 8))  # a task has several, which evens them out
+        across = F.least(cells, F.greatest(F.round(F.sqrt(cells * F.col("l?") / F.col("r?"))), F.lit(1))).cast("long")
+        large = F.broadcast(pairs.where(F.col("n?") > MADE / 8).select(*shared, across.alias("l?"), F.ceil(cells / across).alias("r?")))
+        n = max(math.ceil(made / MADE), int(self.catalog.spark.conf.get("spark.sql.shuffle.partitions")))  # with fewer Spark would deal anew
+        sides = []
+        for df, own, other in ((left, "l?", "r?"), (right, "r?", "l?")):
+            here = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1)))
+            there = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)).cast("long") - 1))
+            cut = df.join(large, shared, "left").select(*df.columns, here.cast("long").alias(f"{own}cell"), there.alias(f"{other}cell"))
+            sides.append(cut.repartition(n, *shared, "l?cell", "r?cell"))
+        return sides[0].join(sides[1].hint("merge"), [*shared, "l?cell", "r?cell"]).drop("l?cell", "r?cell")
+
+    def join(self, left: Rows, right: Rows) -> Rows:
         shared = [c for c in left.df.columns if c in right.df.columns]
         sure = [c for c in shared if c in left.always and c in right.always]
+        one, other = (any(k <= frozenset(shared) for k in x.keys) for x in (left, right))  # whether a side has few rows for a row of the other
+        keys = (left.keys if other else ()) + (right.keys if one else ()) or tuple(k | m for k in left.keys for m in right.keys)
         if not shared:
-            return Rows(left.df.crossJoin(right.df), left.always | right.always)
+            return Rows(left.df.crossJoin(right.df), left.always | right.always, keys)
         if len(sure) == len(shared):
-            return Rows(left.df.join(right.df, shared), left.always | right.always)
+            many = left.keys and right.keys and not one and not other
+            return Rows(self.dealt(left.df, right.df, shared) if many else left.df.join(right.df, shared), left.always | right.always, keys)
         parts = []
         for mask in itertools.product(*([True] if c in left.always else [True, False] for c in shared)):
             for other in itertools.product(*([True] if c in right.always else [True, False] for c in shared)):
@@ -130,7 +159,7 @@ class Planner:
                     df = df.where(F.col(column) == F.col(where[x[1:]]))
                 where.setdefault(x[1:], column)
         out = df.select(*(F.col(c).alias(v) for v, c in where.items())) if where else df.select(F.lit(1).alias("?")).drop("?")
-        return Rows(out, frozenset(where))
+        return Rows(out, frozenset(where), (frozenset([s[1:]] if s.startswith("?") else []), frozenset(where)))
 
     def order(self, patterns: list[tuple[str | None, Pattern]]) -> list[tuple[str | None, tuple[Pattern, ...]]]:
         """Fewest triples first, then always the smallest group that shares a variable with those before."""

@@ -494,3 +494,20 @@ def test_cli(spark, tmp_path, capsys):
     assert main([*store, "update", G, "INSERT DATA { <http://a> <http://p> <http://d> }"]) == 0 and main([*store, "index", G]) == 0
     capsys.readouterr()
     assert main([*store, "describe", G]) == 0 and '"3"' in capsys.readouterr().out
+
+
+# ---- joins at scale
+
+
+def test_join_of_one_value_is_dealt_out(spark, tmp_path, monkeypatch):
+    """All pairs of rows with one object: each once, and no task makes most of them."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr("quadrille.plans.planner.MADE", 500, raising=False)
+    triples = [(f"http://{p}{i}", f"http://{p}", f"http://n{min(i % 9, 1)}") for p, n in (("a", 90), ("b", 60)) for i in range(n)]
+    e = Engine(spark, str(tmp_path / "store"), cache=str(tmp_path / "cache"))
+    e.load(G, spark.createDataFrame(triples, SCHEMA))
+    df = e.query("SELECT ?a ?b { ?a <http://a> ?n . ?b <http://b> ?n }", G)
+    assert rows(df) == Counter((s, t) for s, p, o in triples for t, q, u in triples if (p, q) == ("http://a", "http://b") and o == u)
+    made = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(made) < sum(made) / 2
