@@ -94,6 +94,11 @@ class Engine:
         self._graph(graph)
         return self.pager.frames(query, graph, max_results)
 
+    def paged(self, query: str, graph: str, max_results: int) -> DataFrame:
+        """All pages as one DataFrame, with the number of each row's page in the column ``page?``: for results of many pages."""
+        self._graph(graph)
+        return self.pager.paged(query, graph, max_results)
+
     # ---- updates
 
     def update(self, update: str, graph: str) -> dict[str, int]:

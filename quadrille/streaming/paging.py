@@ -79,8 +79,8 @@ class TokenStore:
         self._tokens.pop(key, None)
 
 
-#: Columns of a written result beside the variables; no variable has such a name.
-PART, PLACE = "part?", "place?"
+#: Columns of a written result beside the variables, and the number of a row's page; no variable has such a name.
+PART, PLACE, PAGE = "part?", "place?", "page?"
 
 
 class ResultCache:
@@ -170,6 +170,16 @@ class ResultCache:
             wanted = wanted | F.col(PART).between(first, last)
         return self.frames[key].where(wanted)
 
+    def paged(self, key: str, count: int) -> DataFrame:
+        """All rows with the number of their page, from 0: one plan, however many pages there are."""
+        self.used[key] = time.time()
+        rows, size = self.spark.read.parquet(f"{self.path(key)}/rows"), self.size(key)
+        before, at = [0] * (1 + max((part for part, _ in self.places[key]), default=0)), 0
+        for part, n in self.places[key]:
+            before[part], at = at, at + n
+        page = F.floor((F.element_at(F.array(*(F.lit(n).cast("long") for n in before)), F.col(PART) + 1) + F.col(PLACE)) / count)
+        return rows.withColumn(PAGE, page).where(F.col(PAGE) < -(-size // count))
+
     def read(self, key: str, start: int, count: int) -> list[dict]:
         return [r.asDict() for r in self.frame(key, start, count).orderBy(PART, PLACE).drop(PART, PLACE).collect()]
 
@@ -226,3 +236,11 @@ class Pager:
         self.cache.wait(key, None)
         for start in range(0, max(self.cache.size(key), 1), max_results):
             yield self.cache.frame(key, start, max_results).select(df.columns)
+
+    def paged(self, query: str, graph: str, max_results: int) -> DataFrame:
+        """The pages of ``frames`` as one DataFrame: the variables and the number of the page."""
+        df, versions, _ = self.run(query, graph, None)
+        key = self._key({"query": query, "graph": graph, "versions": versions})
+        self.cache.start(key, lambda: df)
+        self.cache.wait(key, None)
+        return self.cache.paged(key, max_results).select(*df.columns, PAGE)

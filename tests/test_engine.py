@@ -511,3 +511,16 @@ def test_join_of_one_value_is_dealt_out(spark, tmp_path, monkeypatch):
     assert rows(df) == Counter((s, t) for s, p, o in triples for t, q, u in triples if (p, q) == ("http://a", "http://b") and o == u)
     made = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert max(made) < sum(made) / 2
+
+
+def test_pages_as_one_frame(spark, engine):
+    """Each row's page is the one that the pages themselves say, and the plan doesn't grow with their number."""
+    text = "SELECT ?s ?o { { ?s ?p ?o } UNION { ?s <http://p> ?o } }"
+    for most in (1, 2, 5, 100):
+        pages = [Counter((b["?s"], b["?o"]) for b in page.bindings) for page in engine.iter_pages(text, G, quantum=math.inf, max_results=most)]
+        got = engine.paged(text, G, most)
+        for i, page in enumerate(pages):
+            assert Counter((r["s"], r["o"]) for r in got.where(f"`page?` = {i}").collect()) == page
+        assert got.count() == sum(page.total() for page in pages) == 13
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert engine.paged("SELECT ?s { ?s <http://none> ?o }", G, 3).count() == 0
