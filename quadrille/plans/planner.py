@@ -226,6 +226,50 @@ class Planner:
             return self.filtered(rows, node.condition, graph)
         raise UnsupportedSPARQL(type(node).__name__)
 
+    def existing(self, node: object, graph: str | None, wanted: frozenset[str], outer: Rows | None = None) -> Rows:
+        """The wanted variables' values in a plan's solutions, however many solutions have them: patterns that share all
+        they tell with another one become semi joins, and values that no later step needs go as soon as they can.
+        What is left over of a cycle starts from ``outer``, the rows that the values are wanted for."""
+        patterns = self.flatten(node, graph)
+        if isinstance(node, Union):
+            left, right = (self.existing(x, graph, wanted) for x in (node.left, node.right))
+            return Rows(left.df.unionByName(right.df, allowMissingColumns=True), left.always & right.always)
+        if not patterns:
+            return self.plan(node, graph)
+        edges = [self.scan(g, ps[0]) if len(ps) == 1 else self.star(g, ps) for g, ps in self.order(patterns)]
+
+        def needed(i: int) -> list[str]:
+            others = wanted.union(*(x.df.columns for j, x in enumerate(edges) if j != i))
+            return [c for c in edges[i].df.columns if c in others]
+
+        def reduce() -> None:
+            while pair := next(((i, j) for i in range(len(edges)) for j in range(len(edges)) if i != j and not (outer is not None and edges[i] is outer) and set(needed(i)) <= set(edges[j].df.columns)), None):
+                i, j = pair
+                names, into = needed(i), edges[j]
+                if names:
+                    df = into.df.join(edges[i].df.select(*names).distinct(), names, "left_semi")
+                else:
+                    df = into.df.crossJoin(edges[i].df.limit(1).select(F.lit(1).alias("?"))).drop("?")
+                edges[j] = Rows(df, into.always, into.keys)
+                edges.pop(i)
+
+        reduce()
+        if len(edges) > 1 and outer is not None:
+            some = [c for c in outer.df.columns if c in wanted and any(c in x.df.columns for x in edges)]
+            if some and all(c in outer.always for c in some):
+                outer = Rows(outer.df.select(*some).distinct(), frozenset(some), (frozenset(some),))
+                edges.insert(0, outer)
+        while len(edges) > 1:
+            at = next((i for i in range(1, len(edges)) if set(edges[i].df.columns) & set(edges[0].df.columns)), 1)
+            parts = []
+            for i in (0, at):
+                names = needed(i)
+                parts.append(Rows(edges[i].df.select(*names).distinct(), frozenset(names), tuple(k for k in edges[i].keys if k <= set(names)) or (frozenset(names),)))
+            edges.pop(at)
+            edges[0] = self.join(*parts)
+            reduce()
+        return edges[0]
+
     def filtered(self, rows: Rows, test: object, graph: str | None) -> Rows:
         """Rows whose condition is true. EXISTS becomes a column that a semi join fills."""
         columns = rows.df.columns
@@ -233,7 +277,7 @@ class Planner:
         state = {"df": rows.df, "n": 0}
 
         def exists(pattern: object) -> Column:
-            inner = self.plan(pattern, graph)
+            inner = self.existing(pattern, graph, frozenset(columns), rows)
             shared = [c for c in inner.df.columns if c in rows.df.columns]
             flag = f"exists?{state['n']}"
             state["n"] += 1

@@ -524,3 +524,36 @@ def test_pages_as_one_frame(spark, engine):
         assert got.count() == sum(page.total() for page in pages) == 13
         assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     assert engine.paged("SELECT ?s { ?s <http://none> ?o }", G, 3).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("inner", "holds"),
+    [
+        ("?s <http://p> ?k . ?c <http://q> ?k . ?c <http://r> 'x'", lambda t, s, z: any((c, "http://r", '"x"') in t and (s, "http://p", k) in t for c, q, k in t if q == "http://q")),
+        ("?s <http://p> ?k . ?z <http://q> ?k", lambda t, s, z: any((s, "http://p", k) in t for c, q, k in t if c == z and q == "http://q")),
+        ("?c <http://q> ?k . ?d <http://p> ?k", lambda t, s, z: True),
+        ("?c <http://q> ?k . ?d <http://none> ?k", lambda t, s, z: False),
+        ("?c <http://none> ?k . ?s <http://p> ?m", lambda t, s, z: False),
+        ("?c <http://q> ?k . ?d <http://p> ?l . ?s <http://p> ?m", lambda t, s, z: True),
+        ("?s <http://p> ?k . ?c <http://q> ?k . ?c <http://to> ?d . ?d <http://q> ?l . ?s <http://also> ?l", lambda t, s, z: any((s, "http://p", k) in t and (c, "http://to", d) in t and (d, "http://q", l) in t and (s, "http://also", l) in t for c, q, k in t if q == "http://q" for d, r, l in t if r == "http://q")),
+        ("{ ?s <http://p> ?k . ?c <http://q> ?k . ?c <http://r> 'x' } UNION { ?s <http://also> ?k . ?c <http://q> ?k . ?c <http://r> 'y' }", lambda t, s, z: any(((s, "http://p", k) in t and (c, "http://r", '"x"') in t) or ((s, "http://also", k) in t and (c, "http://r", '"y"') in t) for c, q, k in t if q == "http://q")),
+    ],
+)
+def test_exists_by_definition(spark, inner, holds):
+    from quadrille.plans.planner import Planner
+
+    t = [(f"http://s{i}", "http://p", f"http://k{i % 5}") for i in range(10)] + [(f"http://c{i}", "http://q", f"http://k{i % 4}") for i in range(8)]
+    t += [(f"http://c{i}", "http://r", '"x"' if i in (1, 5, 6) else '"y"') for i in range(8)] + [(f"http://c{i}", "http://to", f"http://c{i * 3 % 8}") for i in range(8)]
+    t += [(f"http://s{i}", "http://also", f"http://k{i * i % 5}") for i in range(10)] + [(f"http://s{i}", "http://z", f"http://c{i % 8}") for i in range(10)]
+    source = FrameSource(spark.createDataFrame(t, SCHEMA).coalesce(1), distinct=True)
+    catalog = type("Catalog", (), {"spark": spark, "names": lambda self: [G], "source": lambda self, uri: source})()
+    q = parse_query("SELECT ?s ?z { ?s <http://z> ?z FILTER EXISTS { " + inner + " } }")
+    assert rows(Planner(catalog, (G,)).query(q)) == Counter((s, z) for s, p, z in t if p == "http://z" and holds(set(t), s, z))
+
+
+def test_exists_makes_no_pairs(spark, small):
+    """Patterns of an EXISTS that share a value with many rows meet in a semi join; the inner join is that of the outer rows with distinct subjects."""
+    from quadrille import queries
+
+    plan = queries.QUERIES["filter_exists"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 1 and "Join LeftSemi" in plan
