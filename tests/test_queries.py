@@ -31,3 +31,12 @@ def test_stars_need_no_join(spark, small):
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
     both = queries.sparql("SELECT * WHERE { ?s v:n_regionkey ?r . ?s v:n_name ?r }")(spark, small)  # a variable twice in a star
     assert both.count() == 0
+
+
+@pytest.mark.parametrize("name", ["page_concat", "stored_pages"])
+def test_pages_are_one_plan(spark, small, name):
+    """Results of several pages at this scale: the written rows are read by one scan."""
+    sf_dir = small.replace("sf0.001", "sf0.01")
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert spark_rows(df) == oracle_rows(queries.SQL[name], sf_dir)
